@@ -52,12 +52,13 @@ def strip_tags(c: Column) -> Column:
 def raw_words(c: Column) -> Column:
     """Words of ``c`` with compounds split, before any word is dropped."""
     words = F.transform(find_all(strip_tags(F.coalesce(c, F.lit(""))), fixed.WORD),
-                        lambda w: F.regexp_replace(w, r"^[._]+|[._]+$", ""))
+                        lambda w: F.btrim(w, F.lit("._")))
 
     def parts(w):
+        # Most words have no joiner; one cheap test spares them the other patterns.
         whole = matches(w, fixed.PATHISH) | matches(w, fixed.DATEISH)
         compound = matches(w, fixed.HYPHENATED) | matches(w, fixed.COMPOUND)
-        return F.when(~whole & compound, F.filter(F.split(w, "[-_.]"), lambda p: p != "")).otherwise(F.array(w))
+        return F.when(~w.rlike("[-_./]"), F.array(w)).when(~whole & compound, F.filter(F.split(w, "[-_.]"), lambda p: p != "")).otherwise(F.array(w))
 
     return F.flatten(F.transform(F.filter(words, lambda w: w != ""), parts))
 
@@ -65,7 +66,7 @@ def raw_words(c: Column) -> Column:
 def _content(w: Column) -> Column:
     lw = F.lower(w)
     return ((F.length(lw) >= 3) & ~lw.isin(fixed.STOPWORDS)
-            & ~matches(w, fixed.DATEISH) & ~matches(w, fixed.PATHISH))
+            & ~(w.rlike(r"^\d|/") & (matches(w, fixed.DATEISH) | matches(w, fixed.PATHISH))))
 
 
 def content_words(c: Column) -> Column:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from memlake import registry
 
-FAMILIES = ["text"]
+FAMILIES = ["text", "failures", "packs"]
 
 
 def load():
