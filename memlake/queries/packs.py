@@ -136,9 +136,9 @@ def extract_claims(t):
 
 SECTIONS = rf"""WITH RECURSIVE {VAULT}, pieces AS (SELECT doc_id, note, regexp_split_to_array(note, '\n') AS ls FROM vault),
  lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM pieces),
- pos AS (SELECT doc_id, l, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS p FROM lines),
+ pos AS (SELECT doc_id, l, lag(l) OVER (PARTITION BY doc_id ORDER BY i) AS before, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS p FROM lines),
  bounds AS (SELECT doc_id, p, CASE WHEN l = '' THEN 2 ELSE length(regexp_extract(l, '^(#{{1,6}} )', 1)) + 1 END AS n FROM pos
-   WHERE p >= 0 AND (l = '' OR regexp_matches(l, '^#{{1,6}} '))),
+   WHERE p >= 0 AND (l = '' OR (before <> '' AND regexp_matches(l, '^#{{1,6}} ')))),
  cut AS (SELECT doc_id, 0::BIGINT AS idx, 0::BIGINT AS start, coalesce(CASE WHEN length(note) > 1000 THEN (SELECT max(p) FROM bounds b WHERE b.doc_id = v.doc_id AND p > 500 AND p + n <= 1000) END, least(1000, length(note)))::BIGINT AS "end" FROM vault v
   UNION ALL SELECT c.doc_id, idx + 1, c."end", coalesce(CASE WHEN length(note) > c."end" + 1000 THEN (SELECT max(p) FROM bounds b WHERE b.doc_id = c.doc_id AND p > c."end" + 500 AND p + n <= c."end" + 1000) END,
    least(c."end" + 1000, length(note)))::BIGINT FROM cut c JOIN vault v ON v.doc_id = c.doc_id WHERE c."end" < length(note))"""

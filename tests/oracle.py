@@ -41,9 +41,12 @@ def rows_of(cols, data):
 
 
 def compare(df, con, sql: str) -> tuple[bool, str]:
+    t0 = time.time()
     s_cols, s_rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    t1 = time.time()
     cur = con.execute(sql)
     d_cols, d_rows = rows_of([d[0] for d in cur.description], cur.fetchall())
+    took = f"spark {t1 - t0:.1f}s sql {time.time() - t1:.1f}s"
     if s_cols != d_cols:
         return False, f"columns {s_cols} != {d_cols}"
     if len(s_rows) != len(d_rows):
@@ -53,7 +56,7 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
     for a, b in zip(s_rows, d_rows):
         if a != b or [type(x) for x in a] != [type(x) for x in b]:
             return False, f"cols {s_cols}\n  spark {a}\n  sql   {b}"
-    return True, f"{len(s_rows)} rows"
+    return True, f"{len(s_rows)} rows ({took})"
 
 
 def main(argv):
