@@ -113,7 +113,7 @@ def opened_after(hits: DataFrame, rows: DataFrame, session: str, before: int, ho
 def sign_flip(diffs: DataFrame, value: str, most: int = 16) -> DataFrame:
     """Exact two-sided p over all 2^n sign assignments of at most ``most`` configuration differences."""
     packed = diffs.agg(F.collect_list(value).alias("v"), F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean_difference"))
-    masks = packed.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.least("n", F.lit(most)).cast("int")) - 1)))
+    masks = packed.withColumn("mask", F.explode(F.sequence(F.lit(0).cast('bigint'), F.pow(F.lit(2.0), F.least("n", F.lit(most))).cast("bigint") - 1)))
     bits = F.sequence(F.lit(0), F.size("v") - 1)
     signed = F.zip_with("v", bits, lambda x, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, x).otherwise(-x))
     flipped = F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)

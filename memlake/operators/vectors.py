@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +10,16 @@ from memlake.session import broadcast_if_small
 
 def centroids(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
     """(key, centroid): one mean vector per key. Wide averages, so everything combines map-side."""
-    means = vectors.groupBy(key).agg(*[F.avg(F.col(column)[i].cast("double")).alias(f"m{i}") for i in range(dim)])
-    return means.select(key, F.array(*[f"m{i}" for i in range(dim)]).alias("centroid"))
+    means = vectors.groupBy(key).agg(*[F.expr(f"avg(CAST({column}[{i}] AS DOUBLE)) AS m{i}") for i in range(dim)])
+    return means.selectExpr(key, "array(" + ", ".join(f"m{i}" for i in range(dim)) + ") AS centroid")
 
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    """Unrolled inner product: stays inside generated code, unlike a lambda fold."""
-    return reduce(lambda x, y: x + y, [a[i].cast("double") * b[i].cast("double") for i in range(dim)])
+def dot(a: str, b: str, dim: int) -> Column:
+    """Unrolled inner product of two array columns: stays in generated code, unlike a lambda fold."""
+    return F.expr(" + ".join(f"CAST({a}[{i}] AS DOUBLE) * CAST({b}[{i}] AS DOUBLE)" for i in range(dim)))
 
 
-def cosine(a: Column, b: Column, dim: int) -> Column:
+def cosine(a: str, b: str, dim: int) -> Column:
     return dot(a, b, dim) / (F.sqrt(dot(a, a, dim)) * F.sqrt(dot(b, b, dim)))
 
 
@@ -34,5 +32,5 @@ def similar(vectors: DataFrame, queries: DataFrame, column: str, query: str, dim
     """
     side = broadcast_if_small(queries)
     pairs = vectors.join(side, on) if on else vectors.join(side)
-    scored = pairs.withColumn("score", F.round(cosine(F.col(column), F.col(query), dim), 6)).drop(column, query)
+    scored = pairs.withColumn("score", F.round(cosine(column, query, dim), 6)).drop(column, query)
     return scored if floor is None else scored.where(F.col("score") >= floor)

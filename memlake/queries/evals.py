@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memlake.functions import text as tx
 from memlake.functions.text import split_of
 from memlake.operators import metrics as mt, vectors as vx
 from memlake.operators.ordered import value_at_index
@@ -28,7 +29,7 @@ CASES_SQL = f"""{CENTROID_SQL}, cs AS (SELECT vec_id, e.label AS own, c.label AS
 def scored_cases(t):
     q = label_centroids(t).withColumnRenamed("label", "cand")
     side = broadcast_if_small(q)  # one row per label
-    e, c = F.col("embedding"), F.col("centroid")
+    e, c = "embedding", "centroid"
     pairs = t.embeddings.join(side).select("vec_id", F.col("label").alias("own"), "cand",
                                            F.round(vx.cosine(e, c, DIM), 6).alias("score"), F.round(vx.dot(e, c, DIM), 6).alias("dotp"))
     # A window per case holds one row per candidate label.
@@ -205,7 +206,7 @@ def stage_counts(t):
  row_number() OVER (ORDER BY notes DESC, tag) <= 10 AS in_top FROM c""")
 def tag_stats(t):
     notes = note_index_frame(t).select("doc_id", "tags")
-    counts = notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(mt.N.alias("notes"))
+    counts = tx.unnest(notes, [], F.col("tags"), "tag").groupBy("tag").agg(mt.N.alias("notes"))
     top = counts.orderBy(F.desc("notes"), "tag").limit(10).select("tag", F.lit(True).alias("in_top"))
     return (counts.join(top, "tag", "left")
             .select("tag", "notes", F.lit(notes.agg(mt.N).scalar()).alias("note_count"), counts.agg(mt.N).scalar().alias("tag_count"),
