@@ -14,16 +14,34 @@ from memlake.session import durable
 N = F.count(F.lit(1))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _compact(parts: list[DataFrame]) -> list[DataFrame]:
+    """Merge the stored waves from time to time, so that neither plan nor partition count grows on."""
+    if len(parts) < 12:
+        return parts
+    width = int(parts[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [durable(_union(parts).coalesce(width))]
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(node): seeds and everything reached from them along ``edges`` (src, dst)."""
-    seen = frontier = durable(seeds.select("node").distinct())
+    # Stored once: every wave reads the edges again, and derived columns would pile up constraints.
+    edges = durable(edges.select("src", "dst"))
+    frontier = durable(seeds.select("node").distinct())
+    waves = [frontier]
     for _ in range(rounds):
         step = (edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct()
-                .join(seen, "node", "left_anti"))
+                .join(_union(waves), "node", "left_anti"))
         frontier = durable(step)
         if frontier.isEmpty():
-            return seen
-        seen = durable(seen.unionByName(frontier))
+            return _union(waves)
+        waves = _compact([*waves, frontier])
     raise RuntimeError("closure did not settle")
 
 
@@ -32,6 +50,7 @@ def settled(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
 
     ``edges`` are (node, need) pairs without repeats. Members of cycles never settle.
     """
+    edges = durable(edges.select("node", "need"))
     left = durable(edges.groupBy("node").agg(N.alias("open")).join(seeds, "node", "left_anti"))
     done = frontier = durable(seeds.select("node").distinct())
     for _ in range(rounds):
