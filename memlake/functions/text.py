@@ -43,6 +43,16 @@ def unnest(df, keep: list[str], array: Column, item: str, pos: str | None = None
     return rows.select(*keep, (F.col("__p").cast("bigint") + 1).alias(pos), item)
 
 
+def hold(df, *computed: Column):
+    """Add computed columns that are worked out exactly once per row.
+
+    A filter on a computed column is normally pushed below it and repeats the computation. Passing
+    the values through a one-element generator keeps later filters above it.
+    """
+    held = df.select("*", F.explode_outer(F.array(F.struct(*computed))).alias("__held"))
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], "__held.*")
+
+
 # -- terms ---------------------------------------------------------------------------------
 
 def strip_tags(c: Column) -> Column:

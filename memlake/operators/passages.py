@@ -45,9 +45,10 @@ def select_passage(df: DataFrame, keys: list[str], text: str, question: str, lim
             .select(*keys, "__terms", "revision", (F.col("p.start") + F.col("o")).cast("bigint").alias("start_char"),
                     F.least(F.col("p.end"), F.col("p.start") + F.col("o") + limit).cast("bigint").alias("end_char"),
                     F.substr(F.col("p.text"), F.col("o") + 1, F.lit(limit)).alias("raw"))
-            .withColumn("passage", tx.clean(F.col("raw"), limit))
-            .where((F.length("passage") >= 40) & ~F.col("passage").rlike(fixed.FIELD_ONLY))
-            .withColumn("words", tx.distinct_terms(tx.content_words(F.col("raw")), 128)))
+            )
+    wins = tx.hold(wins, tx.clean(F.col("raw"), limit).alias("passage")).where(
+        (F.length("passage") >= 40) & ~F.col("passage").rlike(fixed.FIELD_ONLY))
+    wins = tx.hold(wins, tx.distinct_terms(tx.content_words(F.col("raw")), 128).alias("words"))
     overlap = F.array_intersect("__terms", "words")
     score = F.aggregate(overlap, F.lit(0.0), lambda a, w: a + 1 + F.least(F.length(w), F.lit(20)) / 20)
     scored = wins.withColumn("score", F.round(score, 6))

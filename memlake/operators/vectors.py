@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.text import hold
 from memlake.session import broadcast_if_small
 
 
@@ -30,7 +31,10 @@ def similar(vectors: DataFrame, queries: DataFrame, column: str, query: str, dim
     The query side is counted and broadcast when small. Otherwise a scoped call shuffles on its
     scope, and an unscoped one must be split by the caller into batches that fit.
     """
-    side = broadcast_if_small(queries)
-    pairs = vectors.join(side, on) if on else vectors.join(side)
-    scored = pairs.withColumn("score", F.round(cosine(column, query, dim), 6)).drop(column, query)
+    norm = lambda c: F.sqrt(dot(c, c, dim))
+    side = broadcast_if_small(queries.withColumn("__nq", norm(query)))
+    left = vectors.withColumn("__nv", norm(column))
+    pairs = left.join(side, on) if on else left.join(side)
+    score = F.round(dot(column, query, dim) / (F.col("__nv") * F.col("__nq")), 6)
+    scored = hold(pairs, score.alias("score")).drop(column, query, "__nv", "__nq")
     return scored if floor is None else scored.where(F.col("score") >= floor)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from memlake import registry
 
-FAMILIES = ["text", "failures", "packs", "retrieval", "evals", "sessions", "governance"]
+FAMILIES = ["text", "failures", "packs", "retrieval", "evals", "sessions", "governance", "sources", "streams"]
 
 
 def load():
