@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from memlake.session import durable
 
-N = F.count(F.lit(1))
+def count_rows():
+    return F.count(F.lit(1))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -51,10 +52,10 @@ def settled(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
     ``edges`` are (node, need) pairs without repeats. Members of cycles never settle.
     """
     edges = durable(edges.select("node", "need"))
-    left = durable(edges.groupBy("node").agg(N.alias("open")).join(seeds, "node", "left_anti"))
+    left = durable(edges.groupBy("node").agg(count_rows().alias("open")).join(seeds, "node", "left_anti"))
     done = frontier = durable(seeds.select("node").distinct())
     for _ in range(rounds):
-        met = edges.join(frontier.withColumnRenamed("node", "need"), "need").groupBy("node").agg(N.alias("met"))
+        met = edges.join(frontier.withColumnRenamed("node", "need"), "need").groupBy("node").agg(count_rows().alias("met"))
         left = durable(left.join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
         frontier = left.where("open = 0").select("node")
         if frontier.isEmpty():
@@ -130,8 +131,8 @@ def governance(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, cycl
     # Influence edges: prerequisite -> dependent, replacement -> replaced; both may name one pair.
     influence = durable(inside(inside(deps.select(F.col("need").alias("src"), F.col("node").alias("dst"))
                         .unionByName(sups.select(F.col("node").alias("src"), F.col("target").alias("dst"))).distinct(), "src"), "dst"))
-    state = durable(part.join(influence.groupBy(F.col("dst").alias("node")).agg(N.alias("open")), "node", "left")
-                    .join(deps.groupBy("node").agg(N.alias("deps")), "node", "left")
+    state = durable(part.join(influence.groupBy(F.col("dst").alias("node")).agg(count_rows().alias("open")), "node", "left")
+                    .join(deps.groupBy("node").agg(count_rows().alias("deps")), "node", "left")
                     .select("node", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("deps", F.lit(0)).alias("deps"),
                             F.lit(0).cast("bigint").alias("governed"), F.lit(False).alias("replaced"), F.lit(None).cast("string").alias("state")))
     for _ in range(rounds):

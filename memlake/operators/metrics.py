@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from memlake.operators.ordered import value_at_index
 
-N = F.count(F.lit(1))
+def count_rows():
+    return F.count(F.lit(1))
 
 
 def share(cond: Column, of: Column | None = None) -> Column:
@@ -35,7 +36,7 @@ def retrieval_metrics(cases: DataFrame) -> DataFrame:
     rank = F.col("rank").isNotNull()
     hard = pos & (F.col("overlap") < 0.34)
     grouped = cases.groupingSets([["split"], []], "split").agg(
-        N.alias("cases"), F.sum(pos.cast("bigint")).alias("positives"),
+        count_rows().alias("cases"), F.sum(pos.cast("bigint")).alias("positives"),
         share(F.col("status") == "unavailable").alias("unavailable_rate"),
         share(rank, pos).alias("hit_at_k"), share(F.col("rank") == 1, pos).alias("hit_at_1"),
         F.round(F.sum(F.when(pos & rank, 1 / F.col("rank")).otherwise(0.0)) / F.nullif(F.sum(pos.cast("bigint")), F.lit(0)), 6).alias("mrr"),
@@ -63,7 +64,7 @@ def counted_with_examples(df: DataFrame, group: str, example: str, k: int) -> Da
     w = W.partitionBy(group).orderBy(example)
     few = (df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).groupBy(group)
            .agg(F.array_sort(F.collect_list(example)).alias("__e")))
-    return (df.groupBy(group).agg(N.alias("n")).join(few, group)
+    return (df.groupBy(group).agg(count_rows().alias("n")).join(few, group)
             .select(group, "n", F.array_join(F.transform("__e", lambda x: x.cast("string")), " ").alias("examples")))
 
 
@@ -79,7 +80,7 @@ def multiset_digest(hexes: Column) -> Column:
 def dense_grid(tasks: DataFrame, key: str, baselines: list[str], traces: DataFrame) -> DataFrame:
     """Every task under every baseline, attempted or not. Repeated traces mark their cell."""
     grid = tasks.select(key, F.explode(F.array(*[F.lit(b) for b in baselines])).alias("baseline"))
-    once = traces.groupBy(key, "baseline").agg(N.alias("__n"), F.bool_and("completed").alias("completed"), F.bool_and("verified").alias("verified"))
+    once = traces.groupBy(key, "baseline").agg(count_rows().alias("__n"), F.bool_and("completed").alias("completed"), F.bool_and("verified").alias("verified"))
     rows = grid.join(once, [key, "baseline"], "left")
     done = F.coalesce("completed", F.lit(False))
     return rows.select(key, "baseline", F.col("__n").isNotNull().alias("attempted"), done.alias("completed"),
@@ -119,7 +120,7 @@ def sign_flip(diffs: DataFrame, value: str, most: int = 16) -> DataFrame:
     flipped = F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     as_far = F.abs(flipped) >= F.abs(total) - 1e-9
-    return (masks.groupBy("n", "mean_difference").agg(F.round(F.avg(as_far.cast("double")), 6).alias("p"), N.alias("assignments"))
+    return (masks.groupBy("n", "mean_difference").agg(F.round(F.avg(as_far.cast("double")), 6).alias("p"), count_rows().alias("assignments"))
             .where(F.col("n") <= most))
 
 

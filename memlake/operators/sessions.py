@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from memlake.operators.ordered import islands, number_rows, running
 
-N = F.count(F.lit(1))
-DAY = F.date_trunc("day", F.col("ts").cast("timestamp"))
+def count_rows():
+    return F.count(F.lit(1))
+def day():
+    """Block of a row ordered by time."""
+    return F.date_trunc("day", F.col("ts").cast("timestamp"))
 
 
 def fold(events: DataFrame, own: Column) -> DataFrame:
@@ -16,7 +19,7 @@ def fold(events: DataFrame, own: Column) -> DataFrame:
     kept = F.when(~own, F.lit(1))
     return (events.withColumn("__k", kept).groupBy("session_id").agg(
         F.min(F.when(F.col("__k") == 1, F.col("ts"))).alias("first_ts"), F.max(F.when(F.col("__k") == 1, F.col("ts"))).alias("last_ts"),
-        N.alias("processed"), F.count("__k").alias("accepted"), (N - F.count("__k")).alias("recursive"),
+        count_rows().alias("processed"), F.count("__k").alias("accepted"), (count_rows() - F.count("__k")).alias("recursive"),
         F.count(F.when((F.col("__k") == 1) & (F.col("event") == "UserPromptSubmit"), 1)).alias("prompts"),
         (F.coalesce(F.bool_or((F.col("__k") == 1) & F.col("event").isin("Stop", "SessionEnd")), F.lit(False))).alias("stopped"))
         .withColumn("completed", F.col("stopped") & (F.col("prompts") > 0)).drop("stopped"))
@@ -46,7 +49,7 @@ def retry_state(events: DataFrame, as_of: str, park_after: int = 8) -> DataFrame
     done = events.groupBy("session_id").agg(F.max(F.when(F.col("event") == "Stop", F.col("ts"))).alias("done"))
     failed = (events.where("event = 'PostToolUseFailure'").join(done, "session_id")
               .where(F.col("done").isNull() | (F.col("ts") > F.col("done")))
-              .groupBy("session_id").agg(N.alias("attempts"), F.max("ts").alias("last_attempt")))
+              .groupBy("session_id").agg(count_rows().alias("attempts"), F.max("ts").alias("last_attempt")))
     delay = F.least(F.lit(3600), 60 * F.pow(F.lit(2.0), F.least(F.col("attempts") - 1, F.lit(6)))).cast("bigint")
     waited = F.lit(as_of).cast("timestamp_ntz").cast("timestamp").cast("double") - F.col("last_attempt").cast("timestamp").cast("double")
     parked = F.col("attempts") >= park_after
@@ -55,14 +58,14 @@ def retry_state(events: DataFrame, as_of: str, park_after: int = 8) -> DataFrame
 
 def timeline(events: DataFrame) -> DataFrame:
     """Runs of consecutive rows with the same tool: (session, grp, tool, count, first_ts, last_ts)."""
-    marked = islands(events.select("session_id", "ts", "event_id", "name"), ["session_id"], ["ts", "event_id"], DAY,
+    marked = islands(events.select("session_id", "ts", "event_id", "name"), ["session_id"], ["ts", "event_id"], day(),
                      F.col("__before") != F.col("name"), "grp", {"__before": F.col("name")})
-    return marked.groupBy("session_id", "grp").agg(F.min("name").alias("tool"), N.alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return marked.groupBy("session_id", "grp").agg(F.min("name").alias("tool"), count_rows().alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def compress(groups: DataFrame, most: int) -> DataFrame:
     """Long timelines keep ten groups at both ends and one summary row between them."""
-    total = groups.groupBy("session_id").agg(N.alias("n"))
+    total = groups.groupBy("session_id").agg(count_rows().alias("n"))
     rows = groups.join(total, "session_id")
     long = (F.col("n") > most) & (F.col("n") > 20)
     middle = long & (F.col("grp") > 10) & (F.col("grp") <= F.col("n") - 10)
@@ -91,7 +94,7 @@ def tool_outcomes(calls: DataFrame, results: DataFrame, on: list[str]) -> DataFr
 def first_seen(rows: DataFrame, key: str, item: str) -> DataFrame:
     """Ordered distinct items per key, by first appearance."""
     first = rows.groupBy(key, item).agg(F.min(F.struct("ts", "event_id")).alias("f")).select(key, item, "f.ts", "f.event_id")
-    return number_rows(first, [key], ["ts", "event_id", item], DAY, "place")
+    return number_rows(first, [key], ["ts", "event_id", item], day(), "place")
 
 
 def recent_per_tool(events: DataFrame, each: int, total: int) -> DataFrame:
@@ -112,7 +115,7 @@ def acknowledged(rows: DataFrame, file: str, order: list[str], block: Column, si
     """Byte offset of the longest captured prefix of every journal."""
     r = running(rows, [file], order, block, {"__end": ("sum", F.col(size), True)})
     start = F.col("__end") - F.col(size)
-    return (r.groupBy(file).agg(F.max("__end").alias("size"), F.min(F.when(~captured, start)).alias("gap"), N.alias("records"))
+    return (r.groupBy(file).agg(F.max("__end").alias("size"), F.min(F.when(~captured, start)).alias("gap"), count_rows().alias("records"))
             .select(file, "records", "size", F.coalesce("gap", "size").alias("offset")))
 
 
@@ -145,7 +148,7 @@ def compare_runs(runs: DataFrame, fingerprint: str, order: str, back: int) -> Da
     """Each run with its last ``back`` comparable runs. A run is one row per configuration and day."""
     w = W.partitionBy(fingerprint).orderBy(order).rowsBetween(-back, -1)
     metrics = [c for c in runs.columns if c not in (fingerprint, order)]
-    return runs.select("*", N.over(w).alias("prior"), *[F.collect_list(c).over(w).alias(f"prior_{c}") for c in metrics])
+    return runs.select("*", count_rows().over(w).alias("prior"), *[F.collect_list(c).over(w).alias(f"prior_{c}") for c in metrics])
 
 
 def upper_middle(values: Column) -> Column:

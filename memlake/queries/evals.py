@@ -93,7 +93,7 @@ def recall_log(t):
 def recall_stats(t):
     w = recall_log(t).where("ts >= TIMESTAMP_NTZ '2024-01-24 00:00:00'")
     p = mt.index_percentiles(w.where("status IN ('hit', 'miss')"), [], "ms", 100, capped=False)
-    return (w.groupBy("kind", "status").agg(mt.N.alias("n"))
+    return (w.groupBy("kind", "status").agg(mt.count_rows().alias("n"))
             .select("kind", "status", "n", p.select("p50").scalar().alias("p50_ms"), p.select("p95").scalar().alias("p95_ms")))
 
 
@@ -126,9 +126,9 @@ def opened_after_hit(t):
 def live_summary(t):
     prompts = recall_log(t).where("kind = 'prompt' AND status IN ('hit', 'miss')")
     p = mt.index_percentiles(prompts, [], "ms", 100)
-    opened = opened_hits(t).agg(mt.N.alias("turns_checked"), mt.share(F.col("opened")).alias("opened_rate"))
+    opened = opened_hits(t).agg(mt.count_rows().alias("turns_checked"), mt.share(F.col("opened")).alias("opened_rate"))
     rate = mt.share(F.col("status") == "hit")
-    return (prompts.agg(mt.N.alias("prompts"), rate.alias("hit_rate"))
+    return (prompts.agg(mt.count_rows().alias("prompts"), rate.alias("hit_rate"))
             .select("prompts", "hit_rate", F.round(1 - F.col("hit_rate"), 6).alias("miss_rate"), p.select("p50").scalar().alias("p50_ms"),
                     p.select("p95").scalar().alias("p95_ms"), opened.select("turns_checked").scalar().alias("turns_checked"),
                     opened.select("opened_rate").scalar().alias("opened_rate")))
@@ -137,7 +137,7 @@ def live_summary(t):
 @query("live_notes", f"""WITH {OPEN_SQL}, n AS (SELECT path, count(*) AS shown, sum(opened::INT)::BIGINT AS opened FROM opened GROUP BY path)
  (SELECT 'never_opened' AS list, path, shown, opened FROM n WHERE opened = 0 ORDER BY shown DESC, path LIMIT 10) UNION ALL (SELECT 'most_used', path, shown, opened FROM n WHERE opened > 0 ORDER BY opened DESC, path LIMIT 10)""")
 def live_notes(t):
-    n = opened_hits(t).groupBy("path").agg(mt.N.alias("shown"), F.sum(F.col("opened").cast("bigint")).alias("opened"))
+    n = opened_hits(t).groupBy("path").agg(mt.count_rows().alias("shown"), F.sum(F.col("opened").cast("bigint")).alias("opened"))
     never = n.where("opened = 0").orderBy(F.desc("shown"), "path").limit(10).select(F.lit("never_opened").alias("list"), "*")
     used = n.where("opened > 0").orderBy(F.desc("opened"), "path").limit(10).select(F.lit("most_used").alias("list"), "*")
     return never.unionByName(used)
@@ -145,7 +145,7 @@ def live_notes(t):
 
 @query("live_missed", f"WITH {LOG} SELECT q, count(*) AS times FROM rlog WHERE kind = 'prompt' AND status = 'miss' GROUP BY q ORDER BY times DESC, q LIMIT 10")
 def live_missed(t):
-    return (recall_log(t).where("kind = 'prompt' AND status = 'miss'").groupBy("q").agg(mt.N.alias("times"))
+    return (recall_log(t).where("kind = 'prompt' AND status = 'miss'").groupBy("q").agg(mt.count_rows().alias("times"))
             .orderBy(F.desc("times"), "q").limit(10))
 
 
@@ -163,7 +163,7 @@ def answers_ab(t):
     judged, ctl = F.col("follows") != "invalid", F.col("control").isNotNull()
     with_, without = F.col("follows").isin("with", "both"), F.col("follows").isin("without", "both")
     neither = F.col("control") == "neither"
-    out = r.agg(mt.N.alias("attempted"), F.sum(judged.cast("bigint")).alias("judged"), mt.share(with_).alias("with_follows"), mt.share(without).alias("without_follows"),
+    out = r.agg(mt.count_rows().alias("attempted"), F.sum(judged.cast("bigint")).alias("judged"), mt.share(with_).alias("with_follows"), mt.share(without).alias("without_follows"),
                 mt.share(with_, judged).alias("judged_with_follows"), mt.share(without, judged).alias("judged_without_follows"),
                 mt.share(neither, F.col("control_scheduled")).alias("control_neither_rate"), mt.share(neither, ctl).alias("judged_control_neither_rate"),
                 (F.sum(F.col("control_scheduled").cast("int")) == F.count("control")).alias("all_judged"))
@@ -189,7 +189,7 @@ def seed_grid_join(t):
 @query("task_metrics", f"WITH {GRID_SQL} SELECT baseline, count(*) AS scheduled, sum(attempted::INT)::BIGINT AS attempted, sum(completed::INT)::BIGINT AS completed, {S('passed')} AS success_rate FROM grid GROUP BY baseline")
 def task_metrics(t):
     n = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
-    return task_grid(t).groupBy("baseline").agg(mt.N.alias("scheduled"), n("attempted"), n("completed"), mt.share(F.col("passed")).alias("success_rate"))
+    return task_grid(t).groupBy("baseline").agg(mt.count_rows().alias("scheduled"), n("attempted"), n("completed"), mt.share(F.col("passed")).alias("success_rate"))
 
 
 @query("stage_counts", f"""WITH {GRID_SQL} SELECT baseline, 'attempted' AS stage, sum(attempted::INT)::BIGINT AS done, sum((NOT attempted)::INT)::BIGINT AS skipped FROM grid GROUP BY baseline
@@ -206,10 +206,10 @@ def stage_counts(t):
  row_number() OVER (ORDER BY notes DESC, tag) <= 10 AS in_top FROM c""")
 def tag_stats(t):
     notes = note_index_frame(t).select("doc_id", "tags")
-    counts = tx.unnest(notes, [], F.col("tags"), "tag").groupBy("tag").agg(mt.N.alias("notes"))
+    counts = tx.unnest(notes, [], F.col("tags"), "tag").groupBy("tag").agg(mt.count_rows().alias("notes"))
     top = counts.orderBy(F.desc("notes"), "tag").limit(10).select("tag", F.lit(True).alias("in_top"))
     return (counts.join(top, "tag", "left")
-            .select("tag", "notes", F.lit(notes.agg(mt.N).scalar()).alias("note_count"), counts.agg(mt.N).scalar().alias("tag_count"),
+            .select("tag", "notes", F.lit(notes.agg(mt.count_rows()).scalar()).alias("note_count"), counts.agg(mt.count_rows()).scalar().alias("tag_count"),
                     F.coalesce("in_top", F.lit(False)).alias("in_top")))
 
 
@@ -219,27 +219,27 @@ DIGEST_SQL = lambda h: "sha256(" + " || ':' || ".join(f"CAST(sum(('0x' || substr
 @query("corpus_digest", f"WITH {NOTES}, h AS (SELECT collection, sha256(collection || chr(10) || doc_id || '.md' || chr(10) || revision) AS h FROM notes) SELECT collection, count(*) AS notes, {DIGEST_SQL('h')} AS digest FROM h GROUP BY collection UNION ALL SELECT '*', count(*), {DIGEST_SQL('h')} FROM h")
 def corpus_digest(t):
     h = demo.notes(t).select("collection", F.sha2(F.concat_ws("\n", "collection", F.concat(F.col("doc_id").cast("string"), F.lit(".md")), "revision"), 256).alias("h"))
-    out = h.groupingSets([["collection"], []], "collection").agg(mt.N.alias("notes"), mt.multiset_digest(F.col("h")).alias("digest"))
+    out = h.groupingSets([["collection"], []], "collection").agg(mt.count_rows().alias("notes"), mt.multiset_digest(F.col("h")).alias("digest"))
     return out.withColumn("collection", F.coalesce("collection", F.lit("*")))
 
 
 @query("case_set_id", f"WITH h AS (SELECT sha256(item_id || chr(10) || text) AS h FROM benchmark) SELECT 'benchmark:' || count(*) || ':' || substr({DIGEST_SQL('h')}, 1, 20) AS set_id FROM h")
 def case_set_id(t):
     h = t.benchmark.select(F.sha2(F.concat_ws("\n", F.col("item_id").cast("string"), "text"), 256).alias("h"))
-    return h.agg(mt.N.alias("n"), mt.multiset_digest(F.col("h")).alias("d")).select(
+    return h.agg(mt.count_rows().alias("n"), mt.multiset_digest(F.col("h")).alias("d")).select(
         F.concat(F.lit("benchmark:"), F.col("n").cast("string"), F.lit(":"), F.substring("d", 1, 20)).alias("set_id"))
 
 
 @query("vector_inventory", "SELECT label, len(embedding) AS dim, count(*) AS vectors, count(*) <= 20000 AS exact_search FROM embeddings GROUP BY ALL")
 def vector_inventory(t):
-    return (t.embeddings.groupBy("label", F.size("embedding").cast("bigint").alias("dim")).agg(mt.N.alias("vectors"))
+    return (t.embeddings.groupBy("label", F.size("embedding").cast("bigint").alias("dim")).agg(mt.count_rows().alias("vectors"))
             .withColumn("exact_search", F.col("vectors") <= 20_000))
 
 
 @query("exact_duplicates", "SELECT sha256(text) AS body, lang, count(*) AS copies, max(doc_id) AS kept, min(doc_id) AS oldest, count(DISTINCT source) AS sources FROM documents GROUP BY ALL HAVING count(*) > 1")
 def exact_duplicates(t):
     return (t.documents.select("doc_id", "lang", "source", F.sha2("text", 256).alias("body")).groupBy("body", "lang")
-            .agg(mt.N.alias("copies"), F.max("doc_id").alias("kept"), F.min("doc_id").alias("oldest"), F.countDistinct("source").alias("sources"))
+            .agg(mt.count_rows().alias("copies"), F.max("doc_id").alias("kept"), F.min("doc_id").alias("oldest"), F.countDistinct("source").alias("sources"))
             .where("copies > 1"))
 
 
@@ -248,14 +248,14 @@ def exact_duplicates(t):
 def redundant_blocks(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "body")).where("body <> ''")
     return (lines.groupBy("doc_id", F.sha2("body", 256).alias("block"))
-            .agg((F.min("i") + 1).cast("bigint").alias("kept_line"), (mt.N - 1).alias("removed")).where("removed > 0"))
+            .agg((F.min("i") + 1).cast("bigint").alias("kept_line"), (mt.count_rows() - 1).alias("removed")).where("removed > 0"))
 
 
 @query("store_usage", """WITH e AS (SELECT source, ((octet_length(encode(text)) + 4095) // 4096) * 4096 + 4 * (4096 + 512) AS bytes FROM documents)
  SELECT source, count(*) AS entries, sum(bytes)::BIGINT AS used, sum(bytes) + 4 * 4608 <= 2000000 AND 4 * count(*) + 4 <= 100000 AS admitted FROM e GROUP BY source""")
 def store_usage(t):
     size = F.ceil(F.octet_length("text") / 4096) * 4096 + 4 * (4096 + 512)
-    return (t.documents.groupBy("source").agg(mt.N.alias("entries"), F.sum(size).alias("used"))
+    return (t.documents.groupBy("source").agg(mt.count_rows().alias("entries"), F.sum(size).alias("used"))
             .withColumn("admitted", (F.col("used") + 4 * 4608 <= 2_000_000) & (4 * F.col("entries") + 4 <= 100_000)))
 
 
@@ -269,7 +269,7 @@ def import_report(t):
     rows = docs.join(first, "h").withColumn("outcome", F.when(F.col("n_chars") < 100, "failure").when(F.col("first") < F.col("doc_id"), "unchanged").otherwise("queued"))
     detail = mt.counted_with_examples(rows.where("outcome = 'failure'"), "source", "doc_id", 100).select("source", F.col("examples").alias("detail"))
     n = lambda o, a: F.sum((F.col("outcome") == o).cast("bigint")).alias(a)
-    return (rows.groupBy("source").agg(mt.N.alias("examined"), n("queued", "queued"), n("unchanged", "unchanged"), n("failure", "failures"))
+    return (rows.groupBy("source").agg(mt.count_rows().alias("examined"), n("queued", "queued"), n("unchanged", "unchanged"), n("failure", "failures"))
             .join(detail, "source", "left").withColumn("detail", F.coalesce("detail", F.lit(""))))
 
 
@@ -282,7 +282,7 @@ def import_report(t):
 def cost_ledger(t):
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     reserve = t.orders.select(F.col("o_orderkey").alias("call"), "o_orderpriority", cents("o_totalprice").alias("reserved"))
-    settle = t.lineitem.groupBy(F.col("l_orderkey").alias("call")).agg(F.sum(cents("l_extendedprice")).alias("settled"), mt.N.alias("settles"))
+    settle = t.lineitem.groupBy(F.col("l_orderkey").alias("call")).agg(F.sum(cents("l_extendedprice")).alias("settled"), mt.count_rows().alias("settles"))
     j = reserve.join(settle, "call", "full_outer")
     flag = lambda c, a: F.sum(F.coalesce(c.cast("bigint"), F.lit(0))).alias(a)
     return j.groupBy(F.coalesce("o_orderpriority", F.lit("none")).alias("grp")).agg(
@@ -304,7 +304,7 @@ def arm_rates(t):
     cells = t.events.select(F.col("event_type").alias("arm"), (F.col("event_id") % 12 + 1).alias("ordinal"), ok.alias("ok"))
     member = F.array_compact(F.array(*[F.when(F.col("ordinal").isin(o), F.lit(n)) for n, o in SUBSETS.items()]))
     return (cells.withColumn("subset", F.explode(member)).groupBy("arm", "subset").agg(
-        mt.N.alias("scheduled"), F.count("ok").alias("known"), F.sum(F.coalesce("ok", F.lit(False)).cast("bigint")).alias("successes"),
+        mt.count_rows().alias("scheduled"), F.count("ok").alias("known"), F.sum(F.coalesce("ok", F.lit(False)).cast("bigint")).alias("successes"),
         mt.share(F.col("ok"), F.col("ok").isNotNull()).alias("rate_among_known"), mt.share(F.col("ok")).alias("lower_bound")))
 
 
@@ -361,7 +361,7 @@ def journal_summary(t):
              .groupBy("trajectory", "arm", "phase", "stage").agg(F.min("st").alias("st")))
     arms = ["click", "error", "purchase", "signup", "view"]
     rows = cell_states(cells.select("trajectory").distinct(), cells, arms, phases=3, stages=2)
-    return rows.groupBy("arm", "state").agg(mt.N.alias("cells"), F.sum(F.col("success").cast("bigint")).alias("successes"))
+    return rows.groupBy("arm", "state").agg(mt.count_rows().alias("cells"), F.sum(F.col("success").cast("bigint")).alias("successes"))
 
 
 @query("source_staleness", """WITH a AS (SELECT event_type AS source, max(CASE WHEN value > 1 THEN ts END) AS last_ok, max(ts) AS last_any FROM events GROUP BY ALL)

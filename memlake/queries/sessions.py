@@ -53,7 +53,7 @@ def synthesis_due(t):
 def transcript_summary(t):
     h = _named(t)
     path = F.when(F.col("event").startswith("PostToolUse"), F.get_json_object("data", "$.tool_input.file_path"))
-    return h.groupBy("session_id", "name").agg(mt.N.alias("n"), F.sum((F.col("event") == "PostToolUseFailure").cast("bigint")).alias("errors"), F.countDistinct(path).alias("files"))
+    return h.groupBy("session_id", "name").agg(mt.count_rows().alias("n"), F.sum((F.col("event") == "PostToolUseFailure").cast("bigint")).alias("errors"), F.countDistinct(path).alias("files"))
 
 
 def _named(t):
@@ -69,7 +69,7 @@ RECORD = "CASE WHEN event_id % 41 = 0 THEN substr(data, 1, length(data) - 1) ELS
 def coverage_report(t):
     r = demo.hooks(t).withColumn("rec", F.expr(RECORD))
     return r.groupBy(F.col("cwd").alias("source")).agg(
-        mt.N.alias("records"), F.sum(F.try_parse_json("rec").isNull().cast("bigint")).alias("malformed"),
+        mt.count_rows().alias("records"), F.sum(F.try_parse_json("rec").isNull().cast("bigint")).alias("malformed"),
         F.sum((F.col("event") == "PostToolUse").cast("bigint")).alias("unknown_outcomes"), F.sum(F.octet_length("rec").cast("bigint") + 1).alias("bytes"))
 
 
@@ -95,7 +95,7 @@ def timeline_compress(t):
 @query("import_ordinals", f"""WITH {HOOKS}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id, event ORDER BY ts, event_id) AS ordinal FROM hooks)
  SELECT event_id, session_id, event, ordinal, coalesce(ordinal < max(ordinal) OVER (PARTITION BY session_id, event ORDER BY k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM o""")
 def import_ordinals(t):
-    numbered = number_rows(demo.hooks(t).select("event_id", "session_id", "event", "ts", "k"), ["session_id", "event"], ["ts", "event_id"], ss.DAY, "ordinal")
+    numbered = number_rows(demo.hooks(t).select("event_id", "session_id", "event", "ts", "k"), ["session_id", "event"], ["ts", "event_id"], ss.day(), "ordinal")
     r = running(numbered, ["session_id", "event"], ["k", "event_id"], F.col("k"), {"high": ("max", F.col("ordinal"), False)})
     return r.select("event_id", "session_id", "event", "ordinal", F.coalesce(F.col("ordinal") < F.col("high"), F.lit(False)).alias("stale"))
 
@@ -171,7 +171,7 @@ def runs(t):
     rate = lambda c, a: F.round(F.avg(c.cast("int")), 6).alias(a)
     v = F.col("value")
     return (t.events.groupBy(F.col("event_type").alias("fingerprint"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-            .agg(mt.N.alias("scheduled"), rate(v > 30, "hit"), rate(v > 90, "junk"), rate(v < 5, "unavailable"), F.max(F.round(v * 10).cast("bigint")).alias("p95")))
+            .agg(mt.count_rows().alias("scheduled"), rate(v > 30, "hit"), rate(v > 90, "junk"), rate(v < 5, "unavailable"), F.max(F.round(v * 10).cast("bigint")).alias("p95")))
 
 
 @query("comparable_runs", f"WITH {RUNS} SELECT fingerprint, day, hit, count(*) OVER w AS prior, min(day) OVER w AS oldest FROM runs WINDOW w AS (PARTITION BY fingerprint ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")

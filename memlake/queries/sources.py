@@ -196,7 +196,7 @@ def scan_recall_log(t):
     even = F.col("event_id") % 2 == 0
     line = F.to_json(F.struct(F.when(even, F.concat(stamp, F.lit("Z"))).alias("ts"), F.when(~even, stamp).alias("t"), "kind", "status", "q", "ms"))
     rows = fi.recall_log(recall_log(t).select(line.alias("v")), "v", "2024-01-31T00:00:00Z", 7)
-    return rows.groupBy("q", "status", "ms").agg(mt.N.alias("n"))
+    return rows.groupBy("q", "status", "ms").agg(mt.count_rows().alias("n"))
 
 
 # -- sinks ---------------------------------------------------------------------------------------------
@@ -207,7 +207,7 @@ def sink_run_history(t):
     root = fi.scratch(t.spark, "runs")
     for _ in range(2):
         st.append_run(runs(t).withColumn("rows", F.lit("detail")), root, ["rows"])
-    return t.spark.read.parquet(f"{root}/history").groupBy("fingerprint").agg(mt.N.alias("runs"), F.sum("scheduled").alias("scheduled"))
+    return t.spark.read.parquet(f"{root}/history").groupBy("fingerprint").agg(mt.count_rows().alias("runs"), F.sum("scheduled").alias("scheduled"))
 
 
 def _chunks(t):
@@ -280,7 +280,7 @@ def sink_idempotent_upsert(t):
     root = fi.scratch(t.spark, "upsert")
     for part in (t.events.where("event_id % 2 = 0"), t.events, t.events.where("event_id % 3 = 0")):
         st.upsert(part.select("event_id", "event_type"), root, "event_id")
-    return t.spark.read.parquet(root).groupBy("event_type").agg(mt.N.alias("n"))
+    return t.spark.read.parquet(root).groupBy("event_type").agg(mt.count_rows().alias("n"))
 
 
 # -- set operations ----------------------------------------------------------------------------------------
@@ -363,7 +363,7 @@ def path_to_collection(t):
     # A path has few ancestors: explode them and join on equality instead of a prefix scan.
     steps = F.split("u", "/")
     up = p.select("page_id", "u", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.size(steps) - 1, F.lit(3))), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("root"))
-    one = up.join(roots, "root").groupBy("page_id").agg(F.min("root").alias("root"), mt.N.alias("n")).where("n = 1")
+    one = up.join(roots, "root").groupBy("page_id").agg(F.min("root").alias("root"), mt.count_rows().alias("n")).where("n = 1")
     ref = F.concat(F.lit("qmd://"), F.regexp_replace("root", "^https?://", ""), F.expr("substr(u, length(root) + 1)"))
     return p.join(one, "page_id", "left").select("page_id", F.coalesce(ref, F.col("u")).alias("ref"))
 
@@ -379,7 +379,7 @@ def unchanged_skip(t):
 def pending_events(t):
     processed = t.events.where("value >= 20").select("event_id")
     return (t.events.join(processed, "event_id", "left_anti").groupBy(F.col("user_id").alias("session_id"))
-            .agg(mt.N.alias("pending"), F.min("event_id").alias("first_event")))
+            .agg(mt.count_rows().alias("pending"), F.min("event_id").alias("first_event")))
 
 
 @query("folder_lookup", "SELECT c_custkey, coalesce(n_name, 'default') AS folder FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_nationkey = c_nationkey")
@@ -421,7 +421,7 @@ def semantic_duplicate(t):
  SELECT lang, source, CASE WHEN lang = 'es' THEN 'merge disabled' WHEN sources >= 30 THEN 'concept source limit reached' WHEN origins = 0 THEN 'actual source path unavailable' WHEN size > 24000 THEN 'existing note exceeds bounded merge assessment' WHEN fresh < sources THEN 'no new addition' ELSE 'merge' END AS decision FROM g""")
 def merge_decision(t):
     from memlake.operators.notes import merge_rule
-    g = t.documents.groupBy("lang", "source").agg(mt.N.alias("sources"), F.count(F.when(F.col("n_chars") > 300, 1)).alias("origins"), F.sum("n_chars").alias("size"), F.countDistinct(F.sha2("text", 256)).alias("fresh"))
+    g = t.documents.groupBy("lang", "source").agg(mt.count_rows().alias("sources"), F.count(F.when(F.col("n_chars") > 300, 1)).alias("origins"), F.sum("n_chars").alias("size"), F.countDistinct(F.sha2("text", 256)).alias("fresh"))
     return g.select("lang", "source", merge_rule(F.col("lang") != "es", F.col("sources"), F.col("origins"), F.col("size"), F.col("fresh") == F.col("sources"), most=30).alias("decision"))
 
 
@@ -476,4 +476,4 @@ def index_proof(t):
     idx = d.where(m != 1).select("doc_id", F.explode(F.when(m == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("row"), (m != 3).alias("active"),
                                  F.when(m == 4, "other").otherwise(F.col("revision")).alias("hash"), F.when(m == 5, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("doc"),
                                  F.when(m == 6, F.lit("stale")).otherwise(F.col("text")).alias("fts"))
-    return proof(d.select("doc_id", "source", "revision"), idx, "doc_id").groupBy("source", "code").agg(mt.N.alias("n"), F.min("doc_id").alias("first_doc"))
+    return proof(d.select("doc_id", "source", "revision"), idx, "doc_id").groupBy("source", "code").agg(mt.count_rows().alias("n"), F.min("doc_id").alias("first_doc"))

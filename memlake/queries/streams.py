@@ -63,7 +63,7 @@ def stream_journal(t):
 @query("stream_dedupe", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
 def stream_dedupe(t):
     s = _stream(t, t.events.select("event_id", "ts", "event_type"), resend=True)
-    return _drain(t, sj.dedupe(s, "40 days")).groupBy("event_type").agg(mt.N.alias("n"), F.sum("event_id").alias("ids"))
+    return _drain(t, sj.dedupe(s, "40 days")).groupBy("event_type").agg(mt.count_rows().alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("stream_session_windows", """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -121,7 +121,7 @@ def stream_ttl_suppress(t):
 @query("stream_failure_class", TEXT + " SELECT date_trunc('hour', ts) AS start, kind, count(*) AS n FROM an GROUP BY ALL")
 def stream_failure_class(t):
     s = _stream(t, _failures(t), flush={"kind": "flush", "event_id": -1})
-    out = _drain(t, sj.windowed(s, ["kind"], "1 hour", None, "1 hour", [mt.N.alias("n")]))
+    out = _drain(t, sj.windowed(s, ["kind"], "1 hour", None, "1 hour", [mt.count_rows().alias("n")]))
     return out.where("kind <> 'flush'").select(sj.from_utc("start").alias("start"), "kind", "n")
 
 
@@ -133,7 +133,7 @@ DAILY = f"""WITH l AS (SELECT {LOG_COLS} FROM events), k AS (SELECT * FROM l WHE
 @query("stream_daily_metrics", DAILY)
 def stream_daily_metrics(t):
     log = demo.project(t.events, LOG_COLS).where("status IN ('hit', 'miss')").select("event_id", "ts", "status", "ms")
-    aggs = [mt.N.alias("prompts"), F.sum((F.col("status") == "hit").cast("bigint")).alias("hits"), F.sum("ms").alias("ms")]
+    aggs = [mt.count_rows().alias("prompts"), F.sum((F.col("status") == "hit").cast("bigint")).alias("hits"), F.sum("ms").alias("ms")]
     path, schema = _slices(t, log, flush={"status": "flush", "event_id": -1, "ms": 0})
     outs = []
     for width, span, slide in (("day", "1 day", None), ("week", "7 days", "1 day")):
@@ -155,7 +155,7 @@ def stream_index_refresh(t):
         return post.drop("field")
 
     rows = sj.refresh_index(t.spark, sj.tail(t.spark, path, d.schema, 1), scratch(t.spark, "index"), build, scratch(t.spark, "checkpoint"))
-    return rows.groupBy("doc_id", "generation").agg(mt.N.alias("terms"), F.sum("tf").alias("tokens"))
+    return rows.groupBy("doc_id", "generation").agg(mt.count_rows().alias("terms"), F.sum("tf").alias("tokens"))
 
 
 CHANGES = "user_id AS scope, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS doc_id, event_id AS generation, CASE event_type WHEN 'purchase' THEN 'lexical' WHEN 'signup' THEN 'vector' ELSE 'change' END AS kind, value > 5 AS saved"

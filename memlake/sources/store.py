@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from memlake.functions.text import json_string
 from memlake.operators.ordered import running
 
-N = F.count(F.lit(1))
+def count_rows():
+    return F.count(F.lit(1))
 
 
 def missing_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:

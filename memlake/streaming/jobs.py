@@ -92,7 +92,7 @@ def session_state(events: DataFrame, arrival: list[str]) -> DataFrame:
             stops += event == "Stop"
         state.update((n, stale, int(prompts), int(stops), float(high)))
         yield pd.DataFrame({"session_id": [key[0]], "processed": [n], "stale": [stale], "prompts": [prompts], "stops": [stops],
-                            "high": [pd.Timestamp(high, unit="s") if n > stale else pd.NaT]})
+                            "high": [pd.Timestamp(round(high * 1_000_000), unit="us") if n > stale else pd.NaT]})
 
     return events.groupBy("session_id").applyInPandasWithState(fold, SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.NoTimeout)
 
