@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memlake.functions import fixed
-from memlake.functions.text import find_all, sub
+from memlake.functions.text import find_all, hold, let, sub
 
 
 def failure_text(tool: Column, exit_code: Column, stderr: Column, stdout: Column) -> Column:
@@ -29,8 +29,7 @@ def _lines(c: Column) -> Column:
 
 def error_line(c: Column) -> Column:
     """Most specific error line: a tool's own diagnostic, then wordy, then late."""
-    lines = _lines(c)
-    last = F.when(F.size(lines) > 60, F.slice(lines, -60, 60)).otherwise(lines)
+    last = let(_lines(c), lambda ls: F.when(F.size(ls) > 60, F.slice(ls, -60, 60)).otherwise(ls))
 
     def scored(l, i):
         words = F.size(find_all(l, "[A-Za-z]{3,}"))
@@ -43,30 +42,32 @@ def error_line(c: Column) -> Column:
 
 
 def fallback_line(c: Column) -> Column:
-    lines = _lines(c)
-    head = F.get(lines, F.lit(0))
-    return F.coalesce(F.substring(F.when(head.rlike(fixed.EXIT_HEADER), head)
-                                  .otherwise(F.get(lines, F.size(lines) - 1)), 1, 300), F.lit(""))
+    def pick(lines):
+        head = F.get(lines, F.lit(0))
+        return F.substring(F.when(head.rlike(fixed.EXIT_HEADER), head).otherwise(F.get(lines, F.size(lines) - 1)), 1, 300)
+    return F.coalesce(let(_lines(c), pick), F.lit(""))
 
 
 def classify(c: Column, command: Column, exit_code: Column, stderr: Column) -> tuple[Column, Column]:
     """(class, retry_after seconds or null) of the evidence text ``c``."""
-    active = F.lower(sub(c, fixed.NEGATED_CREDENTIAL, ""))
-    # Python's first newline stands between provider code (none in logs) and text.
-    status = F.regexp_extract(c, fixed.HTTP_STATUS, 1)
     tool = F.element_at(F.split(F.element_at(F.split(F.trim(command), r"\s+"), 1), "/"), -1)
     quiet = ((exit_code == 1) & (F.coalesce(stderr, F.lit("")) == "") & tool.isin(fixed.QUIET_TOOLS)
              & ~command.rlike(r"[;|]|&&"))
-    kind = (F.when(quiet, "expected_nonzero")
-            .when(active.rlike(fixed.BUDGET), "budget")
-            .when(active.rlike(fixed.RESOURCE), "resource")
-            .when(active.rlike(fixed.AUTHENTICATION) | (status == "401") | active.rlike(fixed.AUTHENTICATION_401), "authentication")
-            .when((status == "403") | active.rlike(fixed.AUTHORIZATION), "authorization")
-            .when(status.isin("429", "502", "503", "504") | active.rlike(fixed.TRANSIENT), "transient")
-            .when(status.isin("400", "422") | active.rlike(fixed.INVALID_INPUT), "invalid_input")
-            .otherwise("unknown"))
-    retry = F.regexp_extract(active, fixed.RETRY_AFTER, 1)
-    return kind, F.when(~quiet & (retry != ""), retry.cast("bigint"))
+    seen = F.struct(F.lower(sub(c, fixed.NEGATED_CREDENTIAL, "")).alias("text"), F.regexp_extract(c, fixed.HTTP_STATUS, 1).alias("status"))
+
+    def named(s):
+        active, status = s["text"], s["status"]
+        return (F.when(active.rlike(fixed.BUDGET), "budget")
+                .when(active.rlike(fixed.RESOURCE), "resource")
+                .when(active.rlike(fixed.AUTHENTICATION) | (status == "401") | active.rlike(fixed.AUTHENTICATION_401), "authentication")
+                .when((status == "403") | active.rlike(fixed.AUTHORIZATION), "authorization")
+                .when(status.isin("429", "502", "503", "504") | active.rlike(fixed.TRANSIENT), "transient")
+                .when(status.isin("400", "422") | active.rlike(fixed.INVALID_INPUT), "invalid_input")
+                .otherwise("unknown"))
+
+    kind = F.when(quiet, "expected_nonzero").otherwise(let(seen, named))
+    retry = F.nullif(F.regexp_extract(F.lower(sub(c, fixed.NEGATED_CREDENTIAL, "")), fixed.RETRY_AFTER, 1), F.lit(""))
+    return kind, F.when(~quiet, retry.cast("bigint"))
 
 
 def advice(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -79,9 +80,10 @@ def identifiers(line: Column, limit: int = 3) -> Column:
     """Up to ``limit`` identifiers that mean one thing on their own."""
     bare = sub(sub(sub(line, fixed.URL, " "), fixed.DOTTED, " "), fixed.ERROR_NOISE, " ")
     found = F.filter(find_all(bare, fixed.FAILURE_IDENTIFIER), lambda t: ~F.upper(t).isin(fixed.COMMON_IDENTIFIERS))
-    first = F.filter(F.transform(found, lambda t, i: F.when(
-        F.array_position(F.transform(found, lambda o: F.lower(o)), F.lower(t)) == i + 1, t)), lambda t: t.isNotNull())
-    return F.slice(first, 1, limit)
+    def distinct(ts):
+        low = F.transform(ts, lambda o: F.lower(o))
+        return F.filter(F.transform(ts, lambda t, i: F.when(F.array_position(low, F.lower(t)) == i + 1, t)), lambda t: t.isNotNull())
+    return F.slice(let(found, distinct), 1, limit)
 
 
 def signature(kind: Column, line: Column) -> Column:
@@ -91,7 +93,7 @@ def signature(kind: Column, line: Column) -> Column:
 def analysed(df):
     """Failed commands with their best line, class, retry delay and signature."""
     text = failure_text(F.col("tool_name"), F.col("exit_code"), F.col("stderr"), F.col("stdout"))
-    rows = df.withColumn("failure", text).where("failure <> ''")
+    rows = hold(df, text.alias("failure")).where("failure <> ''")
     proof = F.right(evidence(F.col("failure")), F.lit(6000))
     kind, retry = classify(F.col("evidence"), F.col("command"), F.col("exit_code"), F.col("stderr"))
     best = error_line(F.col("failure"))

@@ -21,6 +21,11 @@ def find_all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_string(c: Column) -> Column:
     """``c`` as a JSON string literal, quotes included."""
     whole = F.to_json(F.struct(c.alias("v")))
@@ -86,15 +91,14 @@ def content_words(c: Column) -> Column:
 
 def first_forms(words: Column, lowered: Column) -> Column:
     """The first spelling in ``words`` of each entry of ``lowered``."""
-    low = F.transform(words, F.lower)
-    return F.transform(lowered, lambda l: F.element_at(words, F.array_position(low, l).cast("int")))
+    return let(words, lambda ws: let(F.transform(ws, F.lower), lambda low: F.transform(
+        lowered, lambda l: F.element_at(ws, F.array_position(low, l).cast("int")))))
 
 
 def cap_both_ends(terms: Column, limit: int) -> Column:
     head = limit // 2
     tail = limit - head
-    return F.when(F.size(terms) > limit,
-                  F.concat(F.slice(terms, 1, head), F.slice(terms, -tail, tail))).otherwise(terms)
+    return let(terms, lambda t: F.when(F.size(t) > limit, F.concat(F.slice(t, 1, head), F.slice(t, -tail, tail))).otherwise(t))
 
 
 def distinct_terms(words: Column, limit: int | None) -> Column:
@@ -130,23 +134,24 @@ def ladder(terms: Column, ranked: Column) -> Column:
 
     The rungs are nested, so two neighbours are equal exactly when their sizes are.
     """
-    n = F.size(terms)
-
-    def top(k):
-        best = F.slice(ranked, 1, k)
-        return F.when(n > k, F.filter(terms, lambda t: F.array_contains(best, t)))
+    def rungs(both):
+        all_, best_first = both["t"], both["r"]
+        n = F.size(all_)
+        top = lambda k: F.when(n > k, let(F.slice(best_first, 1, k), lambda best: F.filter(all_, lambda t: F.array_contains(best, t))))
+        return F.filter(F.array(F.when(n >= 1, all_), top(5), top(3), top(2)),
+                        lambda r: r.isNotNull() & ((F.size(r) >= 2) | (n == 1)))
 
-    rungs = F.array(F.when(n >= 1, terms), top(5), top(3), top(2))
-    return F.filter(rungs, lambda r: r.isNotNull() & ((F.size(r) >= 2) | (n == 1)))
+    return let(F.struct(terms.alias("t"), ranked.alias("r")), rungs)
 
 
 def leave_one_out(rungs: Column) -> Column:
     """Pairs of the last three-term rung that are no rung yet."""
-    triple = F.get(F.reverse(F.filter(rungs, lambda r: F.size(r) == 3)), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(3)),
-                        lambda i: F.array_remove(triple, F.element_at(triple, i)))
-    return F.when(triple.isNotNull(), F.filter(pairs, lambda p: ~F.array_contains(rungs, p))).otherwise(
-        F.array().cast("array<array<string>>"))
+    def pairs(rs):
+        triple = F.get(F.reverse(F.filter(rs, lambda r: F.size(r) == 3)), F.lit(0))
+        made = let(triple, lambda t: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.array_remove(t, F.element_at(t, i))))
+        return F.when(triple.isNotNull(), F.filter(made, lambda p: ~F.array_contains(rs, p)))
+
+    return F.coalesce(let(rungs, pairs), F.array().cast("array<array<string>>"))
 
 
 def keyword_query(c: Column, limit: int = 4) -> Column:
@@ -168,18 +173,22 @@ def fts_terms(c: Column, limit: int = 32) -> Column:
 def semantic_intent(c: Column, limit: int = 2000) -> tuple[Column, Column]:
     """(intent, sampled): head and tail of a long prompt with the identifiers of its middle."""
     names = F.array_join(F.array_distinct(find_all(c, fixed.IDENTIFIER_IN_INTENT)), " ")
-    middle = F.when(F.length(names) > 300, F.right(names, F.lit(300))).otherwise(names)
-    half = F.floor((limit - F.length(middle) - 48) / 2).cast("int")
-    head = F.greatest(F.lit(0), half)
-    text = F.concat(F.substr(c, F.lit(1), head), F.lit("\n[omitted middle; identifiers: "), middle,
-                    F.lit("]\n"), F.right(c, head))
+
+    def shortened(middle):
+        head = F.greatest(F.lit(0), F.floor((limit - F.length(middle) - 48) / 2).cast("int"))
+        text = F.concat(F.substr(c, F.lit(1), head), F.lit("\n[omitted middle; identifiers: "), middle, F.lit("]\n"), F.right(c, head))
+        return F.substr(text, F.lit(1), F.lit(limit))
+
     sampled = F.length(c) > limit
-    return F.when(sampled, F.substr(text, F.lit(1), F.lit(limit))).otherwise(c), sampled
+    return F.when(sampled, let(F.right(names, F.lit(300)), shortened)).otherwise(c), sampled
 
 
 def gate_reason(c: Column, terms: Column) -> Column:
     """Why a prompt is not searched; null when it is. ``terms`` are its content terms."""
-    stripped = python_strip(strip_tags(c))
+    return let(python_strip(strip_tags(c)), lambda s: _gate(c, s, terms))
+
+
+def _gate(c: Column, stripped: Column, terms: Column) -> Column:
     words = find_all(stripped, fixed.WORD)
     meaningful = F.exists(words, lambda w: ~F.lower(w).isin(fixed.STOPWORDS) & ~matches(w, fixed.DATEISH))
     follow_up = F.lit("follow-up has no retrieval subject")
@@ -213,7 +222,10 @@ def drop_front(c: Column) -> Column:
 
 
 def is_stub(c: Column) -> Column:
-    body = drop_front(c)
+    return let(drop_front(c), _is_stub)
+
+
+def _is_stub(body: Column) -> Column:
     prose = F.array_join(F.filter(F.split(body, "\n"), lambda l: l.rlike(r"\S") & ~l.rlike(r"^\s*#")), "\n")
     return ((F.length(python_strip(body)) < fixed.STUB_MIN_CHARS) | (python_strip(prose) == "")
             | (matches(body, fixed.STUB_WORDS) & (F.length(prose) < fixed.STUB_PROSE_CHARS)))
@@ -236,11 +248,17 @@ def note_body(c: Column) -> Column:
 
 def front_entries(front: Column) -> Column:
     """Array of (key, is_list, values), one per key line that ends up with a value."""
-    lines = F.transform(F.split(front, "\n"), lambda l: F.rtrim(l))
+    return let(F.transform(F.split(front, "\n"), lambda l: F.rtrim(l)), _entries)
+
+
+def _entries(lines: Column) -> Column:
     idx = F.sequence(F.lit(1), F.size(lines))
     is_item = lambda l: l.startswith("  - ")
-    key_at = F.filter(idx, lambda i: ~is_item(F.element_at(lines, i)) & F.element_at(lines, i).contains(":"))
+    return let(F.filter(idx, lambda i: ~is_item(F.element_at(lines, i)) & F.element_at(lines, i).contains(":")),
+               lambda key_at: _values(lines, key_at, is_item))
 
+
+def _values(lines: Column, key_at: Column, is_item) -> Column:
     def entry(i, n):
         line = F.element_at(lines, i)
         stop = F.coalesce(F.get(key_at, n + 1), F.size(lines) + 1)
@@ -259,13 +277,12 @@ def front_entries(front: Column) -> Column:
 
 def front_values(entries: Column, key: str) -> Column:
     """Values of the last entry called ``key``; empty when there is none."""
-    found = F.filter(entries, lambda e: e["key"] == key)
-    return F.coalesce(F.get(found, F.size(found) - 1)["values"], F.array().cast("array<string>"))
+    last = let(F.filter(entries, lambda e: e["key"] == key), lambda found: F.get(found, F.size(found) - 1)["values"])
+    return F.coalesce(last, F.array().cast("array<string>"))
 
 
 def note_title(body: Column, stem: Column) -> Column:
-    h1 = F.regexp_extract(body, r"(?dm)^#\s+(.+)$", 1)
-    return F.when(h1 != "", F.trim(h1)).otherwise(stem)
+    return F.coalesce(F.trim(F.nullif(F.regexp_extract(body, r"(?dm)^#\s+(.+)$", 1), F.lit(""))), stem)
 
 
 def inline_tags(body: Column) -> Column:
@@ -280,8 +297,7 @@ def wiki_links(c: Column) -> Column:
 def preview(body: Column, limit: int = 200) -> Column:
     lines = F.filter(F.transform(F.split(body, "\n"), lambda l: F.trim(l)),
                      lambda l: (l != "") & ~l.startswith("#") & ~(l.startswith("**") & l.endswith("**")))
-    joined = F.array_join(lines, " ")
-    return F.when(F.length(joined) > limit, F.concat(F.substring(joined, 1, limit), F.lit("..."))).otherwise(joined)
+    return let(F.array_join(lines, " "), lambda j: F.when(F.length(j) > limit, F.concat(F.substring(j, 1, limit), F.lit("..."))).otherwise(j))
 
 
 def infer_note_type(given: Column, tags: Column) -> Column:
@@ -359,8 +375,10 @@ def block_markers(c: Column, product: str) -> Column:
 
 def layout_verdict(marks: Column) -> Column:
     """First layout problem of a note's managed blocks, or ``ok``."""
-    ids = F.transform(marks, lambda m: m["id"])
+    return let(marks, lambda ms: let(F.transform(ms, lambda m: m["id"]), lambda ids: _verdict(ms, ids)))
+
 
+def _verdict(marks: Column, ids: Column) -> Column:
     def problem(m, i):
         opens = (i % 2) == 0
         before = F.slice(ids, 1, F.greatest(i, F.lit(0)))
@@ -376,6 +394,10 @@ def layout_verdict(marks: Column) -> Column:
 
 def closed_blocks(marks: Column) -> Column:
     """(id, body) of every start marker directly followed by its own end marker."""
+    return let(marks, _closed)
+
+
+def _closed(marks: Column) -> Column:
     pairs = F.transform(marks, lambda m, i: F.struct(
         m["id"].alias("id"), m["body"].alias("body"),
         ((m["kind"] == "start") & (F.get(marks, i + 1)["kind"] == "end")
@@ -404,14 +426,16 @@ def freshest_block(marks: Column, limit: int) -> tuple[Column, Column]:
 
 def section_content(c: Column, heading: str) -> Column:
     """Text under ``heading`` up to the next heading of the same or a higher level."""
-    lines = F.split(c, "\n")
     level = heading.count("#")
-    at = F.array_position(F.transform(lines, python_strip), heading).cast("int")
-    rest = F.slice(lines, at + 1, F.size(lines))
+    return let(F.split(c, "\n"), lambda lines: let(F.array_position(F.transform(lines, python_strip), heading).cast("int"),
+               lambda at: F.when(at > 0, let(F.slice(lines, at + 1, F.size(lines)), lambda rest: _section(rest, level)))))
+
+
+def _section(rest: Column, level: int) -> Column:
     ends = F.transform(rest, lambda l: l.startswith("#") & (F.length(F.regexp_extract(l, "^(#+)", 1)) <= level))
-    stop = F.array_position(ends, True).cast("int")
-    kept = F.when(stop > 0, F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
-    return F.when(at > 0, python_strip(F.array_join(kept, "\n")))
+    kept = let(F.array_position(ends, True).cast("int"),
+               lambda stop: F.when(stop > 0, F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(rest))
+    return python_strip(F.array_join(kept, "\n"))
 
 
 # -- references ----------------------------------------------------------------------------

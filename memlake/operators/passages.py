@@ -9,8 +9,12 @@ from memlake.functions import fixed, text as tx
 
 
 def _paragraphs(c):
-    """(start, end, text) of the paragraphs of ``c``; blank and comment lines part them, frontmatter is left out."""
     front = F.length(F.when(c.startswith("---\n"), F.regexp_extract(c, r"(?ds)\A(---\n.*?(?:\n---[ \t]*(?:\n|\z)|\z))", 1)).otherwise(F.lit("")))
+    return tx.let(front, lambda n: _split_paragraphs(c, n))
+
+
+def _split_paragraphs(c, front):
+    """(start, end, text) of the paragraphs of ``c``; blank and comment lines part them, frontmatter is left out."""
     # Lines keep their newline, so offsets are running sums of lengths.
     lines = F.filter(F.split(c, r"(?<=\n)"), lambda l: l != "")
 
