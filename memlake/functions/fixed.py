@@ -94,6 +94,12 @@ SECRETS = [
     ("connection string", r"\b([a-z][a-z0-9+.\-]*)://[^\s:/@]+:[^\s@/]{3,}@([^\s/]+)"),
     ("bearer token", r"(?i)\bbearer\s+[A-Za-z0-9_\-.=]{20,}"),
 ]
+# A text without this literal holds no secret of that kind, which spares it the pattern.
+SECRET_LITERALS = {
+    "private key": "-----BEGIN ", "Anthropic key": "sk-ant-", "OpenAI key": "sk-", "Slack token": "xox",
+    "Slack webhook": "hooks.slack.com", "Google API key": "AIza", "Supabase key": "sb_", "Telegram bot token": ":AA",
+    "JWT": "eyJ", "connection string": "://",
+}
 SECRET_NAME = r"[A-Z0-9_]*(?:password|passwd|secret|token|api[_-]?key|access[_-]?key|_key)[A-Z0-9_]*"
 SECRET_LOOKALIKE = (r"[\"']?(?:\[|<|\{|\(|\$|\*\*|\.\.\.|x{6}|"
                     r"(?:os|process|env|config|settings|self|args|req|request)\.)")

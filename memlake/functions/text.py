@@ -352,7 +352,10 @@ def redact(df, text: str, out: str = "redacted", counts: str = "kinds"):
         else:
             by = f"[REDACTED: {kind}]"
         count, new = f"__n{len(found)}", f"__t{len(found)}"
-        df = df.withColumn(count, F.regexp_count(cur, F.lit(pattern))).withColumn(new, sub(cur, pattern, by))
+        hits = F.regexp_count(cur, F.lit(pattern))
+        if kind in fixed.SECRET_LITERALS:
+            hits = F.when(cur.contains(fixed.SECRET_LITERALS[kind]), hits).otherwise(0)
+        df = df.withColumn(count, hits).withColumn(new, F.when(F.col(count) > 0, sub(cur, pattern, by)).otherwise(cur))
         found.append((kind, count, new))
         cur = F.col(new)
     kinds = F.map_filter(F.create_map(*[x for k, n, _ in found for x in (F.lit(k), F.col(n))]), lambda k, v: v > 0)

@@ -17,10 +17,27 @@ class Tables:
         self.spark = spark
         self.dir = sf_dir
 
+    # Tables with long texts: their rows cost far more to work on than to move.
+    TEXTS = ("documents", "conversations", "pages")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name in self.TEXTS:
+            df = spread(df)
+        setattr(self, name, df)
+        return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores.
+
+    A small table is one file with one row group, so one task would do all text work. A large table
+    has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def query(key: str, sql: str | None = None):
