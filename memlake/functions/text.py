@@ -66,8 +66,11 @@ def strip_tags(c: Column) -> Column:
 
 def raw_words(c: Column) -> Column:
     """Words of ``c`` with compounds split, before any word is dropped."""
-    words = F.transform(find_all(strip_tags(F.coalesce(c, F.lit(""))), fixed.WORD),
-                        lambda w: F.btrim(w, F.lit("._")))
+    return _split_words(strip_tags(F.coalesce(c, F.lit(""))))
+
+
+def _split_words(untagged: Column) -> Column:
+    words = F.transform(find_all(untagged, fixed.WORD), lambda w: F.btrim(w, F.lit("._")))
 
     def parts(w):
         # Most words have no joiner; one cheap test spares them the other patterns.
@@ -89,6 +92,29 @@ def content_words(c: Column) -> Column:
     return F.filter(raw_words(c), _content)
 
 
+def _no_joiners(c: Column) -> Column:
+    """True when no word of ``c`` is a compound, a path or a dashed form: then words are plain runs."""
+    return ~c.rlike(r"[\p{L}\p{N}][._]*[-/]|[\p{L}\p{N}][._]+[\p{L}\p{N}]")
+
+
+def term_set(c: Column, limit: int | None = None) -> Column:
+    """Distinct lower-case content terms in first-seen order, both ends kept when over ``limit``.
+
+    Texts without compounds, nearly all short windows, take a path of whole-array functions in place
+    of a test per word. There the only date forms are years, which are left out like stop words.
+    """
+    never = F.expr("concat(array(" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
+                   + "), transform(sequence(1900, 2099), y -> CAST(y AS STRING)))")
+
+    def pick(t):
+        plain = F.array_except(find_all(F.lower(t), r"[\p{L}\p{N}]{3,}"), never)
+        careful = F.array_distinct(F.transform(F.filter(_split_words(t), _content), F.lower))
+        return F.when(_no_joiners(t), plain).otherwise(careful)
+
+    found = let(strip_tags(F.coalesce(c, F.lit(""))), pick)
+    return found if limit is None else cap_both_ends(found, limit)
+
+
 def first_forms(words: Column, lowered: Column) -> Column:
     """The first spelling in ``words`` of each entry of ``lowered``."""
     return let(words, lambda ws: let(F.transform(ws, F.lower), lambda low: F.transform(

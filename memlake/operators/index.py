@@ -53,6 +53,28 @@ def _weight(weights: dict[str, float] | None) -> Column:
     return w
 
 
+def token_hits(tok: DataFrame, terms: DataFrame, doc: str, weights: dict[str, float] | None, prefix: bool,
+               keys: list[str] | None = None) -> DataFrame:
+    """(keys, qterm, doc, len, f) straight from the tokens, for a small set of query terms.
+
+    The terms are broadcast, so tokens that no query asks for are dropped where they are read and only
+    hits are shuffled. Prefixes join on their first letters (as many as the shortest term has) and
+    are then compared in full.
+    """
+    keys = keys or []
+    fields = [c[4:] for c in tok.columns if c.startswith("tok_")]
+    tagged = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"tok_{f}").alias("toks")) for f in fields])
+    rows = (tok.select(*keys, doc, "len", F.explode(tagged).alias("x"))
+            .select(*keys, doc, "len", "x.field", F.explode_outer("x.toks").alias("term")).where("term IS NOT NULL"))
+    if prefix:
+        shortest = terms.select(F.min(F.length("qterm"))).scalar()
+        q = F.broadcast(terms.withColumn("__k", F.substr("qterm", F.lit(1), shortest)))
+        hits = rows.withColumn("__k", F.substr("term", F.lit(1), shortest)).join(q, "__k").where(F.col("term").startswith(F.col("qterm")))
+    else:
+        hits = rows.withColumnRenamed("term", "qterm").join(F.broadcast(terms), [*keys, "qterm"])
+    return hits.groupBy(*keys, "qterm", doc, "len").agg(F.sum(_weight(weights)).alias("f"))
+
+
 def bm25(tok: DataFrame, post: DataFrame, queries: DataFrame, doc: str, qid: list[str],
          weights: dict[str, float] | None = None, prefix: bool = False, require_all: bool = False,
          small: bool = False) -> DataFrame:
@@ -61,15 +83,15 @@ def bm25(tok: DataFrame, post: DataFrame, queries: DataFrame, doc: str, qid: lis
     ``small`` says that the question table was counted and fits a broadcast (``fits_broadcast``): the
     terms then filter the postings in place. Otherwise both sides are shuffled on the term.
     """
-    stats = tok.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    stats = tok.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))).scalar()
+    n, avgdl = stats["n"], stats["avgdl"]
     terms = queries.select("qterm").distinct()
-    if prefix:
-        pairs = expand_prefixes(post.select("term").distinct(), terms, small)
+    if small:
+        hits = token_hits(tok, terms, doc, weights, prefix)
     else:
-        pairs = _hint(terms, small).withColumn("term", F.col("qterm"))
-    hits = (post.join(pairs, "term").groupBy("qterm", doc, "len")
-            .agg(F.sum(_weight(weights) * F.col("tf")).alias("f")))
+        pairs = expand_prefixes(post.select("term").distinct(), terms, small) if prefix else terms.withColumn("term", F.col("qterm"))
+        hits = (post.join(pairs, "term").groupBy("qterm", doc, "len")
+                .agg(F.sum(_weight(weights) * F.col("tf")).alias("f")))
     df = hits.groupBy("qterm").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / avgdl))
@@ -85,8 +107,11 @@ def bm25_in_scope(tok: DataFrame, post: DataFrame, queries: DataFrame, doc: str,
                   small: bool = False) -> DataFrame:
     """Any-term BM25 whose statistics come from the query's own scope. ``queries``: (qid, scope, qterm)."""
     stats = tok.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    pairs = _hint(queries.select(scope, F.col("qterm").alias("term")).distinct(), small)
-    hits = post.join(pairs, [scope, "term"]).groupBy(scope, "term", doc, "len").agg(F.sum("tf").alias("f"))
+    if small:
+        hits = token_hits(tok, queries.select(scope, "qterm").distinct(), doc, None, False, [scope]).withColumnRenamed("qterm", "term")
+    else:
+        pairs = queries.select(scope, F.col("qterm").alias("term")).distinct()
+        hits = post.join(pairs, [scope, "term"]).groupBy(scope, "term", doc, "len").agg(F.sum("tf").alias("f"))
     df = hits.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))

@@ -41,7 +41,7 @@ def select_passage(df: DataFrame, keys: list[str], text: str, question: str, lim
     limit = max(40, min(limit, 4000))
     stride = max(20, limit * 3 // 4)
     base = df.select(*keys, F.col(text).alias("__text"),
-                     tx.distinct_terms(tx.content_words(F.col(question)), 64).alias("__terms"))
+                     tx.term_set(F.col(question), 64).alias("__terms"))
     paras = tx.unnest(base.select(*keys, "__terms", _paragraphs(F.col("__text")).alias("__p"), F.sha2("__text", 256).alias("revision"),
                                   ), [*keys, "__terms", "revision"], F.col("__p"), "p")
     spots = F.sequence(F.lit(0), F.greatest(F.length("p.text"), F.lit(1)) - 1, F.lit(stride))
@@ -52,7 +52,7 @@ def select_passage(df: DataFrame, keys: list[str], text: str, question: str, lim
             )
     wins = tx.hold(wins, tx.clean(F.col("raw"), limit).alias("passage")).where(
         (F.length("passage") >= 40) & ~F.col("passage").rlike(fixed.FIELD_ONLY))
-    wins = tx.hold(wins, tx.distinct_terms(tx.content_words(F.col("raw")), 128).alias("words"))
+    wins = tx.hold(wins, tx.term_set(F.col("raw"), 128).alias("words"))
     overlap = F.array_intersect("__terms", "words")
     score = F.aggregate(overlap, F.lit(0.0), lambda a, w: a + 1 + F.least(F.length(w), F.lit(20)) / 20)
     scored = wins.withColumn("score", F.round(score, 6))

@@ -298,8 +298,8 @@ def is_stub(t):
  n AS (SELECT doc_id, count(*) AS n FROM qt GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS m FROM qt JOIN dt USING (doc_id, lw) GROUP BY doc_id)
  SELECT p.doc_id, p.item_id, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(coalesce(m, 0) / n, 6) END AS overlap FROM pairs p LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def title_overlap(t):
-    p = (demo.pairs(t).withColumn("q", tx.distinct_terms(tx.content_words(F.col("question")), 30))
-         .withColumn("d", tx.distinct_terms(tx.content_words(F.col("text")), 30)))
+    p = (demo.pairs(t).withColumn("q", tx.term_set(F.col("question"), 30))
+         .withColumn("d", tx.term_set(F.col("text"), 30)))
     share = F.size(F.array_intersect("q", "d")) / F.size("q")
     return p.select("doc_id", "item_id", F.when(F.size("q") > 0, F.round(share, 6)).otherwise(F.lit(0.0)).alias("overlap"))
 
