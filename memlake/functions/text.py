@@ -89,7 +89,11 @@ def _content(w: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Every content word in order, repeats kept."""
-    return F.filter(raw_words(c), _content)
+    def pick(t):
+        plain = F.filter(find_all(t, r"[\p{L}\p{N}]{3,}"), lambda w: ~F.lower(w).isin(fixed.STOPWORDS + _YEARS))
+        return F.when(_no_joiners(t), plain).otherwise(F.filter(_split_words(t), _content))
+
+    return let(strip_tags(F.coalesce(c, F.lit(""))), pick)
 
 
 def _no_joiners(c: Column) -> Column:
@@ -100,21 +104,21 @@ def _no_joiners(c: Column) -> Column:
 def term_set(c: Column, limit: int | None = None) -> Column:
     """Distinct lower-case content terms in first-seen order, both ends kept when over ``limit``.
 
-    Texts without compounds, nearly all short windows, take a path of whole-array functions in place
-    of a test per word. There the only date forms are years, which are left out like stop words.
+    Texts without compounds, nearly all short windows, take a path with one cheap test per word.
+    There the only date forms are years, which are left out like stop words.
     """
-    never = F.expr("concat(array(" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
-                   + "), transform(sequence(1900, 2099), y -> CAST(y AS STRING)))")
-
     def pick(t):
-        plain = F.array_except(find_all(F.lower(t), r"[\p{L}\p{N}]{3,}"), never)
-        careful = F.array_distinct(F.transform(F.filter(_split_words(t), _content), F.lower))
-        return F.when(_no_joiners(t), plain).otherwise(careful)
+        plain = F.filter(find_all(F.lower(t), r"[\p{L}\p{N}]{3,}"), lambda w: ~w.isin(fixed.STOPWORDS + _YEARS))
+        careful = F.transform(F.filter(_split_words(t), _content), F.lower)
+        return F.array_distinct(F.when(_no_joiners(t), plain).otherwise(careful))
 
     found = let(strip_tags(F.coalesce(c, F.lit(""))), pick)
     return found if limit is None else cap_both_ends(found, limit)
 
 
+_YEARS = [str(y) for y in range(1900, 2100)]
+
+
 def first_forms(words: Column, lowered: Column) -> Column:
     """The first spelling in ``words`` of each entry of ``lowered``."""
     return let(words, lambda ws: let(F.transform(ws, F.lower), lambda low: F.transform(
