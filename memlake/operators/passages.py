@@ -32,11 +32,12 @@ def _split_paragraphs(c, front):
     return F.aggregate(F.concat(lines, F.array(F.lit("\n"))), zero, step, lambda acc: acc["out"])
 
 
-def select_passage(df: DataFrame, keys: list[str], text: str, question: str, limit: int = 260) -> DataFrame:
+def select_passage(df: DataFrame, keys: list[str], text: str, question: str, limit: int = 260, lines: bool = True) -> DataFrame:
     """Best window of every (text, question) row: most overlapping terms, later start on ties.
 
     One row per key in; windows are exploded and reduced again by ``max_by``, which combines on the
-    map side, so only one candidate per task and key is shuffled.
+    map side, so only one candidate per task and key is shuffled. ``lines`` adds line anchors, for which
+    the texts are read once more.
     """
     limit = max(40, min(limit, 4000))
     stride = max(20, limit * 3 // 4)
@@ -58,6 +59,8 @@ def select_passage(df: DataFrame, keys: list[str], text: str, question: str, lim
     scored = wins.withColumn("score", F.round(score, 6))
     pick = F.max_by(F.struct("passage", "start_char", "end_char", "score", "revision"), F.struct("score", "start_char"))
     best = scored.groupBy(*keys).agg(pick.alias("b")).select(*keys, "b.*")
+    if not lines:
+        return best
     line = lambda at: (F.size(F.split(F.substr(F.col("__text"), F.lit(1), at.cast("int")), "\n"))).cast("bigint")
     return (best.join(base.select(*keys, "__text"), keys)
             .withColumn("start_line", line(F.col("start_char"))).withColumn("end_line", line(F.col("end_char"))).drop("__text"))

@@ -21,7 +21,7 @@ def hybrid(questions: DataFrame, lexical: DataFrame, dense: DataFrame, notes: Da
     cut = rc.inject(scoped, [key], slots, limit).select(key, "doc_id", "place")
     asked = questions.select(key, "question")
     texts = cut.join(notes.select("doc_id", "uri", "text"), "doc_id").join(asked, key)
-    best = ps.select_passage(texts, [key, "doc_id", "place", "uri"], "text", "question", chars)
+    best = ps.select_passage(texts, [key, "doc_id", "place", "uri"], "text", "question", chars, lines=False)
     return best.select(key, "place", "doc_id", "uri", "passage", "start_char")
 
 
