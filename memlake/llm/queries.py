@@ -89,3 +89,41 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, read(spark, sf_dir, "labels"))
     return scored(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
+@query("op4_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.decontaminate import matches
+
+    found = matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "end_char")
+
+
+@query("op3_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.mixing import placed
+
+    rows, _ = placed(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "source", F.col("__chars").alias("n_chars"), F.col("__start").alias("start_char"),
+                       F.col("__block").alias("block"), F.col("__slot").alias("slot"))
+
+
+@query("op7_lm_scores", r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words),
+n AS (SELECT count(*) AS tokens FROM tok),
+voc AS (SELECT w, count(*) AS c FROM tok, n GROUP BY w, tokens HAVING count(*) >= greatest(1, ceil(tokens / 1048576.0))),
+named AS (SELECT doc_id, i, coalesce(voc.w, ' unknown') AS w FROM tok LEFT JOIN voc USING (w)),
+uni AS (SELECT w, count(*) AS c FROM named GROUP BY w UNION ALL SELECT ' start', count(*) FROM words WHERE len(w) > 0),
+gram AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS v, w FROM named),
+bi AS (SELECT v, w, count(*) AS c FROM gram GROUP BY v, w),
+val AS (SELECT bi.v, bi.w, CASE WHEN bi.c >= 2 THEN ln(bi.c) - ln(a.c) ELSE ln(0.4) + ln(b.c) - ln((SELECT tokens FROM n)) END AS s
+        FROM bi JOIN uni a ON a.w = bi.v JOIN uni b ON b.w = bi.w)
+SELECT d.doc_id, count(g.w) AS n_tokens, round(coalesce(sum(s), 0.0) / greatest(count(g.w), 1), 4) AS mean_log_score
+FROM documents d LEFT JOIN gram g ON g.doc_id = d.doc_id LEFT JOIN val ON val.v = g.v AND val.w = g.w GROUP BY d.doc_id""")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.lm import scores
+
+    found = scores(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.round(F.col("log_score") / F.greatest("n_tokens", F.lit(1)), 4).alias("mean_log_score"))
