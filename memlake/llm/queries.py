@@ -127,3 +127,28 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scores(read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "n_tokens", F.round(F.col("log_score") / F.greatest("n_tokens", F.lit(1)), 4).alias("mean_log_score"))
+
+
+@query("op8_warc_transactions", """
+WITH r AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM r GROUP BY h),
+d AS (SELECT page_id, octet_length(encode(r.h)) AS bytes, first, sha1(r.h) AS s FROM r JOIN f USING (h))
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""")
+def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm import warc
+    from memlake.llm.tables import place
+
+    path = place(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read(spark, path))
+    facts = F.from_json(F.col("metadata.payload").cast("string"), "page_id bigint, url string, payload_bytes bigint")
+    return captures.select(facts.alias("m"), "response.*").select(
+        F.col("m.page_id").alias("page_id"),
+        F.when(F.col("kind") == "response", F.col("payload_bytes")).otherwise(F.col("m.payload_bytes")).alias("payload_bytes"),
+        F.when(F.col("kind") == "response", F.col("payload_digest")).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("bigint").alias("refers_to"))
