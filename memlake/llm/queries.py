@@ -152,3 +152,11 @@ def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("kind") == "response", F.col("payload_bytes")).otherwise(F.col("m.payload_bytes")).alias("payload_bytes"),
         F.when(F.col("kind") == "response", F.col("payload_digest")).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
         F.col("kind").alias("record_type"), F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).try_cast("bigint").alias("refers_to"))
+
+
+@query("op10_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm import html
+
+    pages = read(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(html.sample(pages, "html"))).withColumnRenamed("id", "page_id")
