@@ -16,7 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import sys
+import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,41 @@ from memlake.llm.tables import place, strings, width
 BLOCK_DOCS, BLOCK_BYTES = 4096, 1 << 20
 # The dictionary is trained on a bounded sample: so many documents of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 20_000, 64 << 10
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_PARTS = 800_000, 150_000
 LEVEL = 3
 
 
+# Words that the tokenizer's model can take by themselves: Latin letters, then closing marks.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.!?;:]*)")
+PROBES = ["word", "Word,", "Été.", "straße!?", "NIÑO;", "x", "Antidisestablishment:", "öäüß..."]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: itself if it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for; ``new`` holds those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts. Pieces between blanks or line ends are encoded once and remembered.
 
     The tokenizer never joins characters across white space, so the ids of a text are those of its
-    pieces in order. The memory is emptied when it holds ``CACHED_WORDS`` pieces.
+    pieces in order. Simple words go to the tokenizer's model directly, which spares most of the time of a call, if
+    the probes come out the same both ways. The memory is emptied when it holds ``CACHED_WORDS`` pieces, and
+    lives as long as the Python worker, see ``encoder``.
     """
 
     def __init__(self, path: str):
@@ -46,50 +76,94 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.letters = _byte_letters()
         self.clear()
+        self.simple = all(self._short(*SIMPLE.fullmatch(p).groups()) == ids for p, ids in zip(PROBES, self._full(PROBES)))
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, flat])
+        self.known = Numbers()
+        self.parts: dict[str, list[int]] = {}
+        self.used, self.starts, self.counts, self.flat = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _full(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _short(self, word: str, marks: str) -> list[int]:
+        word = word.lower()
+        ids = self.parts.get(word)
+        if ids is None:
+            seen = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            ids = self.parts[word] = [t.id for t in self.tokenizer.model.tokenize(seen)]
+        if not marks:
+            return ids
+        end = self.parts.get(marks)
+        if end is None:
+            end = self.parts[marks] = [t.id for t in self.tokenizer.model.tokenize(marks)]
+        return ids + end
+
+    def _learn(self) -> None:
+        words, self.known.new = self.known.new, []
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        ids: list[list[int]] = []
+        rest = []
+        for w in words:
+            m = SIMPLE.fullmatch(w) if self.simple else None
+            ids.append(self._short(m[1], m[2]) if m else [])
+            if not m:
+                rest.append(len(ids) - 1)
+        for k, found in zip(rest, self._full([words[k] for k in rest])):
+            ids[k] = found
+        first, n = len(self.known) - len(words), len(words)
+        counts = np.fromiter(map(len, ids), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+        grown = lambda old, used, new: old if used + new <= len(old) else np.concatenate([old[:used], np.zeros(used + 2 * new, old.dtype)])
+        self.starts, self.counts, self.flat = grown(self.starts, first, n), grown(self.counts, first, n), grown(self.flat, self.used, len(flat))
+        self.starts[first:first + n] = self.used + np.cumsum(counts) - counts
+        self.counts[first:first + n] = counts
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 256):
             if len(self.known) > CACHED_WORDS:
                 self.clear()
             split = [(t or "").replace("\n", " ").split(" ") for t in texts[at:at + 256]]
-            new = sorted(w for w in set().union(*split) if w not in self.known)
-            if new:
-                self._learn(new)
-            for words in split:
-                rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-                counts = self.counts[rows]
-                ends = np.cumsum(counts)
-                yield self.flat[np.repeat(self.starts[rows] - ends + counts, counts) + np.arange(ends[-1])]
-
-
-def _ids(encoder: Encoder, texts: list[str | None], end_id: int, kind: np.dtype) -> Iterator[bytes]:
-    for ids in encoder.encode(texts):
+            every = list(chain.from_iterable(split))
+            rows = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+            if self.known.new:
+                self._learn()
+            counts = self.counts[rows]
+            ends = np.cumsum(counts)
+            ids = self.flat[np.repeat(self.starts[rows] - ends + counts, counts) + np.arange(ends[-1])]
+            last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+            yield from np.split(ids, ends[last[:-1] - 1])
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a tokenizer file: workers are used again by later tasks, and so is what they know."""
+    held = vars(sys.modules.setdefault("_memlake_worker", types.ModuleType("_memlake_worker")))
+    return held.get(path) or held.setdefault(path, Encoder(path))
+
+
+def _ids(known: Encoder, texts: list[str | None], end_id: int, kind: np.dtype) -> Iterator[bytes]:
+    for ids in known.encode(texts):
         yield np.append(ids, end_id).astype(kind).tobytes()
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> bytes:
-    """Dictionary over the serialized ids of the sample: the documents first by hash of key and text."""
+    """Dictionary over the serialized ids of the sample: the documents first by a hash of their key.
+
+    The hash is cut off first, over the keys alone, so that only the sample's texts are moved.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(_ids(encoder, strings(b.column("text")), end_id, np.dtype(kind))), pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(_ids(known, strings(b.column("text")), end_id, np.dtype(kind))), pa.binary())], names=["ids"])
 
-    sample = (docs.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("key", "text").alias("h"))
-              .orderBy("h").limit(SAMPLE_DOCS))
+    hashed = docs.withColumn("h", F.xxhash64(F.lit("sample"), "key"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = hashed.where((F.col("h") <= F.lit(last)) & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE_DOCS)
     samples = sorted(r.ids for r in sample.select("text").mapInArrow(work, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, k=256, d=8, level=LEVEL).as_bytes()
@@ -125,13 +199,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     bounds = _bounds(rows, parts)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(data))
         for b in batches:
             keys = b.column("key").to_pylist()
             part = np.searchsorted(bounds, [np.iinfo(np.int64).min if k is None else k for k in keys], "left")
             counts, packed = [], []
-            for ids in _ids(encoder, strings(b.column("text")), end_id, np.dtype(kind)):
+            for ids in _ids(known, strings(b.column("text")), end_id, np.dtype(kind)):
                 counts.append(len(ids) // np.dtype(kind).itemsize)
                 packed.append(packer.compress(ids))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("key"), b.column("id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
