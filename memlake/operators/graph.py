@@ -1,7 +1,7 @@
 """Iterative graph jobs: one join and one aggregate per wave, lineage cut by reliable checkpoints.
 
 Every wave costs a pass over the edges that touch its frontier. No job materializes all pairs of
-connected nodes. Loops end when a wave is empty; ``rounds`` only guards against a wrong program.
+connected nodes. Loops run until a wave is empty, however deep the graph is.
 """
 
 from __future__ import annotations
@@ -30,23 +30,22 @@ def _compact(parts: list[DataFrame]) -> list[DataFrame]:
     return [durable(_union(parts).coalesce(width))]
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): seeds and everything reached from them along ``edges`` (src, dst)."""
     # Stored once: every wave reads the edges again, and derived columns would pile up constraints.
     edges = durable(edges.select("src", "dst"))
     frontier = durable(seeds.select("node").distinct())
     waves = [frontier]
-    for _ in range(rounds):
+    while True:
         step = (edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct()
                 .join(_union(waves), "node", "left_anti"))
         frontier = durable(step)
         if frontier.isEmpty():
             return _union(waves)
         waves = _compact([*waves, frontier])
-    raise RuntimeError("closure did not settle")
 
 
-def settled(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+def settled(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): least set with all seeds and every node that has prerequisites, all of them in the set.
 
     ``edges`` are (node, need) pairs without repeats. Members of cycles never settle.
@@ -54,7 +53,7 @@ def settled(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
     edges = durable(edges.select("node", "need"))
     left = durable(edges.groupBy("node").agg(count_rows().alias("open")).join(seeds, "node", "left_anti"))
     done = frontier = durable(seeds.select("node").distinct())
-    for _ in range(rounds):
+    while True:
         met = edges.join(frontier.withColumnRenamed("node", "need"), "need").groupBy("node").agg(count_rows().alias("met"))
         left = durable(left.join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
         frontier = left.where("open = 0").select("node")
@@ -62,23 +61,21 @@ def settled(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int =
             return done
         done = done.unionByName(frontier)
         left = left.where("open > 0")
-    raise RuntimeError("waves did not settle")
 
 
-def _trim(edges: DataFrame, rounds: int) -> DataFrame:
+def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges that lie on no path between cycles: those from sources and those to sinks."""
     live, size = durable(edges), None
-    for _ in range(rounds):
+    while True:
         n = live.count()
         if n == size or n == 0:
             return live
         size = n
         live = durable(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
                        .join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-    raise RuntimeError("trimming did not settle")
 
 
-def cyclic_members(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def cyclic_members(edges: DataFrame) -> DataFrame:
     """(node): members of strongly connected components with a cycle, self-loops included.
 
     Trim, colour forward with the largest id, collect each root's component backward within its
@@ -86,9 +83,9 @@ def cyclic_members(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """
     edges = edges.select("src", "dst").distinct()
     loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    live = _trim(edges.where("src <> dst"), rounds)
+    live = _trim(edges.where("src <> dst"))
     found = [durable(loops)]
-    for _ in range(rounds):
+    while True:
         if live.isEmpty():
             break
         color = durable(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("color", F.col("node")))
@@ -102,21 +99,21 @@ def cyclic_members(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         colored = (live.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src")
                    .join(color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd"))
         back = durable(colored.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        members = reachable(color.where("node = color").select("node"), back, rounds)
+        members = reachable(color.where("node = color").select("node"), back)
         # A root alone is no cycle: it needs an edge to another member of its colour.
         inside = (back.join(members.withColumnRenamed("node", "src"), "src", "left_semi")
                   .join(members.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         found.append(durable(inside.select(F.col("src").alias("node")).union(inside.select("dst")).distinct()))
         rest = (live.join(members.withColumnRenamed("node", "src"), "src", "left_anti")
                 .join(members.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        live = _trim(rest.select("src", "dst"), rounds)
+        live = _trim(rest.select("src", "dst"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
     return out.distinct()
 
 
-def governance(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, cyclic: DataFrame, rounds: int = 10_000) -> DataFrame:
+def governance(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, cyclic: DataFrame) -> DataFrame:
     """(node, state, superseded): which claims govern.
 
     ``depends`` (node, need) and ``supersedes`` (node, target) are the relations of all claims; only
@@ -135,7 +132,7 @@ def governance(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, cycl
                     .join(deps.groupBy("node").agg(count_rows().alias("deps")), "node", "left")
                     .select("node", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("deps", F.lit(0)).alias("deps"),
                             F.lit(0).cast("bigint").alias("governed"), F.lit(False).alias("replaced"), F.lit(None).cast("string").alias("state")))
-    for _ in range(rounds):
+    while True:
         met = F.col("deps") == F.col("governed")
         now = (F.when(~met, "invalidated").when(F.col("replaced"), "superseded").otherwise("governing"))
         wave = durable(state.where("state IS NULL AND open = 0").withColumn("state", now).select("node", "state"))
@@ -153,7 +150,7 @@ def governance(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, cycl
     return state.select("node", "state", F.col("replaced").alias("superseded"))
 
 
-def conflicts(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, contradicts: DataFrame, rounds: int = 10_000):
+def conflicts(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, contradicts: DataFrame):
     """(governance, conflicted): repeat governance without the parties of unresolved contradictions.
 
     A contradiction is resolved when some issuing claim replaces one side and none of that claim's
@@ -165,8 +162,8 @@ def conflicts(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, contr
     cyclic = durable(cyclic_members(inside))
     pairs = durable(contradicts.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     out = durable(nodes.select("node").where(F.lit(False)))
-    for _ in range(rounds):
-        gov = governance(nodes.join(out, "node", "left_anti"), depends, supersedes, cyclic, rounds)
+    while True:
+        gov = governance(nodes.join(out, "node", "left_anti"), depends, supersedes, cyclic)
         issuers = gov.where("state IN ('governing', 'superseded')").select("node")
         both = durable(pairs.join(issuers.withColumnRenamed("node", "a"), "a", "left_semi").join(issuers.withColumnRenamed("node", "b"), "b", "left_semi"))
         if both.isEmpty():
@@ -175,7 +172,7 @@ def conflicts(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, contr
         helper = durable(side.join(supersedes.join(issuers, "node", "left_semi"), "target").select("a", "b", F.col("node").alias("issuer")).distinct())
         # Premises of the helpers only, walked back together with the pair they would resolve.
         walk = seen = durable(helper.select("a", "b", "issuer", F.col("issuer").alias("at")))
-        for _ in range(rounds):
+        while True:
             walk = durable(walk.join(depends.withColumnRenamed("node", "at"), "at").select("a", "b", "issuer", F.col("need").alias("at")).distinct()
                            .join(seen, ["a", "b", "issuer", "at"], "left_anti"))
             if walk.isEmpty():
@@ -187,4 +184,3 @@ def conflicts(nodes: DataFrame, depends: DataFrame, supersedes: DataFrame, contr
         if open_.isEmpty():
             return gov, out, cyclic
         out = durable(out.unionByName(open_.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
-    raise RuntimeError("conflicts did not settle")

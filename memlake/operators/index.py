@@ -125,6 +125,11 @@ def top(scored: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return scored.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= k)
 
 
+def ranked(scored: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """All rows with a 1-based rank per key."""
+    return scored.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
+
 def squash(r: Column) -> Column:
     """Open-ended relevance to (0, 1), rounded so that equal matches tie on every engine."""
     return F.round(r / (1 + r), 9)
@@ -138,9 +143,9 @@ def rungs(prompts: DataFrame, ids: list[str], text: str, max_terms: int = 10) ->
     return tx.unnest(laddered, ids, F.col("__rungs"), "terms", "rung").withColumn("rung", F.col("rung") - 1)
 
 
-def query_terms(df: DataFrame, qid: list[str], text: Column, limit: int = 32) -> DataFrame:
-    """(qid, qterm): the distinct literal tokens of a query text."""
-    toks = F.array_distinct(F.slice(_tokens(text), 1, limit))
+def query_terms(df: DataFrame, qid: list[str], text: Column, limit: int | None = 32) -> DataFrame:
+    """(qid, qterm): the distinct literal tokens of a query text; of its first ``limit`` tokens if there is one."""
+    toks = F.array_distinct(_tokens(text) if limit is None else F.slice(_tokens(text), 1, limit))
     return df.select(*qid, F.explode_outer(toks).alias("qterm")).where("qterm IS NOT NULL")
 
 

@@ -111,25 +111,37 @@ def opened_after(hits: DataFrame, rows: DataFrame, session: str, before: int, ho
     return hits.join(first, "id", "left").select(*hits.columns, F.coalesce(opened, F.lit(False)).alias("opened"))
 
 
+def _few(df: DataFrame, columns: list[str], most: int, what: str) -> list:
+    """The rows of a table that must be short: counted while they are read, refused if there are more."""
+    rows = df.select(*columns).where(F.col(columns[-1]).isNotNull()).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} takes at most {most} differences")
+    return sorted(tuple(r) for r in rows)
+
+
 def sign_flip(diffs: DataFrame, value: str, most: int = 16) -> DataFrame:
-    """Exact two-sided p over all 2^n sign assignments of at most ``most`` configuration differences."""
-    packed = diffs.agg(F.collect_list(value).alias("v"), F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean_difference"))
-    masks = packed.withColumn("mask", F.explode(F.sequence(F.lit(0).cast('bigint'), F.pow(F.lit(2.0), F.least("n", F.lit(most))).cast("bigint") - 1)))
-    bits = F.sequence(F.lit(0), F.size("v") - 1)
-    signed = F.zip_with("v", bits, lambda x, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, x).otherwise(-x))
-    flipped = F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    as_far = F.abs(flipped) >= F.abs(total) - 1e-9
-    return (masks.groupBy("n", "mean_difference").agg(F.round(F.avg(as_far.cast("double")), 6).alias("p"), count_rows().alias("assignments"))
-            .where(F.col("n") <= most))
-
-
-def bootstrap_ci(diffs: DataFrame, order: str, value: str, replicates: int) -> DataFrame:
-    """2.5 and 97.5 index percentiles of resampled means; draws come from a hash, so they repeat."""
-    packed = diffs.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("v"))
-    runs = packed.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = F.transform("v", lambda x, i: F.get("v", (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), i.cast("string"))), 1, 8), 16, 10)
-                                                      .cast("bigint") % F.size("v")).cast("int")))
-    means = runs.select(F.round(F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.size("v"), 6).alias("m"))
+    """Exact two-sided p over all 2^n sign assignments; more than ``most`` configuration differences are refused.
+
+    The few differences become literals and the assignments are a range, so they run in parallel.
+    """
+    v = [x for (x,) in _few(diffs, [value], most, "the exact test")]
+    masks = diffs.sparkSession.range(2 ** len(v) if v else 0)
+    flipped = sum((F.when(F.shiftright("id", i).bitwiseAND(1) == 1, x).otherwise(-x) for i, x in enumerate(v)), F.lit(0.0))
+    as_far = F.abs(flipped) >= abs(sum(v)) - 1e-9
+    return (masks.agg(F.round(F.avg(as_far.cast("double")), 6).alias("p"), count_rows().alias("assignments"))
+            .select(F.lit(len(v)).cast("bigint").alias("n"), F.round(F.lit(sum(v) / max(1, len(v))), 6).alias("mean_difference"), "p", "assignments").where("n > 0"))
+
+
+def bootstrap_ci(diffs: DataFrame, order: str, value: str, replicates: int, most: int = 1000) -> DataFrame:
+    """2.5 and 97.5 index percentiles of resampled means; draws come from a hash, so they repeat.
+
+    At most ``most`` differences, which become a literal; the replicates are a range and run in parallel.
+    """
+    v = [x for _, x in _few(diffs, [order, value], most, "the bootstrap")]
+    runs = diffs.sparkSession.range(replicates if v else 0)
+    held = F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<double>")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(v) - 1))), lambda i: F.get(held, (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), i.cast("string"))), 1, 8), 16, 10)
+                                                                                          .cast("bigint") % len(v)).cast("int")))
+    means = runs.select(F.round(F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / len(v), 6).alias("m"))
     low, high = F.floor(F.lit(0.025) * (F.col("n") - 1)), F.floor(F.lit(0.975) * (F.col("n") - 1))
     return value_at_index(means, [], "m", F.floor(F.col("m") / 10), {"low": low, "high": high})

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 BLOCK = "__block"
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal names where null equals null; the names of the left side stay."""
+    named = right.select(*[F.col(c).alias(f"__on_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+    return left.join(named, cond, how).drop(*[f"__on_{c}" for c in on])
+
+
 def _merge(kind: str, carry: Column, local: Column) -> Column:
     if kind in ("sum", "count"):
         return F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -32,7 +41,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     (of non-null values), ``max``, ``min``, ``last`` (last non-null value) or ``lag`` (value of
     the row just before, null values kept). ``order`` must be a total order within a key, and
     ``block`` must never decrease along it. ``reverse`` runs from the end (so ``lag`` is a lead).
-    Keys must not be null.
+    Null keys and null blocks are groups like any other.
     """
     rows = df.withColumn(BLOCK, block)
     vals = {n: f"__v_{n}" for n in specs}
@@ -72,7 +81,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
         out.append((merged["v"] if kind == "lag" else merged).alias(name))
     per_block = rows.groupBy(*keys, BLOCK).agg(*totals)
     carry = per_block.select(*keys, BLOCK, *carried)
-    return rows.join(carry, [*keys, BLOCK]).select(*[F.col(f"`{c}`") for c in df.columns], *out)
+    return null_safe(rows, carry, [*keys, BLOCK]).select(*[F.col(f"`{c}`") for c in df.columns], *out)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str,
@@ -102,7 +111,8 @@ def value_at_index(df: DataFrame, groups: list[str], value: str, block: Column,
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
     cum = running(counts, groups, [value], block, {"__hi": ("sum", F.col("__c"), True)})
     totals = counts.groupBy(*groups).agg(F.sum("__c").alias("n"))
-    joined = cum.join(totals, groups) if groups else cum.crossJoin(totals)
+    # Without groups the totals are one row.
+    joined = null_safe(cum, totals, groups) if groups else cum.join(F.broadcast(totals))
     chosen = [F.max(F.when((F.col("__hi") > p) & (F.col("__hi") - F.col("__c") <= p), F.col(value))).alias(k)
               for k, p in picks.items()]
     return joined.groupBy(*groups).agg(F.max("n").alias("n"), *chosen)

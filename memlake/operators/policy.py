@@ -41,7 +41,7 @@ def audiences(path: Column, default: list[str], rules: list[tuple[str, list[str]
     lits = lambda names: F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
     hit = lambda want: F.array_compact(F.array(*[F.when(path.rlike(glob_regex(g)), lits(a)) for g, a, r in rules if r == want]))
     grants, limits = hit(False), hit(True)
-    base = F.when(F.size(grants) > 0, _meet(F.slice(grants, 2, 1000), F.get(grants, F.lit(0)))).otherwise(lits(default))
+    base = F.when(F.size(grants) > 0, _meet(grants, F.get(grants, F.lit(0)))).otherwise(lits(default))
     return F.array_sort(_meet(limits, base))
 
 
@@ -49,7 +49,7 @@ def artifact_audiences(external: Column, claim_sets: Column) -> Column:
     """Null when nothing restricts the artifact; else the intersection of its controls."""
     private = F.array(F.lit("host"), F.lit("local"))
     sets = F.concat(F.when(external, F.array().cast("array<array<string>>")).otherwise(F.array(private)), claim_sets)
-    return F.when(F.size(sets) > 0, F.array_sort(_meet(F.slice(sets, 2, 100_000), F.get(sets, F.lit(0)))))
+    return F.when(F.size(sets) > 0, F.array_sort(_meet(sets, F.get(sets, F.lit(0)))))
 
 
 def shared_values(rows: DataFrame, key: str, values: str) -> DataFrame:

@@ -62,12 +62,14 @@ def greedy_budget(df: DataFrame, key: str, doc: str, order: list[Column], size:
     """Take rows in order while they fit ``budget``; a row that does not fit is skipped, not final.
 
     Of rows with equal size, a later one is taken only if all earlier ones were, so at most
-    ``budget / size`` of them matter. Keeping those is exact and leaves every key with at most
-    about ``budget * ln(budget)`` rows for the sequential pass, however many it started with.
+    ``budget / size`` of them matter (and at most ``limit``). Keeping those is exact and leaves every
+    key with about ``budget * ln(budget)`` rows for the sequential pass, however many it started with. Rows
+    of size zero always fit; without a limit all of them are taken.
     """
-    fits = df.where((F.col(size) > 0) & (F.col(size) <= budget))
+    fits = df.where((F.col(size) >= 0) & (F.col(size) <= budget))
     nth = F.row_number().over(W.partitionBy(key, size).orderBy(*order))
-    few = (fits.withColumn("__n", nth).where((F.col("__n") <= budget) & (F.col("__n") * F.col(size) <= budget)))
+    matters = (F.col("__n") * F.col(size) <= budget) & (F.lit(True) if limit is None else F.col("__n") <= limit)
+    few = fits.withColumn("__n", nth).where(matters)
     ranked = few.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("bigint"))
     columns = [key, doc, "place", size]
     schema = ranked.select(*columns).schema
@@ -88,9 +90,9 @@ def greedy_budget(df: DataFrame, key: str, doc: str, order: list[Column], size:
     return ranked.select(*columns).sortWithinPartitions(key, "place").mapInPandas(take, schema)
 
 
-def statuses(asked: DataFrame, lexical: DataFrame, fused: DataFrame, admitted: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """hit or miss per query, with the reason and how many rungs answered."""
-    kept = admitted.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("hits"))
+def statuses(asked: DataFrame, lexical: DataFrame, fused: DataFrame, delivered: DataFrame, keys: list[str]) -> DataFrame:
+    """hit or miss per query, with the reason and how many rungs answered; ``delivered`` are the rows of the cut."""
+    kept = delivered.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))
     any_ = fused.groupBy(*keys).agg(F.lit(True).alias("__any"))
     rungs = lexical.groupBy(*keys).agg(F.countDistinct("rung").alias("answered_rungs"))
     rows = asked.join(kept, keys, "left").join(any_, keys, "left").join(rungs, keys, "left")

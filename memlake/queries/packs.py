@@ -155,11 +155,11 @@ def document_sections(t):
 
 
 @query("section_rollup", SECTIONS + """ SELECT c.doc_id, count(*) AS sections, CAST(sum(c."end" - start) AS BIGINT) AS covered_characters, max(length(note)) = sum(c."end" - start) AS complete,
- string_agg(substr(note, start + 1, 20), '|' ORDER BY idx) AS summary FROM cut c JOIN vault v ON v.doc_id = c.doc_id GROUP BY c.doc_id""")
+ string_agg(substr(note, start + 1, c."end" - start), '|' ORDER BY idx) AS summary FROM cut c JOIN vault v ON v.doc_id = c.doc_id GROUP BY c.doc_id""")
 def section_rollup(t):
     parts = (_sections(t).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("sections"), F.sum(F.col("end") - F.col("start")).alias("covered_characters"),
-        F.max("end").alias("last"), F.array_sort(F.collect_list(F.struct("idx", F.substring("body", 1, 20).alias("s")))).alias("s")))
+        F.max("end").alias("last"), F.array_sort(F.collect_list(F.struct("idx", F.col("body").alias("s")))).alias("s")))
     return parts.select("doc_id", "sections", "covered_characters", (F.col("last") == F.col("covered_characters")).alias("complete"),
                         F.array_join(F.transform("s", lambda x: x["s"]), "|").alias("summary"))
 

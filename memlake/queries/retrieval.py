@@ -76,7 +76,7 @@ def bm25_or_topk(t):
     tok = ix.tokenized(t.documents, ["doc_id", "source"], {"body": F.col("text")})
     post = ix.postings(tok, ["doc_id", "source"])
     scoped = t.benchmark.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
-    q = ix.query_terms(scoped, ["item_id", "source"], F.col("text"), 1_000_000)
+    q = ix.query_terms(scoped, ["item_id", "source"], F.col("text"), None)
     r = ix.bm25_in_scope(tok, post, q, "doc_id", "source", ["item_id"], small=fits_broadcast(t.benchmark)).withColumn("score", F.round("r", 6))
     return (ix.top(r, ["item_id"], [F.desc("score"), F.asc("doc_id")], 3)
             .select("item_id", "source", "pos", "doc_id", "score"))
@@ -131,7 +131,7 @@ POOL_SQL = f"WITH {RUNG_HITS}, pool AS (SELECT item_id, doc_id, count(*) AS vote
 def pool_votes(t):
     # At most ten hits for each of at most four rungs: a pool is bounded by the search limit.
     p = ix.pool(rung_hits(t), ["item_id"], "doc_id")
-    return ix.top(p, ["item_id"], [F.desc("votes"), F.asc("best"), F.asc("doc_id")], 1_000_000)
+    return ix.ranked(p, ["item_id"], [F.desc("votes"), F.asc("best"), F.asc("doc_id")])
 
 
 CENTROID_SQL = "cen AS (SELECT label, [" + ", ".join(f"avg(embedding[{i + 1}]::DOUBLE)" for i in range(DIM)) + "] AS c FROM embeddings GROUP BY label)"
@@ -233,7 +233,7 @@ GATED = f"{FUSED}, gated AS (SELECT f.*, row_number() OVER (PARTITION BY item_id
 
 
 def gated(t):
-    return ix.top(ix.admissible(fused_lists(t)), ["item_id"], [F.desc("score"), F.asc("doc_id")], 1_000_000)
+    return ix.ranked(ix.admissible(fused_lists(t)), ["item_id"], [F.desc("score"), F.asc("doc_id")])
 
 
 @query("prefer_types", f"""WITH {GATED} SELECT item_id, doc_id, lang, row_number() OVER (PARTITION BY item_id ORDER BY lang NOT IN ('de', 'fr'), pos) AS place
@@ -288,7 +288,8 @@ def result_status(t):
     from memlake.operators.recall import statuses
     lex = rung_hits(t)
     fused = ix.fuse(lex, item_dense(t), ["item_id"], "doc_id")
-    return statuses(t.benchmark.select("item_id"), lex, fused, ix.admissible(fused), ["item_id"], limit=4)
+    # Counted on the rows that are delivered: a candidate without a note behind it is no hit.
+    return statuses(t.benchmark.select("item_id"), lex, fused, inject_cut(t), ["item_id"])
 
 
 @query("hybrid_recall", rf"""WITH {CUT_SQL}, ask AS (SELECT item_id, text AS txt FROM benchmark), {terms_sql('ask', 'item_id', 64, 'askt')},

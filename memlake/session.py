@@ -35,11 +35,13 @@ def local_session(cpus: str = "8", shuffle: int = 8, app: str = "memlake") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (a local test
-    session) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session. A local session, which has no other
+    executors, gets a temporary folder where it is unset; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-memlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
