@@ -39,7 +39,7 @@ def audiences(path: Column, default: list[str], rules: list[tuple[str, list[str]
     literals in the plan instead of a join side.
     """
     lits = lambda names: F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    hit = lambda want: F.array_compact(F.array(*[F.when(path.rlike(glob_regex(g)), lits(a)) for g, a, r in rules if r == want]))
+    hit = lambda want: F.array_compact(F.array(*[F.when(path.rlike(glob_regex(g)), lits(a)) for g, a, r in rules if r == want])).cast("array<array<string>>")
     grants, limits = hit(False), hit(True)
     base = F.when(F.size(grants) > 0, _meet(grants, F.get(grants, F.lit(0)))).otherwise(lits(default))
     return F.array_sort(_meet(limits, base))
