@@ -1,4 +1,4 @@
-"""Streaming family. Inputs are written as three slices in event order and drained batch by batch."""
+"""Streaming family. Inputs arrive as three slices in event order, each drained before the next is written."""
 
 from __future__ import annotations
 
@@ -19,34 +19,47 @@ SLICES = 3
 
 
 def _slices(t, rows, resend: bool = False, flush: dict | None = None):
-    """Write ``rows`` (with ``event_id`` and zone-less ``ts``) as slices by event id; returns (path, schema).
+    """``rows`` (with ``event_id`` and zone-less ``ts``) in slices by event id.
 
-    ``resend`` repeats the first slice with the last one. ``flush`` appends one far-future row that moves
-    the watermark past all real data.
+    ``resend`` repeats the first slice with the last one. ``flush`` adds one far-future row at the end that
+    moves the watermark past all real data.
     """
     n = t.events.count()
     rows = rows.withColumn("ts", sj.as_utc("ts"))
     part = F.floor(F.col("event_id") * SLICES / n)
-    path = scratch(t.spark, "stream")
     for i in range(SLICES):
-        mine = part == i
-        if resend and i == SLICES - 1:
-            mine = mine | (part == 0)
-        rows.where(mine).coalesce(1).write.mode("append").parquet(path)
+        yield rows.where((part == i) | (part == 0) if resend and i == SLICES - 1 else part == i)
     if flush is not None:
-        last = t.spark.range(1).select(*[F.lit(flush.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "ts"
-                                         else F.lit("2099-01-01").cast("timestamp").alias("ts") for f in rows.schema.fields])
-        last.coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
+        yield t.spark.range(1).select(*[F.lit(flush.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "ts"
+                                        else F.lit("2099-01-01").cast("timestamp").alias("ts") for f in rows.schema.fields])
 
 
-def _stream(t, rows, **kw):
-    path, schema = _slices(t, rows, **kw)
-    return sj.tail(t.spark, path, schema, files=1)
+def _arrivals(t, slices):
+    """Write each slice, by as many tasks as it has partitions, and hand over the stream of the folder.
 
+    A run takes all files that came since the last one as one micro-batch, so slices keep their order
+    however many files they have.
+    """
+    path = scratch(t.spark, "stream")
+    for rows in slices:
+        rows.write.mode("append").parquet(path)
+        yield sj.tail(t.spark, path, rows.schema)
 
-def _drain(t, stream, mode="append"):
-    return sj.drain(stream, scratch(t.spark, "out"), scratch(t.spark, "checkpoint"), mode)
+
+def _drain(t, slices, job):
+    """Rows that ``job`` has written once all slices are through."""
+    out, checkpoint = scratch(t.spark, "out"), scratch(t.spark, "checkpoint")
+    for stream in _arrivals(t, slices):
+        rows = sj.drain(job(stream), out, checkpoint)
+    return rows
+
+
+def _updates(t, slices, job):
+    """Every row that an update-mode job has emitted, with the batch (``at``) that emitted it."""
+    seen, checkpoint = scratch(t.spark, "state"), scratch(t.spark, "checkpoint")
+    for stream in _arrivals(t, slices):
+        sj.drain_batches(job(stream), lambda b, i: b.write.mode("overwrite").parquet(f"{seen}/at={i}"), checkpoint, "update")
+    return t.spark.read.parquet(seen)
 
 
 @query("stream_journal", f"WITH {HOOKS} SELECT event_id, session_id, event FROM hooks")
@@ -62,15 +75,15 @@ def stream_journal(t):
 
 @query("stream_dedupe", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
 def stream_dedupe(t):
-    s = _stream(t, t.events.select("event_id", "ts", "event_type"), resend=True)
-    return _drain(t, sj.dedupe(s, "40 days")).groupBy("event_type").agg(mt.count_rows().alias("n"), F.sum("event_id").alias("ids"))
+    slices = _slices(t, t.events.select("event_id", "ts", "event_type"), resend=True)
+    return _drain(t, slices, lambda s: sj.dedupe(s, "40 days")).groupBy("event_type").agg(mt.count_rows().alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("stream_session_windows", """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM g GROUP BY user_id, g""")
 def stream_session_windows(t):
-    s = _stream(t, t.events.select("event_id", "user_id", "ts"), flush={"user_id": -1, "event_id": -1})
-    out = _drain(t, sj.session_windows(s, "user_id", "6 hours", "1 hour"))
+    slices = _slices(t, t.events.select("event_id", "user_id", "ts"), flush={"user_id": -1, "event_id": -1})
+    out = _drain(t, slices, lambda s: sj.session_windows(s, "user_id", "6 hours", "1 hour"))
     return out.where("user_id >= 0").select("user_id", sj.from_utc("first_ts").alias("first_ts"), sj.from_utc("last_ts").alias("last_ts"), "events")
 
 
@@ -79,12 +92,9 @@ FOLD = f"""{HOOKS}, a AS (SELECT *, floor(event_id * 3 / (SELECT count(*) FROM e
 
 
 def _final_state(t):
-    s = _stream(t, demo.hooks(t).select("event_id", "session_id", "event", "ts", "k"))
-    seen = scratch(t.spark, "state")
-    # The sink of an update-mode fold keeps the newest row per session; here all rows are kept and the largest count wins.
-    sj.drain_batches(sj.session_state(s, ["k", "event_id"]), lambda b, i: b.write.mode("overwrite").parquet(f"{seen}/batch={i}"), scratch(t.spark, "checkpoint"), "update")
-    rows = t.spark.read.parquet(seen)
-    return rows.groupBy("session_id").agg(F.max_by(F.struct("processed", "stale", "prompts", "stops"), "processed").alias("s")).select("session_id", "s.*")
+    slices = _slices(t, demo.hooks(t).select("event_id", "session_id", "event", "ts", "k"))
+    rows = _updates(t, slices, lambda s: sj.session_state(s, ["k", "event_id"]))
+    return rows.groupBy("session_id").agg(F.max_by(F.struct("processed", "stale", "prompts", "stops"), "at").alias("s")).select("session_id", "s.*")
 
 
 @query("stream_session_state", f"""WITH {FOLD} SELECT session_id, count(*) AS processed, count(CASE WHEN NOT late AND event = 'UserPromptSubmit' THEN 1 END) AS prompts, count(CASE WHEN NOT late AND event = 'Stop' THEN 1 END) AS stops FROM b GROUP BY session_id""")
@@ -97,13 +107,16 @@ def stream_late_drop(t):
     return _final_state(t).select("session_id", "processed", "stale")
 
 
-@query("stream_retry_timers")
+RETRY = f"""{HOOKS}, q AS (SELECT session_id, event, ts, event_id, count(CASE WHEN event = 'Stop' THEN 1 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS run
+  FROM hooks WHERE event IN ('Stop', 'PostToolUseFailure')),
+ l AS (SELECT session_id, max(run) AS run FROM q GROUP BY session_id),
+ a AS (SELECT session_id, count(CASE WHEN event = 'PostToolUseFailure' THEN 1 END) AS attempts FROM q JOIN l USING (session_id, run) GROUP BY session_id)"""
+
+
+@query("stream_retry_timers", f"WITH {RETRY} SELECT session_id, attempts, attempts >= 8 AS parked, CASE WHEN attempts = 0 THEN 0 ELSE least(3600, 60 * pow(2, least(attempts - 1, 6))) END::BIGINT AS delay FROM a")
 def stream_retry_timers(t):
-    """Timers have no SQL form; the tests compare the final attempts with a plain loop."""
-    s = _stream(t, demo.hooks(t).where("event IN ('Stop', 'PostToolUseFailure')").select("event_id", "session_id", "event", "ts"))
-    seen = scratch(t.spark, "state")
-    sj.drain_batches(sj.retry_timers(s, "1 hour"), lambda b, i: b.withColumn("at", F.lit(i)).write.mode("overwrite").parquet(f"{seen}/batch={i}"), scratch(t.spark, "checkpoint"), "update")
-    rows = t.spark.read.parquet(seen)
+    slices = _slices(t, demo.hooks(t).where("event IN ('Stop', 'PostToolUseFailure')").select("event_id", "session_id", "event", "ts"))
+    rows = _updates(t, slices, lambda s: sj.retry_timers(s, "1 hour"))
     return rows.groupBy("session_id").agg(F.max_by(F.struct("attempts", "parked", "delay"), "at").alias("s")).select("session_id", "s.*")
 
 
@@ -115,13 +128,13 @@ def _failures(t):
 @query("stream_ttl_suppress")
 def stream_ttl_suppress(t):
     """Once per signature and time to live; the tests compare with a plain loop."""
-    return _drain(t, sj.suppress_repeats(_stream(t, _failures(t)), "1 hour", ttl=6 * 3600.0))
+    return _drain(t, _slices(t, _failures(t)), lambda s: sj.suppress_repeats(s, "1 hour", ttl=6 * 3600.0))
 
 
 @query("stream_failure_class", TEXT + " SELECT date_trunc('hour', ts) AS start, kind, count(*) AS n FROM an GROUP BY ALL")
 def stream_failure_class(t):
-    s = _stream(t, _failures(t), flush={"kind": "flush", "event_id": -1})
-    out = _drain(t, sj.windowed(s, ["kind"], "1 hour", None, "1 hour", [mt.count_rows().alias("n")]))
+    slices = _slices(t, _failures(t), flush={"kind": "flush", "event_id": -1})
+    out = _drain(t, slices, lambda s: sj.windowed(s, ["kind"], "1 hour", None, "1 hour", [mt.count_rows().alias("n")]))
     return out.where("kind <> 'flush'").select(sj.from_utc("start").alias("start"), "kind", "n")
 
 
@@ -134,27 +147,30 @@ DAILY = f"""WITH l AS (SELECT {LOG_COLS} FROM events), k AS (SELECT * FROM l WHE
 def stream_daily_metrics(t):
     log = demo.project(t.events, LOG_COLS).where("status IN ('hit', 'miss')").select("event_id", "ts", "status", "ms")
     aggs = [mt.count_rows().alias("prompts"), F.sum((F.col("status") == "hit").cast("bigint")).alias("hits"), F.sum("ms").alias("ms")]
-    path, schema = _slices(t, log, flush={"status": "flush", "event_id": -1, "ms": 0})
     outs = []
     for width, span, slide in (("day", "1 day", None), ("week", "7 days", "1 day")):
-        rows = _drain(t, sj.windowed(sj.tail(t.spark, path, schema, 1), [], span, slide, "1 day", aggs))
+        slices = _slices(t, log, flush={"status": "flush", "event_id": -1, "ms": 0})
+        rows = _drain(t, slices, lambda s: sj.windowed(s, [], span, slide, "1 day", aggs))
         outs.append(rows.where("start < TIMESTAMP '2098-01-01 00:00:00'").select(F.lit(width).alias("width"), sj.from_utc("start").alias("start"), "prompts", "hits", "ms"))
     return outs[0].unionByName(outs[1])
 
 
-@query("stream_index_refresh", rf"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN doc_id % 5 = 0 THEN text || ' third' WHEN doc_id % 3 = 0 THEN text || ' second' ELSE text END AS x FROM documents)
- SELECT doc_id, generation, len(list_distinct(regexp_extract_all(lower(x), {TOK}))) AS terms, len(regexp_extract_all(lower(x), {TOK})) AS tokens FROM v""")
+@query("stream_index_refresh", rf"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 25 = 0 THEN '' WHEN doc_id % 5 = 0 THEN text || ' third' WHEN doc_id % 3 = 0 THEN text || ' second' ELSE text END AS x FROM documents)
+ SELECT doc_id, generation, len(list_distinct(regexp_extract_all(lower(x), {TOK}))) AS terms, len(regexp_extract_all(lower(x), {TOK})) AS tokens FROM v WHERE regexp_matches(x, {TOK})""")
 def stream_index_refresh(t):
+    """Three generations of changes; the last one also empties some notes and deletes others."""
     d = t.documents.select("doc_id", F.lit(1).alias("generation"), "text")
-    path = scratch(t.spark, "changes")
-    for g, cond, word in ((1, "true", ""), (2, "doc_id % 3 = 0", " second"), (3, "doc_id % 5 = 0", " third")):
-        d.where(cond).select("doc_id", F.lit(g).alias("generation"), F.concat("text", F.lit(word)).alias("text")).coalesce(1).write.mode("append").parquet(path)
+    third = F.expr("CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 25 = 0 THEN '' ELSE text || ' third' END")
+    slices = [d.where(cond).select("doc_id", F.lit(g).alias("generation"), text.alias("text"))
+              for g, cond, text in ((1, "true", F.col("text")), (2, "doc_id % 3 = 0", F.expr("text || ' second'")), (3, "doc_id % 5 = 0", third))]
 
     def build(notes):
-        post = ix.postings(ix.tokenized(notes, ["doc_id", "generation"], {"body": F.col("text")}), ["doc_id", "generation"])
+        post = ix.postings(ix.tokenized(notes, ["doc_id", "generation"], {"body": F.coalesce("text", F.lit(""))}), ["doc_id", "generation"])
         return post.drop("field")
 
-    rows = sj.refresh_index(t.spark, sj.tail(t.spark, path, d.schema, 1), scratch(t.spark, "index"), build, scratch(t.spark, "checkpoint"))
+    root, checkpoint = scratch(t.spark, "index"), scratch(t.spark, "checkpoint")
+    for stream in _arrivals(t, slices):
+        rows = sj.refresh_index(t.spark, stream, root, build, checkpoint)
     return rows.groupBy("doc_id", "generation").agg(mt.count_rows().alias("terms"), F.sum("tf").alias("tokens"))
 
 

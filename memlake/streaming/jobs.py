@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,24 +74,26 @@ SESSION_OUT = "session_id long, processed long, stale long, prompts long, stops
 SESSION_STATE = "processed long, stale long, prompts long, stops long, high double"
 
 
+def _sorted(frames: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> pd.DataFrame:
+    """The few columns needed of a key's new rows, in order."""
+    return pd.concat([f[columns] for f in frames]).sort_values(order)
+
+
 def session_state(events: DataFrame, arrival: list[str]) -> DataFrame:
     """Running fold per session: counts, events behind the high-water mark, the mark itself.
 
-    Only five numbers are kept per session. A micro-batch is read in arrival order.
+    Only five numbers are kept per session. A micro-batch is taken in arrival order, as arrays.
     """
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, stale, prompts, stops, high = state.get if state.exists else (0, 0, 0, 0, float("-inf"))
-        pdf = pd.concat(list(frames)).sort_values(arrival)
-        at = [x.timestamp() for x in pdf["ts"]]
-        for t, event in zip(at, pdf["event"]):
-            n += 1
-            if t < high:
-                stale += 1
-                continue
-            high = t
-            prompts += event == "UserPromptSubmit"
-            stops += event == "Stop"
-        state.update((n, stale, int(prompts), int(stops), float(high)))
+        pdf = _sorted(frames, ["ts", "event", *arrival], arrival)
+        at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
+        marks = np.maximum.accumulate(np.concatenate([[high], at]))
+        late = at < marks[:-1]
+        event = pdf["event"].to_numpy()[~late]
+        n, stale, high = n + len(at), stale + int(late.sum()), float(marks[-1])
+        prompts, stops = prompts + int((event == "UserPromptSubmit").sum()), stops + int((event == "Stop").sum())
+        state.update((n, stale, prompts, stops, high))
         yield pd.DataFrame({"session_id": [key[0]], "processed": [n], "stale": [stale], "prompts": [prompts], "stops": [stops],
                             "high": [pd.Timestamp(round(high * 1_000_000), unit="us") if n > stale else pd.NaT]})
 
@@ -100,25 +103,28 @@ def session_state(events: DataFrame, arrival: list[str]) -> DataFrame:
 RETRY_OUT = "session_id long, attempts long, parked boolean, delay long"
 
 
-def retry_timers(events: DataFrame, delay: str, park_after: int = 8) -> DataFrame:
-    """Back-off per session: failures raise the attempt count, a Stop clears it, eight park the session.
+def retry_timers(events: DataFrame, delay: str, park_after: int = 8, quiet: str = "1 day") -> DataFrame:
+    """Back-off per session: failures raise the attempt count, a Stop clears it, ``park_after`` park the session.
 
-    An event-time timer drops the state of sessions that stay quiet for a day.
+    Pending and parked sessions keep their state until a Stop clears it. A cleared session that stays
+    ``quiet`` is forgotten by an event-time timer, which changes nothing: it would start from zero again.
     """
+    rest = int(pd.Timedelta(quiet).total_seconds() * 1000)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         attempts = state.get[0] if state.exists else 0
-        last = 0.0
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for event, ts in zip(pdf["event"], pdf["ts"]):
-            attempts = 0 if event == "Stop" else attempts + (event == "PostToolUseFailure")
-            last = ts.timestamp()
-        state.update((int(attempts),))
-        state.setTimeoutTimestamp(max(int(last * 1000) + 86_400_000, state.getCurrentWatermarkMs() + 1))
-        wait = min(3600, 60 * 2 ** min(max(attempts - 1, 0), 6)) if attempts else 0
-        yield pd.DataFrame({"session_id": [key[0]], "attempts": [int(attempts)], "parked": [attempts >= park_after], "delay": [wait]})
+        pdf = _sorted(frames, ["ts", "event_id", "event"], ["ts", "event_id"])
+        event = pdf["event"].to_numpy()
+        stops = np.flatnonzero(event == "Stop")
+        attempts = int((event[stops[-1]:] == "PostToolUseFailure").sum() if len(stops) else attempts + (event == "PostToolUseFailure").sum())
+        state.update((attempts,))
+        if not attempts:
+            state.setTimeoutTimestamp(max(int(pdf["ts"].iloc[-1].timestamp() * 1000) + rest, state.getCurrentWatermarkMs() + 1))
+        wait = min(3600, 60 * 2 ** min(attempts - 1, 6)) if attempts else 0
+        yield pd.DataFrame({"session_id": [key[0]], "attempts": [attempts], "parked": [attempts >= park_after], "delay": [wait]})
 
     return (events.withWatermark("ts", delay).groupBy("session_id")
             .applyInPandasWithState(step, RETRY_OUT, "attempts long", "update", GroupStateTimeout.EventTimeTimeout))
@@ -128,23 +134,24 @@ def suppress_repeats(failures: DataFrame, delay: str, ttl: float) -> DataFrame:
     """Let a failure signature through once per session and time to live.
 
     The state is one timestamp per (session, signature), so a noisy session spreads over many keys;
-    it is dropped when the time to live has passed.
+    it is dropped when the time to live has passed. Only rows that come through are looked at one by one.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else float("-inf")
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        pdf = _sorted(frames, ["ts", "event_id"], ["ts", "event_id"])
+        at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
         keep = []
-        for event_id, ts in zip(pdf["event_id"], pdf["ts"]):
-            at = ts.timestamp()
-            if at - last >= ttl:
-                last = at
-                keep.append(event_id)
-        state.update((float(last),))
+        nxt = int(np.searchsorted(at, last + ttl))
+        while nxt < len(at):
+            keep.append(nxt)
+            last = float(at[nxt])
+            nxt = int(np.searchsorted(at, last + ttl))
+        state.update((last,))
         state.setTimeoutTimestamp(max(int((last + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"session_id": key[0], "signature": key[1], "event_id": keep})
+        yield pd.DataFrame({"session_id": key[0], "signature": key[1], "event_id": pdf["event_id"].to_numpy()[keep]})
 
     return (failures.withWatermark("ts", delay).groupBy("session_id", "signature")
             .applyInPandasWithState(step, "session_id long, signature string, event_id long", "last double", "append", GroupStateTimeout.EventTimeTimeout))
@@ -155,16 +162,19 @@ def suppress_repeats(failures: DataFrame, delay: str, ttl: float) -> DataFrame:
 def refresh_index(spark: SparkSession, changes: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:
     """Rebuild index rows of changed notes per micro-batch; later generations replace earlier ones.
 
-    A batch is written under its own id, so a replayed batch overwrites itself.
+    Each batch also writes the generation of every note that it saw, whether or not rows came of it:
+    an emptied or deleted note (null text) so hides its older rows. A batch is written under its
+    own id, so a replayed batch overwrites itself.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "generation").alias("n")).select("n.*")
-        build(newest).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        newest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "generation").alias("n")).select("n.*").persist()
+        build(newest).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+        newest.select("doc_id", "generation").write.mode("overwrite").parquet(f"{root}/notes/batch={batch_id}")
+        newest.unpersist()
 
     drain_batches(changes, apply, checkpoint)
-    rows = spark.read.parquet(root).drop("batch")
-    latest = rows.groupBy("doc_id").agg(F.max("generation").alias("generation"))
-    return rows.join(latest, ["doc_id", "generation"], "left_semi")
+    latest = spark.read.parquet(f"{root}/notes").groupBy("doc_id").agg(F.max("generation").alias("generation"))
+    return spark.read.parquet(f"{root}/rows").drop("batch").join(latest, ["doc_id", "generation"], "left_semi")
 
 
 # -- generations and retention (batch views over the change log) ----------------------------------------------
