@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ MAX_WORDS = 1 << 20
 MIN_COUNT, BACKOFF = 2, 0.4
 PART_TOKENS = 4_000_000  # exploded n-grams that one partition counts
 SHIFT = 21  # bits of a word number
+PIECE = 2000  # rows that a task counts or explodes at once
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -39,10 +41,11 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word: binary, n): counts over all texts, added up per task batch before they are shuffled."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                seen.update(_words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            for at in range(0, b.num_rows, 2 * PIECE):
+                seen: Counter = Counter()
+                for t in b.column(0).slice(at, 2 * PIECE):
+                    seen.update(_words(t.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
     return (docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(work, "word binary, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -73,8 +76,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         number = dict(zip(words, range(1, len(words) + 1))).get
         start = len(uni) - 1
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                piece = b.slice(at, 4000)
+            for at in range(0, b.num_rows, PIECE):
+                piece = b.slice(at, PIECE)
                 ids, hashes = piece.column("id").fill_null(0).to_numpy(), piece.column("hash").to_numpy()
                 lines = [[start, *[number(w, 0) for w in _words(t)]] for t in piece.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -91,22 +94,26 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
                 order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
                 gram, row, times, part = gram[order], row[order], times[order].astype(np.int32), part[order]
                 cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 62)))
+                name = xxhash.xxh64_intdigest(ids.tobytes() + hashes.tobytes()) - (1 << 63)  # where the sums go back to
                 out = []
                 for lo, hi in zip(cuts, np.append(cuts[1:], len(part))):
                     rows, n = np.unique(row[lo:hi], return_counts=True)
-                    out.append((int(part[lo]), gram[lo:hi].tobytes(), times[lo:hi].tobytes(), ids[rows].tobytes(), hashes[rows].tobytes(), n.astype(np.int32).tobytes()))
+                    out.append((int(part[lo]), name, gram[lo:hi].tobytes(), times[lo:hi].tobytes(), ids[rows].tobytes(), hashes[rows].tobytes(), n.astype(np.int32).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int32(), *[pa.binary()] * 5])],
-                                                     names=["part", "grams", "times", "ids", "hashes", "entries"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 5])],
+                                                     names=["part", "piece", "grams", "times", "ids", "hashes", "entries"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = sent.value[1]
+        pieces: list[int] = []
         held: dict[str, list[bytes]] = {c: [] for c in ("grams", "times", "ids", "hashes", "entries")}
         for b in batches:
+            pieces += b.column("piece").to_pylist()
             for c in held:
                 held[c] += b.column(c).to_pylist()
-        if not held["grams"]:
+        if not pieces:
             return
+        lengths = [len(e) // 4 for e in held["entries"]]
         whole = lambda c, kind: np.frombuffer(b"".join(held.pop(c)), kind)
         grams, at = np.unique(whole("grams", np.int64), return_inverse=True)
         times, ids, hashes, entries = whole("times", np.int32), whole("ids", np.int64), whole("hashes", np.int64), whole("entries", np.int32)
@@ -114,12 +121,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         first, second = grams >> SHIFT, grams & (1 << SHIFT) - 1
         value = np.where(seen >= MIN_COUNT, np.log(seen) - np.log(np.maximum(uni[first], 1)), math.log(BACKOFF) + np.log(uni[second]) - math.log(uni[:-1].sum()))
         starts = np.cumsum(entries) - entries
-        sums, n = np.add.reduceat(value[at] * times, starts), np.add.reduceat(times.astype(np.int64), starts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(sums), pa.array(n), pa.array(np.zeros(len(n), np.int64))],
+        sums, n = np.add.reduceat(value[at] * times, starts), np.add.reduceat(times, starts).astype(np.int32)
+        end = 0
+        for piece, size in zip(pieces, lengths):
+            cut = slice(end, end := end + size)
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), *(pa.array([x[cut].tobytes()], pa.binary()) for x in (ids, hashes, sums, n))],
+                                             names=["piece", "ids", "hashes", "sums", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[bytes]] = [[], [], [], []]
+        for b in batches:
+            for k, c in enumerate(("ids", "hashes", "sums", "counts")):
+                held[k] += b.column(c).to_pylist()
+        ids, hashes, sums, n = (np.frombuffer(b"".join(h), kind) for h, kind in zip(held, (np.int64, np.int64, np.float64, np.int32)))
+        if not len(ids):
+            return
+        order = np.lexsort((ids, hashes))
+        ids, hashes = ids[order], hashes[order]
+        starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(hashes[starts]), pa.array(np.add.reduceat(sums[order], starts)),
+                                          pa.array(np.add.reduceat(n[order].astype(np.int64), starts)), pa.array(np.zeros(len(starts), np.int64))],
                                          names=["id", "hash", "log_score", "n", "copies"])
 
-    partial = (keyed.mapInArrow(explode, "part int, grams binary, times binary, ids binary, hashes binary, entries binary")
-               .repartitionById(parts, F.col("part")).mapInArrow(count, "id bigint, hash bigint, log_score double, n bigint, copies bigint"))
+    # Sums return to the piece that they came from, packed, so a document is one row however many partitions count.
+    partial = (keyed.mapInArrow(explode, "part int, piece bigint, grams binary, times binary, ids binary, hashes binary, entries binary")
+               .repartitionById(parts, F.col("part")).mapInArrow(count, "piece bigint, ids binary, hashes binary, sums binary, counts binary")
+               .repartition(parts, "piece").mapInArrow(merge, "id bigint, hash bigint, log_score double, n bigint, copies bigint"))
     rows = keyed.select(F.coalesce("id", F.lit(0)).alias("id"), "hash", F.lit(0.0).alias("log_score"), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("copies"),
                         F.col("id").isNull().alias("no_id"))
     both = partial.withColumn("no_id", F.lit(None).cast("boolean")).unionByName(rows)
