@@ -1,49 +1,42 @@
 """Table functions for Spark SQL: ``query_ladder``, ``passages``, ``sections`` (one row in, many out).
 
-The DataFrame operators do the same work inside the JVM; these forms are for SQL users who want
-``SELECT ... FROM notes, LATERAL sections(text, 24000)``.
+They are SQL functions over built-in expressions, for users who write ``SELECT ... FROM notes, LATERAL
+sections(text, 24000)``. Only the cuts of sections, each of which depends on the one before, come from a
+batch function.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import functions as F, types as T
 
+from memlake.functions.packs import section_ends
 
-class Sections:
-    """Lossless sections: start, end, body."""
+# Best terms first: capital unless it opens the question, a digit, length; ties in the order given.
+RANKED = """transform(array_sort(transform(terms, (t, i) -> struct(
+    NOT (substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND t <> first_word) AS a, NOT rlike(t, '[0-9]') AS b, -length(t) AS c, i, t))), s -> s.t)"""
+BEST = lambda k: f"if(size(terms) > {k}, filter(terms, t -> array_contains(slice({RANKED}, 1, {k}), t)), NULL)"
 
-    def eval(self, text: str, size: int):
-        from memlake.functions.packs import _cuts
+LADDER = f"""CREATE OR REPLACE TEMPORARY FUNCTION query_ladder(terms ARRAY<STRING>, first_word STRING) RETURNS TABLE (rung INT, query STRING)
+RETURN SELECT pos, array_join(r, ' ') FROM (SELECT posexplode(filter(array(terms, {BEST(5)}, {BEST(3)}, {BEST(2)}),
+  r -> r IS NOT NULL AND (size(r) > 1 OR size(r) = size(terms) AND size(r) = 1))) AS (pos, r))"""
 
-        start = 0
-        for end in _cuts(text or "", size):
-            yield start, end, text[start:end]
-            start = end
+PASSAGES = """CREATE OR REPLACE TEMPORARY FUNCTION passages(text STRING, width INT) RETURNS TABLE (start INT, body STRING)
+RETURN SELECT s, substr(coalesce(text, ''), s + 1, least(greatest(width, 40), 4000)) FROM (SELECT explode(
+  sequence(0, greatest(length(coalesce(text, '')), 1) - 1, greatest(20, least(greatest(width, 40), 4000) * 3 DIV 4))) AS s)"""
 
+SECTIONS = """CREATE OR REPLACE TEMPORARY FUNCTION sections(text STRING, width INT) RETURNS TABLE (start INT, end INT, body STRING)
+RETURN SELECT b, e, substr(text, b + 1, e - b) FROM (SELECT explode(arrays_zip(array_prepend(cuts, 0), cuts)) AS z FROM (SELECT section_ends(text, width) AS cuts))
+  LATERAL VIEW OUTER inline(array(struct(z.`0` AS b, z.cuts AS e))) AS b, e WHERE e IS NOT NULL"""
 
-class QueryLadder:
-    """Rungs of already extracted terms: rung number and query text."""
 
-    def eval(self, terms: list, first_word: str):
-        terms = list(terms or [])
-        best = sorted(terms, key=lambda t: (t[:1].isupper() and t != first_word, any(ch.isdigit() for ch in t), len(t)), reverse=True)
-        sizes = [len(terms)] + [k for k in (5, 3, 2) if k < len(terms)]
-        for rung, k in enumerate(n for n in sizes if n >= 2 or (n == 1 and len(terms) == 1)):
-            chosen = set(best[:k])
-            yield rung, " ".join(t for t in terms if t in chosen)
-
-
-class Passages:
-    """Overlapping windows of a text: start and body."""
-
-    def eval(self, text: str, limit: int):
-        limit = max(40, min(limit, 4000))
-        for start in range(0, max(1, len(text or "")), max(20, limit * 3 // 4)):
-            yield start, (text or "")[start:start + limit]
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def ends(text: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series([section_ends(t or "", n) for t, n in zip(text, size)])
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("sections", udtf(Sections, returnType="start int, end int, body string"))
-    spark.udtf.register("query_ladder", udtf(QueryLadder, returnType="rung int, query string"))
-    spark.udtf.register("passages", udtf(Passages, returnType="start int, body string"))
+    spark.udf.register("section_ends", ends)
+    for function in (LADDER, PASSAGES, SECTIONS):
+        spark.sql(function)

@@ -70,9 +70,9 @@ def test_failures(spark):
 
 
 def test_section_concat_is_lossless(spark):
-    from memlake.functions.packs import _cuts
+    from memlake.functions.packs import section_ends
     for text in ("a" * 999, "x\n\n" * 700, "# h\n" * 600, "no breaks " * 500):
-        ends = _cuts(text, 300)
+        ends = section_ends(text, 300)
         assert "".join(text[a:b] for a, b in zip([0, *ends], ends)) == text and ends[-1] == len(text)
 
 
@@ -82,6 +82,9 @@ def test_table_functions_and_settings(spark):
     assert [tuple(r) for r in rows] == [(0, 256), (256, 512), (512, 600)]
     rungs = spark.sql("SELECT q.query FROM (SELECT array('alpha', 'Beta', 'c3po') AS t), LATERAL query_ladder(t, '') q ORDER BY q.rung").collect()
     assert [r.query for r in rungs] == ["alpha Beta c3po", "Beta c3po"]
+    wins = spark.sql("SELECT p.start, p.body FROM (SELECT repeat('abcdefghij', 10) AS t), LATERAL passages(t, 40) p ORDER BY 1").collect()
+    assert [(r.start, r.body) for r in wins] == [(i, ("abcdefghij" * 10)[i:i + 40]) for i in range(0, 100, 30)]
+    assert spark.sql("SELECT * FROM (SELECT CAST(NULL AS STRING) AS t), LATERAL sections(t, 256)").count() == 0
     assert Settings().with_options(inject=2).inject == 2 and Settings().inject == 4
     df = spark.createDataFrame([(1, 2, "abc")], "q long, d long, text string")
     assert judge(df, lambda pdf: pdf["text"].str.len(), ["q"], "d").first().judge == 3.0
