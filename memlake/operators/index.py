@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import fixed, text as tx
+from memlake.session import broadcast_if_small
 
 K1, B = 1.2, 0.75                    # fixed values
 FIELD_WEIGHTS = {"path": 1.5, "title": 4.0, "body": 1.0}   # fixed values
@@ -23,25 +26,79 @@ def tokenized(notes: DataFrame, ids: list[str], fields: dict[str, Column]) -> Da
     return t.withColumn("len", sum(F.size(f"tok_{f}") for f in fields).cast("bigint"))
 
 
+def counted(tok: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, len, fields): terms and counts of every field, inside the note's row.
+
+    A sorted token array is cut where it changes, so nothing is shuffled or aggregated.
+    """
+    names = [c[4:] for c in tok.columns if c.startswith("tok_")]
+
+    def runs(words):
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return tx.let(at, lambda starts: F.transform(starts, lambda i, k: F.struct(
+            F.get(words, i).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(words)) - i).cast("bigint").alias("tf"))))
+
+    return tok.select(*ids, "len", F.array(*[F.struct(
+        F.lit(f).alias("field"), F.size(f"tok_{f}").cast("bigint").alias("field_len"),
+        F.when(F.size(f"tok_{f}") > 0, tx.let(F.array_sort(f"tok_{f}"), runs)).alias("counts")) for f in names]).alias("fields"))
+
+
+def exploded(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, len, field, field_len, term, tf) of counted notes."""
+    return (rows.select(*ids, "len", F.explode("fields").alias("x"))
+            .select(*ids, "len", "x.field", "x.field_len", F.inline("x.counts")))
+
+
 def postings(tok: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, field, term, tf, len). A note is one row, so the count combines before the shuffle."""
+    return exploded(counted(tok, ids), ids)
+
+
+# -- stored index ------------------------------------------------------------------------------------------
+
+BUCKETS = 64
+
+
+class Index(NamedTuple):
+    """A stored index: ``notes`` (ids, len, len_<field>), ``postings`` by term bucket, ``vocabulary`` (term, df)."""
+
+    notes: DataFrame
+    postings: DataFrame
+    vocabulary: DataFrame
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store(tok: DataFrame, ids: list[str], doc: str, path: str) -> Index:
+    """Write the index of tokenized notes; texts are tokenized once.
+
+    Postings are dealt to the files of their bucket by term and note, so a frequent term is spread over
+    several tasks; the vocabulary is aggregated from the stored postings.
+    """
+    spark = tok.sparkSession
     fields = [c[4:] for c in tok.columns if c.startswith("tok_")]
-    tagged = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"tok_{f}").alias("toks")) for f in fields])
-    rows = (tok.select(*ids, "len", F.explode(tagged).alias("x"))
-            .select(*ids, "len", "x.field", F.explode_outer("x.toks").alias("term")).where("term IS NOT NULL"))
-    return rows.groupBy(*ids, "len", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted(tok, ids).write.parquet(f"{path}/counted")
+    rows = spark.read.parquet(f"{path}/counted")
+    rows.select(*ids, "len", *[F.get("fields", F.lit(i))["field_len"].alias(f"len_{f}") for i, f in enumerate(fields)]).write.parquet(f"{path}/notes")
+    post = exploded(rows, ids).withColumn("bucket", bucket(F.col("term")))
+    (post.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", F.pmod(F.xxhash64(doc), F.lit(4)))
+     .sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings"))
+    (spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.countDistinct(doc).alias("df"))
+     .write.parquet(f"{path}/vocabulary"))
+    return load(spark, path)
 
 
-def expand_prefixes(vocabulary: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """(qterm, term) where ``term`` starts with ``qterm``; an equi-join on prefixes of the lengths asked for."""
-    lengths = terms.select(F.collect_set(F.length("qterm")).alias("l")).scalar()
-    cut = (vocabulary.select("term", F.explode(lengths).alias("n")).where("n <= length(term)")
-           .select("term", F.substr("term", F.lit(1), F.col("n")).alias("qterm")))
-    return cut.join(_hint(terms.select("qterm").distinct(), small), "qterm")
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index._fields])
 
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def expand_prefixes(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qterm, term) where ``term`` starts with ``qterm``: an equi-join of the vocabulary's prefixes of the lengths asked for."""
+    lengths = terms.agg(F.collect_set(F.length("qterm")).alias("l")).first().l  # as many as there are word lengths
+    cut = (vocabulary.select("term", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("n"))
+           .where("n <= length(term)").select("term", F.substr("term", F.lit(1), F.col("n")).alias("qterm")))
+    return cut.join(broadcast_if_small(terms.select("qterm").distinct()), "qterm")
 
 
 def _weight(weights: dict[str, float] | None) -> Column:
@@ -53,45 +110,24 @@ def _weight(weights: dict[str, float] | None) -> Column:
     return w
 
 
-def token_hits(tok: DataFrame, terms: DataFrame, doc: str, weights: dict[str, float] | None, prefix: bool,
-               keys: list[str] | None = None) -> DataFrame:
-    """(keys, qterm, doc, len, f) straight from the tokens, for a small set of query terms.
+def term_hits(index: Index, pairs: DataFrame) -> DataFrame:
+    """Postings of the terms in ``pairs``; the bucket is part of the key, so other buckets are not read."""
+    asked = broadcast_if_small(pairs.withColumn("bucket", bucket(F.col("term"))))
+    return index.postings.join(asked, ["bucket", *[c for c in pairs.columns if c in index.postings.columns]])
 
-    The terms are broadcast, so tokens that no query asks for are dropped where they are read and only
-    hits are shuffled. Prefixes join on their first letters (as many as the shortest term has) and
-    are then compared in full.
-    """
-    keys = keys or []
-    fields = [c[4:] for c in tok.columns if c.startswith("tok_")]
-    tagged = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"tok_{f}").alias("toks")) for f in fields])
-    rows = (tok.select(*keys, doc, "len", F.explode(tagged).alias("x"))
-            .select(*keys, doc, "len", "x.field", F.explode_outer("x.toks").alias("term")).where("term IS NOT NULL"))
-    if prefix:
-        shortest = terms.select(F.min(F.length("qterm"))).scalar()
-        q = F.broadcast(terms.withColumn("__k", F.substr("qterm", F.lit(1), shortest)))
-        hits = rows.withColumn("__k", F.substr("term", F.lit(1), shortest)).join(q, "__k").where(F.col("term").startswith(F.col("qterm")))
-    else:
-        hits = rows.withColumnRenamed("term", "qterm").join(F.broadcast(terms), [*keys, "qterm"])
-    return hits.groupBy(*keys, "qterm", doc, "len").agg(F.sum(_weight(weights)).alias("f"))
-
-
-def bm25(tok: DataFrame, post: DataFrame, queries: DataFrame, doc: str, qid: list[str],
-         weights: dict[str, float] | None = None, prefix: bool = False, require_all: bool = False,
-         small: bool = False) -> DataFrame:
+
+def bm25(index: Index, queries: DataFrame, doc: str, qid: list[str], weights: dict[str, float] | None = None,
+         prefix: bool = False, require_all: bool = False) -> DataFrame:
     """Scores (qid, doc, r) of every matching pair; ``queries`` holds (qid, qterm) without repeats.
 
-    ``small`` says that the question table was counted and fits a broadcast (``fits_broadcast``): the
-    terms then filter the postings in place. Otherwise both sides are shuffled on the term.
+    The terms are broadcast when their table was measured and is small; else both sides are shuffled on
+    the term. The rows are the same.
     """
-    stats = tok.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))).scalar()
+    stats = index.notes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"]
     terms = queries.select("qterm").distinct()
-    if small:
-        hits = token_hits(tok, terms, doc, weights, prefix)
-    else:
-        pairs = expand_prefixes(post.select("term").distinct(), terms, small) if prefix else terms.withColumn("term", F.col("qterm"))
-        hits = (post.join(pairs, "term").groupBy("qterm", doc, "len")
-                .agg(F.sum(_weight(weights) * F.col("tf")).alias("f")))
+    pairs = expand_prefixes(index.vocabulary, terms) if prefix else terms.withColumn("term", F.col("qterm"))
+    hits = term_hits(index, pairs).groupBy("qterm", doc, "len").agg(F.sum(_weight(weights) * F.col("tf")).alias("f"))
     df = hits.groupBy("qterm").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / avgdl))
@@ -103,15 +139,12 @@ def bm25(tok: DataFrame, post: DataFrame, queries: DataFrame, doc: str, qid: lis
     return scored.drop("matched")
 
 
-def bm25_in_scope(tok: DataFrame, post: DataFrame, queries: DataFrame, doc: str, scope: str, qid: list[str],
-                  small: bool = False) -> DataFrame:
-    """Any-term BM25 whose statistics come from the query's own scope. ``queries``: (qid, scope, qterm)."""
-    stats = tok.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    if small:
-        hits = token_hits(tok, queries.select(scope, "qterm").distinct(), doc, None, False, [scope]).withColumnRenamed("qterm", "term")
-    else:
-        pairs = queries.select(scope, F.col("qterm").alias("term")).distinct()
-        hits = post.join(pairs, [scope, "term"]).groupBy(scope, "term", doc, "len").agg(F.sum("tf").alias("f"))
+def bm25_in_scope(index: Index, queries: DataFrame, doc: str, scope: str, qid: list[str], field: str) -> DataFrame:
+    """Any-term BM25 over one field, with the statistics of the query's own scope. ``queries``: (qid, scope, qterm)."""
+    stats = index.notes.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg(f"len_{field}").alias("avgdl"))
+    pairs = queries.select(scope, F.col("qterm").alias("term")).distinct()
+    hits = (term_hits(index, pairs).where(F.col("field") == field)
+            .groupBy(scope, "term", doc, F.col("field_len").alias("len")).agg(F.sum("tf").alias("f")))
     df = hits.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))

@@ -9,9 +9,10 @@ from memlake.operators import index as ix, passages as ps, vectors as vx
 from memlake.queries import demo
 from memlake.queries.demo import NOTES, lit, sql_list, terms_sql
 from memlake.registry import query
-from memlake.session import fits_broadcast
+from memlake.session import broadcast_if_small
+from memlake.sources.files import scratch
 
-DIM = 64
+DIM, MAX_SCOPES = 64, 1000
 TOK = r"'[\p{L}\p{N}_]+'"
 FIELDS = {"path": "source || '/' || doc_id || '.md'", "title": "substr(text, 1, 40)", "body": "text"}
 
@@ -35,17 +36,29 @@ def match_sql(qt: str, qid: str, out: str, limit: int | None) -> str:
  {out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, doc_id) AS pos FROM {p}s){keep})"""
 
 
-def index_frames(t):
-    tok = ix.tokenized(t.documents, ["doc_id", "source"], {f: F.expr(e) for f, e in FIELDS.items()})
-    return tok, ix.postings(tok, ["doc_id", "source"])
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(t) -> ix.Index:
+    """The stored index of the documents: built by the first query that asks, read by all others.
+
+    It belongs to the application and to the very files of the table (their paths, sizes and times).
+    """
+    files = t.spark.read.format("binaryFile").load(f"{t.dir}/documents.parquet").select("path", "length", "modificationTime")
+    state = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.count(F.lit(1))).first()
+    key = (t.spark.sparkContext.applicationId, t.dir, *state)
+    if key not in _STORED:
+        path = scratch(t.spark, "index")
+        ix.store(ix.tokenized(t.documents, ["doc_id", "source"], {f: F.expr(e) for f, e in FIELDS.items()}), ["doc_id", "source"], "doc_id", path)
+        _STORED[key] = path
+    return ix.load(t.spark, _STORED[key])
 
 
 @query("build_postings", f"""WITH {POST}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term)
  SELECT doc_id, field, term, tf, len, df FROM post JOIN dl USING (doc_id) JOIN df USING (term)""")
 def build_postings(t):
-    _, post = index_frames(t)
-    df = post.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    return post.join(df, "term").select("doc_id", "field", "term", "tf", "len", "df")
+    index = stored_index(t)
+    return index.postings.join(index.vocabulary, "term").select("doc_id", "field", "term", "tf", "len", "df")
 
 
 ITEM_Q = r"""kq0 AS (SELECT item_id, regexp_extract_all(replace(lower(text), '-', ' '), '[\p{L}\p{N}_]{3,}') AS ws FROM benchmark),
@@ -56,9 +69,8 @@ ITEM_Q = r"""kq0 AS (SELECT item_id, regexp_extract_all(replace(lower(text), '-'
 
 @query("bm25_search", f"WITH {POST}, {ITEM_Q}, {match_sql('qt', 'item_id', 'hits', 10)} SELECT item_id, pos, doc_id, round(score, 6) AS score FROM hits")
 def bm25_search(t):
-    tok, post = index_frames(t)
     q = ix.query_terms(t.benchmark, ["item_id"], tx.keyword_query(F.col("text")))
-    r = ix.bm25(tok, post, q, "doc_id", ["item_id"], ix.FIELD_WEIGHTS, prefix=True, require_all=True, small=fits_broadcast(t.benchmark))
+    r = ix.bm25(stored_index(t), q, "doc_id", ["item_id"], ix.FIELD_WEIGHTS, prefix=True, require_all=True)
     scored = r.withColumn("score", ix.squash(F.col("r")))
     return (ix.top(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10)
             .select("item_id", "pos", "doc_id", F.round("score", 6).alias("score")))
@@ -73,11 +85,9 @@ def bm25_search(t):
    FROM q JOIN p USING (source, term) JOIN df USING (source, term) JOIN dl USING (doc_id, source) JOIN st USING (source) GROUP BY ALL)
  SELECT * FROM (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos, doc_id, score FROM s) WHERE pos <= 3""")
 def bm25_or_topk(t):
-    tok = ix.tokenized(t.documents, ["doc_id", "source"], {"body": F.col("text")})
-    post = ix.postings(tok, ["doc_id", "source"])
     scoped = t.benchmark.withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
     q = ix.query_terms(scoped, ["item_id", "source"], F.col("text"), None)
-    r = ix.bm25_in_scope(tok, post, q, "doc_id", "source", ["item_id"], small=fits_broadcast(t.benchmark)).withColumn("score", F.round("r", 6))
+    r = ix.bm25_in_scope(stored_index(t), q, "doc_id", "source", ["item_id"], "body").withColumn("score", F.round("r", 6))
     return (ix.top(r, ["item_id"], [F.desc("score"), F.asc("doc_id")], 3)
             .select("item_id", "source", "pos", "doc_id", "score"))
 
@@ -95,10 +105,9 @@ RUNG_HITS = f"{POST}, {RUNG_SQL}, {match_sql('rq', 'rq', 'allhits', None)}, rhit
 
 def rung_matches(t):
     """Every (item, rung, document) that matches all terms of the rung, with its score."""
-    tok, post = index_frames(t)
     r = ix.rungs(t.benchmark, ["item_id"], "text")
     q = ix.query_terms(r, ["item_id", "rung"], F.array_join("terms", " "))
-    m = ix.bm25(tok, post, q, "doc_id", ["item_id", "rung"], ix.FIELD_WEIGHTS, prefix=True, require_all=True, small=fits_broadcast(t.benchmark))
+    m = ix.bm25(stored_index(t), q, "doc_id", ["item_id", "rung"], ix.FIELD_WEIGHTS, prefix=True, require_all=True)
     return r, m.withColumn("score", ix.squash(F.col("r"))).drop("r")
 
 
@@ -113,8 +122,11 @@ def rung_hits(t, k: int = 10):
  SELECT item_id, rung, g.source, coalesce(hits, 0) AS hits, coalesce(docs, '') AS docs FROM (SELECT * FROM rungq, (SELECT DISTINCT source FROM documents)) g LEFT JOIN ag ON ag.rq = g.rq AND ag.source = g.source""")
 def batch_rung_search(t):
     r, m = rung_matches(t)
-    scopes = t.documents.select(F.collect_set("source").alias("s")).scalar()
-    grid = r.select("item_id", "rung", F.explode(scopes).alias("source"))
+    # Every rung is asked in every scope, found or not. The scopes are configuration: few, and refused if not.
+    scopes = [s.source for s in t.documents.select("source").distinct().limit(MAX_SCOPES + 1).collect()]
+    if len(scopes) > MAX_SCOPES:
+        raise ValueError(f"more than {MAX_SCOPES} scopes")
+    grid = r.select("item_id", "rung", F.explode(F.array(*[F.lit(s) for s in scopes])).alias("source"))
     scoped = ix.top(m.join(t.documents.select("doc_id", "source"), "doc_id"), ["item_id", "rung", "source"],
                     [F.desc("score"), F.asc("doc_id")], 10)
     found = scoped.groupBy("item_id", "rung", "source").agg(
@@ -211,9 +223,8 @@ def plain_baseline(t):
 
 def plain_search(t):
     """The free alternative: one search of the whole question."""
-    tok, post = index_frames(t)
     q = ix.query_terms(t.benchmark, ["item_id"], F.col("text"))
-    r = ix.bm25(tok, post, q, "doc_id", ["item_id"], ix.FIELD_WEIGHTS, prefix=True, require_all=True, small=fits_broadcast(t.benchmark))
+    r = ix.bm25(stored_index(t), q, "doc_id", ["item_id"], ix.FIELD_WEIGHTS, prefix=True, require_all=True)
     return ix.top(r.withColumn("score", ix.squash(F.col("r"))), ["item_id"], [F.desc("score"), F.asc("doc_id")], 4).select("item_id", "doc_id", "pos")
 
 
@@ -316,8 +327,7 @@ def lesson_overlap(t):
     """Token overlap of every question with every entry that shares a token."""
     les = demo.project(t.documents, LESSON_COLS)
     words = lambda df, keys, c: df.select(*keys, F.explode(ps.tokens(c)).alias("w"))
-    asked = words(t.benchmark, ["item_id"], F.col("text"))
-    asked = F.broadcast(asked) if fits_broadcast(t.benchmark) else asked
+    asked = broadcast_if_small(words(t.benchmark, ["item_id"], F.col("text")))
     seen = words(les, ["doc_id"], F.concat_ws(" ", "key", "text"))
     return les, seen.join(asked, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
 
@@ -359,8 +369,7 @@ def raw_window_topk(t):
 def catalog_priority(t):
     v = demo.project(t.documents.where("lang <> 'de'"), "doc_id, source || '/' || doc_id || '.md' AS path, substr(text, 1, 60) AS title, lang")
     seen = v.select("path", F.explode(ps.tokens(F.concat_ws(" ", "path", "title", "lang"))).alias("w"))
-    asked = t.benchmark.select("item_id", F.explode(ps.tokens(F.col("text"))).alias("w"))
-    asked = F.broadcast(asked) if fits_broadcast(t.benchmark) else asked
+    asked = broadcast_if_small(t.benchmark.select("item_id", F.explode(ps.tokens(F.col("text"))).alias("w")))
     ov = seen.join(asked, "w").groupBy("item_id", "path").agg(F.count(F.lit(1)).alias("overlap"))
     return ix.top(ov, ["item_id"], [F.desc("overlap"), F.asc("path")], 100)
 

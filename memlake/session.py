@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is broadcast only after it was counted and found to be at most this long.
-BROADCAST_ROWS = 50_000
+# A table is broadcast only after it was measured and found to have at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 
 
 def local_session(cpus: str = "8", shuffle: int = 8, app: str = "memlake") -> SparkSession:
@@ -56,9 +56,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` was counted (never past ``rows`` + 1) and is small enough to broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` was measured (never past ``rows`` + 1) and is small enough to broadcast."""
+    each = F.octet_length(F.to_json(F.struct("*")))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("b")).first()
+    return found.n <= rows and (found.b or 0) <= size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
