@@ -376,10 +376,15 @@ def fit(pages: list[str], seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def sample(pages: DataFrame, html_col: str, n: int = TRAIN_PAGES, most_chars: int = 200_000) -> list[str]:
-    """At most ``n`` pages of at most ``most_chars`` characters, those first by a hash of the html."""
+    """At most ``n`` different pages of at most ``most_chars`` characters, those first by a hash of the html.
+
+    The hash is cut off first, so that only the sample's pages are moved.
+    """
     html = F.col(f"`{html_col}`").cast("string")
-    rows = pages.select(html.alias("html")).where(F.length("html") <= most_chars).select("html", F.xxhash64("html").alias("h")).dropDuplicates(["h"])
-    return [r.html for r in rows.orderBy("h").limit(n).collect()]
+    rows = pages.select(html.alias("html"), F.xxhash64(html).alias("h")).where(F.length("html") <= most_chars)
+    last = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    few = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html"))
+    return [r.html for r in few.orderBy("h").limit(n).collect()]
 
 
 def texts_of(net, pages: list[list[tuple[Path, str]]], vectors: Vectors) -> list[str]:
