@@ -188,14 +188,18 @@ def pool(ranked: DataFrame, keys: list[str], doc: str) -> DataFrame:
                                           F.min(F.col("pos") - 1 + RUNG_STEP * F.col("rung")).alias("best"))
 
 
-def fuse(lexical: DataFrame, dense: DataFrame, keys: list[str], doc: str, weight: float = 2.0) -> DataFrame:
-    """Reciprocal-rank fusion of rung lists and one meaning list, with votes and the best vector score."""
-    lex = lexical.select(*keys, doc, (1 / (RRF_BASE + F.col("pos") - 1 + RUNG_STEP * F.col("rung"))).alias("s"),
+def fuse(lexical: DataFrame, dense: DataFrame, keys: list[str], doc: str, weight: float = 2.0, least: str | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of rung lists and one meaning list, with votes and the best vector score.
+
+    ``least`` names a column of both lists whose smallest value is kept.
+    """
+    more = [least] if least else []
+    lex = lexical.select(*keys, doc, *more, (1 / (RRF_BASE + F.col("pos") - 1 + RUNG_STEP * F.col("rung"))).alias("s"),
                          F.lit(1).alias("vote"), F.lit(None).cast("double").alias("vector_score"))
-    vec = dense.select(*keys, doc, (weight / (RRF_BASE + F.col("pos") - 1)).alias("s"),
+    vec = dense.select(*keys, doc, *more, (weight / (RRF_BASE + F.col("pos") - 1)).alias("s"),
                        F.lit(0).alias("vote"), F.col("score").cast("double").alias("vector_score"))
     return lex.unionByName(vec).groupBy(*keys, doc).agg(
-        F.round(F.sum("s"), 9).alias("score"), F.sum("vote").alias("votes"), F.max("vector_score").alias("vector_score"))
+        F.round(F.sum("s"), 9).alias("score"), F.sum("vote").alias("votes"), F.max("vector_score").alias("vector_score"), *[F.min(c).alias(c) for c in more])
 
 
 def admissible(fused: DataFrame, gate: float = 0.40) -> DataFrame:

@@ -59,7 +59,9 @@ def inject(df: DataFrame, keys: list[str], slots: int, limit: int) -> DataFrame:
 
 def greedy_budget(df: DataFrame, key: str, doc: str, order: list[Column], size: str, budget: int,
                   limit: int | None) -> DataFrame:
-    """Take rows in order while they fit ``budget``; a row that does not fit is skipped, not final.
+    """(key, doc, place, size): rows taken in order while they fit ``budget``, numbered as they are taken.
+
+    A row that does not fit is skipped, not final.
 
     Of rows with equal size, a later one is taken only if all earlier ones were, so at most
     ``budget / size`` of them matter (and at most ``limit``). Keeping those is exact and leaves every
@@ -77,14 +79,15 @@ def greedy_budget(df: DataFrame, key: str, doc: str, order: list[Column], size:
     def take(batches):
         current, used, count = None, 0, 0
         for pdf in batches:
-            picked = []
+            picked, places = [], []
             for i, (k, s) in enumerate(zip(pdf[key], pdf[size])):
                 if k != current:
                     current, used, count = k, 0, 0
                 if (limit is None or count < limit) and used + s <= budget:
                     used, count = used + s, count + 1
                     picked.append(i)
-            yield pdf.iloc[picked]
+                    places.append(count)
+            yield pdf.iloc[picked].assign(place=places)
 
     # The window above left the rows partitioned by key and sorted; the sort below keeps that explicit.
     return ranked.select(*columns).sortWithinPartitions(key, "place").mapInPandas(take, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import fixed, text as tx
 from memlake.operators import index as ix, passages as ps, vectors as vx
+from memlake.plans.settings import Settings
 from memlake.queries import demo
 from memlake.queries.demo import NOTES, lit, sql_list, terms_sql
 from memlake.registry import query
@@ -281,12 +282,23 @@ def inject_cut(t):
     return inject(rows, ["item_id"], slots=2, limit=4).select("item_id", "doc_id", "place", "memory")
 
 
-@query("inject_budget")
+def greedy_sql(rows: str, key: str, order: str, budget: int, limit: int | None, out: str) -> str:
+    """CTEs ending in ``out``(key, doc_id, place, size): ``rows`` (key, doc_id, size) taken in order while they fit."""
+    few = "" if limit is None else f" AND n < {limit}"
+    return f"""{out}_r AS (SELECT {key}, doc_id, size, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {rows}),
+ {out}_t AS (SELECT DISTINCT {key}, 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS used, 0::BIGINT AS n, false AS took, 0::BIGINT AS size FROM {rows}
+   UNION ALL SELECT t.{key}, r.k, r.doc_id, used + CASE WHEN used + r.size <= {budget}{few} THEN r.size ELSE 0 END, n + (used + r.size <= {budget}{few})::INT, used + r.size <= {budget}{few}, r.size
+   FROM {out}_t t JOIN {out}_r r ON r.{key} = t.{key} AND r.k = t.k + 1),
+ {out} AS (SELECT {key}, doc_id, n AS place, size FROM {out}_t WHERE took)"""
+
+
+@query("inject_budget", f"""WITH RECURSIVE {CUT_SQL}, ib AS (SELECT item_id, c.doc_id, place AS slot, octet_length(encode(text))::BIGINT AS size FROM cut c JOIN documents d ON d.doc_id = c.doc_id),
+ {greedy_sql('ib', 'item_id', 'slot', 4096, 4, 'taken')} SELECT * FROM taken""")
 def inject_budget(t):
-    """Greedy byte budget on top of the slots; order-dependent, so it has no SQL form."""
+    """Greedy byte budget on top of the slots, over whole notes."""
     from memlake.operators.recall import greedy_budget, slot_order
     rows = gated(t).join(t.documents.select("doc_id", F.col("source").isin("src3", "src4", "src5").alias("memory"),
-                                            F.octet_length(F.substring("text", 1, 1200)).cast("bigint").alias("size")), "doc_id")
+                                            F.octet_length("text").cast("bigint").alias("size")), "doc_id")
     placed = slot_order(rows, ["item_id"], 2).withColumnRenamed("place", "slot")
     return greedy_budget(placed, "item_id", "doc_id", [F.asc("slot")], "size", budget=4096, limit=4)
 
@@ -303,17 +315,40 @@ def result_status(t):
     return statuses(t.benchmark.select("item_id"), lex, fused, inject_cut(t), ["item_id"])
 
 
-@query("hybrid_recall", rf"""WITH {CUT_SQL}, ask AS (SELECT item_id, text AS txt FROM benchmark), {terms_sql('ask', 'item_id', 64, 'askt')},
- ch AS (SELECT item_id, c.doc_id, place, d.text, d.source FROM cut c JOIN documents d USING (doc_id) WHERE place <= 4),
+# The demo's settings: every part of the plan has something to do.
+SCOPE = ("src0", "src1", "src2", "src6", "src7", "src8", "src9", "src10", "src11", "src12")
+DEMO = Settings(collections=SCOPE, memory_collections=("src3", "src4", "src5"), skip_paths=(r"/[0-9]*7\.md$",), prefer_types=("de", "fr"), rerank_blend=0.5, context_bytes=600)
+IDENTITY = "CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE CAST(doc_id AS VARCHAR) END"
+HYBRID = rf"""{RUNG_HITS}, {ITEM_DENSE}, facts AS (SELECT doc_id, source, lang, text, {IDENTITY} AS ident FROM documents WHERE source IN {sql_list([*SCOPE, *DEMO.memory_collections])} AND NOT regexp_matches('qmd://' || source || '/' || doc_id || '.md', '/[0-9]*7\.md$')),
+ kl AS (SELECT item_id, rung, doc_id, ident, row_number() OVER (PARTITION BY item_id, rung ORDER BY pos) AS pos FROM rhits JOIN (SELECT doc_id, ident FROM facts) USING (doc_id)),
+ kd AS (SELECT item_id, doc_id, ident, score, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS pos FROM idense JOIN (SELECT doc_id, ident FROM facts) USING (doc_id)),
+ kf AS (SELECT item_id, ident, doc_id, 1 / (60 + pos - 1 + 3 * rung) AS s, 1 AS v, NULL::DOUBLE AS vs FROM kl UNION ALL SELECT item_id, ident, doc_id, 2.0::DOUBLE / (60 + pos - 1), 0, score FROM kd),
+ kg AS (SELECT item_id, ident, min(doc_id) AS doc_id, round(sum(s), 9) AS score, sum(v) AS votes, max(vs) AS vs FROM kf GROUP BY item_id, ident),
+ kp AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM kg WHERE votes > 0 OR coalesce(vs, 0) >= 0.40),
+ kt AS (SELECT item_id, doc_id, source, row_number() OVER (PARTITION BY item_id ORDER BY lang NOT IN ('de', 'fr'), pos) AS pos FROM kp JOIN facts USING (doc_id)),
+ kj AS (SELECT item_id, doc_id, pos, CASE WHEN doc_id % 11 = 3 AND item_id % 2 = 0 THEN NULL ELSE {JUDGE} END AS sc FROM kt WHERE pos <= 12), kv AS (SELECT item_id, count(sc) = count(*) AS ok FROM kj GROUP BY item_id),
+ kb AS (SELECT t.item_id, t.doc_id, t.source, t.pos, CASE WHEN t.pos <= 12 AND ok THEN round(sc + 0.5 / t.pos, 9) END AS b FROM kt t JOIN kv USING (item_id) LEFT JOIN kj ON kj.item_id = t.item_id AND kj.doc_id = t.doc_id),
+ kr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY b DESC NULLS LAST, pos) AS rpos, source IN ('src3', 'src4', 'src5') AS memory FROM kb),
+ ks AS (SELECT *, memory AND row_number() OVER (PARTITION BY item_id, memory ORDER BY rpos) <= 2 AS slotted FROM kr),
+ ch AS (SELECT item_id, doc_id, ks.source, text, row_number() OVER (PARTITION BY item_id ORDER BY slotted DESC, rpos) AS slot FROM ks JOIN (SELECT doc_id, text FROM documents) USING (doc_id))"""
+
+
+@query("hybrid_recall", rf"""WITH RECURSIVE {HYBRID}, ask AS (SELECT item_id, text AS txt FROM benchmark), {terms_sql('ask', 'item_id', 64, 'askt')},
  wi AS (SELECT item_id, doc_id, unnest(generate_series(0, greatest(length(text), 1) - 1, 195)) AS o, text FROM ch),
  raw AS (SELECT item_id, doc_id, o, length(text) AS n, substr(text, o + 1, 260) AS txt FROM wi), cl AS (SELECT *, {demo.clean_sql('txt', 260)} AS c FROM raw),
  ok AS (SELECT * FROM cl WHERE length(c) >= 40 AND NOT regexp_matches(c, {lit(fixed.FIELD_ONLY)})), {terms_sql('ok', 'item_id, doc_id, o', 128, 'wt')},
  sc AS (SELECT item_id, doc_id, o, sum(1 + least(length(lw), 20) / 20) AS s FROM wt JOIN askt USING (item_id, lw) GROUP BY ALL),
- bp AS (SELECT item_id, doc_id, o, c, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(coalesce(s, 0), 6) DESC, o DESC) AS rn FROM ok LEFT JOIN sc USING (item_id, doc_id, o))
- SELECT ch.item_id, ch.place, ch.doc_id, 'qmd://' || source || '/' || ch.doc_id || '.md' AS uri, c AS passage, o AS start_char FROM ch JOIN bp ON bp.item_id = ch.item_id AND bp.doc_id = ch.doc_id AND rn = 1""")
+ bp AS (SELECT item_id, doc_id, o, c, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(coalesce(s, 0), 6) DESC, o DESC) AS rn FROM ok LEFT JOIN sc USING (item_id, doc_id, o)),
+ pz AS (SELECT ch.item_id, ch.doc_id, slot, source, c, o, octet_length(encode(c))::BIGINT AS size FROM ch JOIN bp ON bp.item_id = ch.item_id AND bp.doc_id = ch.doc_id AND rn = 1),
+ {greedy_sql('pz', 'item_id', 'slot', DEMO.context_bytes, DEMO.inject, 'taken')}
+ SELECT item_id, place, doc_id, 'qmd://' || source || '/' || doc_id || '.md' AS uri, c AS passage, o AS start_char FROM taken JOIN (SELECT item_id, doc_id, source, c, o FROM pz) USING (item_id, doc_id)""")
 def hybrid_recall(t):
+    """The whole chain under ``DEMO``; the judge names no score for some notes, so its order counts for some questions only."""
     from memlake.plans.recall import hybrid
-    return hybrid(t.benchmark.withColumnRenamed("text", "question"), rung_hits(t), item_dense(t), demo.notes(t), "item_id", memory=["src3", "src4", "src5"])
+    notes = demo.notes(t).join(t.documents.select("doc_id", F.col("lang").alias("kind")), "doc_id").withColumn(
+        "identity", F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.col("doc_id").cast("string")))
+    judge = lambda head: head.where("NOT (doc_id % 11 = 3 AND item_id % 2 = 0)").select("item_id", "doc_id", F.expr(JUDGE).alias("judge"))
+    return hybrid(t.benchmark.withColumnRenamed("text", "question"), rung_hits(t, DEMO.search_n), item_dense(t), notes, "item_id", DEMO, judge)
 
 
 LESSONS = r"""les AS (SELECT doc_id, source, 'k' || doc_id % 40 AS key, CAST(doc_id AS BIGINT) AS sequence, text FROM documents)"""
@@ -340,7 +375,8 @@ def lexical_recency_topk(t):
                   [F.desc("overlap"), F.desc("sequence"), F.asc("key")], 20).select("item_id", "doc_id", "overlap", "pos")
 
 
-@query("lexical_recency_budget")
+@query("lexical_recency_budget", f"""WITH RECURSIVE {RECENCY}, lb AS (SELECT item_id, doc_id, overlap, sequence, key, (length('[' || key || '; proposed] ' || text) + 2)::BIGINT AS size FROM ov JOIN les USING (doc_id)),
+ {greedy_sql('lb', 'item_id', 'overlap DESC, sequence DESC, key', 6000, None, 'taken')} SELECT * FROM taken""")
 def lexical_recency_budget(t):
     """The ranked entries that fit a character budget, skipping those that do not."""
     from memlake.operators.recall import greedy_budget
