@@ -48,26 +48,47 @@ def fallback_line(c: Column) -> Column:
     return F.coalesce(let(_lines(c), pick), F.lit(""))
 
 
-def classify(c: Column, command: Column, exit_code: Column, stderr: Column) -> tuple[Column, Column]:
-    """(class, retry_after seconds or null) of the evidence text ``c``."""
+def classify(c: Column, command: Column, exit_code: Column, stderr: Column, code: Column | None = None, status: Column | None = None,
+             retry_header: Column | None = None) -> tuple[Column, Column]:
+    """(class, retry_after seconds or null) of the evidence text ``c``.
+
+    ``code``, ``status`` and ``retry_header`` are the provider's structured fields; where they are there, they
+    come before what the text says.
+    """
+    none = F.lit(None).cast("string")
+    code, given = F.lower(F.coalesce(none if code is None else code, F.lit(""))), none if status is None else status.cast("string")
+    retry_header = none if retry_header is None else retry_header
     tool = F.element_at(F.split(F.element_at(F.split(F.trim(command), r"\s+"), 1), "/"), -1)
     quiet = ((exit_code == 1) & (F.coalesce(stderr, F.lit("")) == "") & tool.isin(fixed.QUIET_TOOLS)
              & ~command.rlike(r"[;|]|&&"))
-    seen = F.struct(F.lower(sub(c, fixed.NEGATED_CREDENTIAL, "")).alias("text"), F.regexp_extract(c, fixed.HTTP_STATUS, 1).alias("status"))
+    active_text = F.lower(sub(c, fixed.NEGATED_CREDENTIAL, ""))
+    seen = F.struct(active_text.alias("text"), F.concat(code, F.lit("\n"), active_text).alias("all"),
+                    F.coalesce(given, F.regexp_extract(c, fixed.HTTP_STATUS, 1)).alias("status"))
 
     def named(s):
-        active, status = s["text"], s["status"]
-        return (F.when(active.rlike(fixed.BUDGET), "budget")
-                .when(active.rlike(fixed.RESOURCE), "resource")
-                .when(active.rlike(fixed.AUTHENTICATION) | (status == "401") | active.rlike(fixed.AUTHENTICATION_401), "authentication")
-                .when((status == "403") | active.rlike(fixed.AUTHORIZATION), "authorization")
-                .when(status.isin("429", "502", "503", "504") | active.rlike(fixed.TRANSIENT), "transient")
-                .when(status.isin("400", "422") | active.rlike(fixed.INVALID_INPUT), "invalid_input")
+        active, said, status = s["text"], s["all"], s["status"]
+        return (F.when(said.rlike(fixed.BUDGET), "budget")
+                .when(said.rlike(fixed.RESOURCE), "resource")
+                .when(said.rlike(fixed.AUTHENTICATION) | (status == "401") | active.rlike(fixed.AUTHENTICATION_401), "authentication")
+                .when((status == "403") | said.rlike(fixed.AUTHORIZATION), "authorization")
+                .when(status.isin("429", "502", "503", "504") | said.rlike(fixed.TRANSIENT), "transient")
+                .when(status.isin("400", "422") | said.rlike(fixed.INVALID_INPUT), "invalid_input")
                 .otherwise("unknown"))
 
     kind = F.when(quiet, "expected_nonzero").otherwise(let(seen, named))
-    retry = F.nullif(F.regexp_extract(F.lower(sub(c, fixed.NEGATED_CREDENTIAL, "")), fixed.RETRY_AFTER, 1), F.lit(""))
-    return kind, F.when(~quiet, retry.cast("bigint"))
+    retry = F.nullif(F.regexp_extract(active_text, fixed.RETRY_AFTER, 1), F.lit(""))
+    return kind, F.when(~quiet, F.coalesce(retry_header.try_cast("bigint"), retry.cast("bigint")))
+
+
+def rule_table(df, most: int = 500) -> list[tuple[str, str]]:
+    """(name, pattern) rows of a user's rule table in the order of its ``position``; a table of more than ``most`` is refused.
+
+    Rules are owner configuration: they become literals of the plan, not a join side.
+    """
+    rows = df.select("position", "name", "pattern").where("pattern IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [(r["name"], r["pattern"]) for r in sorted(rows, key=lambda r: (r["position"], r["name"]))]
 
 
 def advice(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -95,7 +116,8 @@ def analysed(df):
     text = failure_text(F.col("tool_name"), F.col("exit_code"), F.col("stderr"), F.col("stdout"))
     rows = hold(df, text.alias("failure")).where("failure <> ''")
     proof = F.right(evidence(F.col("failure")), F.lit(6000))
-    kind, retry = classify(F.col("evidence"), F.col("command"), F.col("exit_code"), F.col("stderr"))
+    fields = [F.col(c) if c in df.columns else None for c in ("code", "status_code", "retry_header")]
+    kind, retry = classify(F.col("evidence"), F.col("command"), F.col("exit_code"), F.col("stderr"), *fields)
     best = error_line(F.col("failure"))
     return (rows.withColumn("evidence", proof)
             .withColumn("line", F.coalesce(F.nullif(best, F.lit("")), fallback_line(F.col("failure"))))

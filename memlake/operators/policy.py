@@ -45,6 +45,17 @@ def audiences(path: Column, default: list[str], rules: list[tuple[str, list[str]
     return F.array_sort(_meet(limits, base))
 
 
+def rule_table(df: DataFrame, most: int = 500) -> list[tuple[str, list[str], bool]]:
+    """Rules for ``audiences`` from a table (source, audiences, restrict); one of more than ``most`` rows is refused.
+
+    A missing list grants nobody, and a missing flag restricts: an incomplete rule never widens.
+    """
+    rows = df.select("source", "audiences", "restrict").where("source IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [(r["source"], list(r["audiences"] or []), True if r["restrict"] is None else r["restrict"]) for r in rows]
+
+
 def artifact_audiences(external: Column, claim_sets: Column) -> Column:
     """Null when nothing restricts the artifact; else the intersection of its controls."""
     private = F.array(F.lit("host"), F.lit("local"))

@@ -97,7 +97,9 @@ FAILURE_COLS = f"""event_id, user_id, ts, CASE WHEN event_type = 'view' THEN 'Re
  CASE event_id % 5 WHEN 0 THEN 'grep -n foo bar.txt' WHEN 1 THEN 'make | tee log' ELSE 'python run.py' END AS command,
  CASE WHEN event_type = 'error' THEN 1 ELSE CAST(event_id % 3 AS INTEGER) END AS exit_code,
  CASE WHEN event_id % 6 = 1 THEN '' ELSE {FAIL_LINE} || {NL} || 'step ' || event_id || ' done' END AS stderr,
- 'started job ' || user_id || {NL} || {FAIL_LINE} || {NL} || 'count: ' || event_id AS stdout"""
+ 'started job ' || user_id || {NL} || {FAIL_LINE} || {NL} || 'count: ' || event_id AS stdout,
+ CASE event_id % 23 WHEN 3 THEN 'Insufficient_Quota' WHEN 4 THEN 'invalid_api_key' END AS code,
+ CASE event_id % 19 WHEN 2 THEN 503 WHEN 5 THEN 403 WHEN 7 THEN 422 END AS status_code, CASE event_id % 17 WHEN 6 THEN 30 END AS retry_header"""
 FAILURES = f"failures AS (SELECT {FAILURE_COLS} FROM events)"
 
 

@@ -251,12 +251,11 @@ def redundant_blocks(t):
             .agg((F.min("i") + 1).cast("bigint").alias("kept_line"), (mt.count_rows() - 1).alias("removed")).where("removed > 0"))
 
 
-@query("store_usage", """WITH e AS (SELECT source, ((octet_length(encode(text)) + 4095) // 4096) * 4096 + 4 * (4096 + 512) AS bytes FROM documents)
- SELECT source, count(*) AS entries, sum(bytes)::BIGINT AS used, sum(bytes) + 4 * 4608 <= 2000000 AND 4 * count(*) + 4 <= 100000 AS admitted FROM e GROUP BY source""")
+@query("store_usage", """SELECT source, count(*) AS entries, count(DISTINCT sha256(text)) AS bodies, sum(octet_length(encode(text)))::BIGINT AS used, sum(octet_length(encode(text))) <= 500000 AND count(*) <= 1000 AS admitted FROM documents GROUP BY source""")
 def store_usage(t):
-    size = F.ceil(F.octet_length("text") / 4096) * 4096 + 4 * (4096 + 512)
-    return (t.documents.groupBy("source").agg(mt.count_rows().alias("entries"), F.sum(size).alias("used"))
-            .withColumn("admitted", (F.col("used") + 4 * 4608 <= 2_000_000) & (4 * F.col("entries") + 4 <= 100_000)))
+    """What each source holds, in bytes of text, against its quota of bytes and entries."""
+    return (t.documents.groupBy("source").agg(mt.count_rows().alias("entries"), F.countDistinct(F.sha2("text", 256)).alias("bodies"), F.sum(F.octet_length("text")).alias("used"))
+            .withColumn("admitted", (F.col("used") <= 500_000) & (F.col("entries") <= 1000)))
 
 
 @query("import_report", """WITH f AS (SELECT doc_id, source, CASE WHEN n_chars < 100 THEN 'failure' WHEN min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id THEN 'unchanged' ELSE 'queued' END AS outcome FROM documents),

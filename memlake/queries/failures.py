@@ -22,13 +22,13 @@ TEXT = rf"""WITH {FAILURES}, ft AS (SELECT *, CASE WHEN tool_name NOT IN ('', 'B
  an0 AS (SELECT bad.*, coalesce(el, '') AS error_line, coalesce(fb, '') AS fallback, CASE WHEN coalesce(el, '') <> '' THEN el ELSE coalesce(fb, '') END AS line,
    right(array_to_string(list_filter(string_split(failure, chr(10)), lambda l: NOT regexp_matches(l, {E(fixed.DATA_LINE)})), chr(10)), 6000) AS evidence
    FROM bad LEFT JOIN el USING (event_id) LEFT JOIN fb USING (event_id)),
- an1 AS (SELECT *, lower(regexp_replace(evidence, {E(fixed.NEGATED_CREDENTIAL)}, '', 'g')) AS act, regexp_extract(evidence, {E(fixed.HTTP_STATUS)}, 1) AS st,
+ an1 AS (SELECT *, lower(regexp_replace(evidence, {E(fixed.NEGATED_CREDENTIAL)}, '', 'g')) AS act, lower(coalesce(code, '')) || chr(10) || lower(regexp_replace(evidence, {E(fixed.NEGATED_CREDENTIAL)}, '', 'g')) AS said, coalesce(status_code::VARCHAR, regexp_extract(evidence, {E(fixed.HTTP_STATUS)}, 1)) AS st,
    exit_code = 1 AND stderr = '' AND split_part(command, ' ', 1) IN {sql_list(fixed.QUIET_TOOLS)} AND NOT regexp_matches(command, '[;|]|&&') AS quiet FROM an0),
- an AS (SELECT *, CASE WHEN quiet THEN 'expected_nonzero' WHEN regexp_matches(act, {E(fixed.BUDGET)}) THEN 'budget' WHEN regexp_matches(act, {E(fixed.RESOURCE)}) THEN 'resource'
-   WHEN regexp_matches(act, {E(fixed.AUTHENTICATION)}) OR st = '401' OR regexp_matches(act, {E(fixed.AUTHENTICATION_401)}) THEN 'authentication'
-   WHEN st = '403' OR regexp_matches(act, {E(fixed.AUTHORIZATION)}) THEN 'authorization' WHEN st IN ('429', '502', '503', '504') OR regexp_matches(act, {E(fixed.TRANSIENT)}) THEN 'transient'
-   WHEN st IN ('400', '422') OR regexp_matches(act, {E(fixed.INVALID_INPUT)}) THEN 'invalid_input' ELSE 'unknown' END AS kind,
-   CASE WHEN NOT quiet AND regexp_extract(act, {E(fixed.RETRY_AFTER)}, 1) <> '' THEN CAST(regexp_extract(act, {E(fixed.RETRY_AFTER)}, 1) AS BIGINT) END AS retry_after FROM an1)"""
+ an AS (SELECT *, CASE WHEN quiet THEN 'expected_nonzero' WHEN regexp_matches(said, {E(fixed.BUDGET)}) THEN 'budget' WHEN regexp_matches(said, {E(fixed.RESOURCE)}) THEN 'resource'
+   WHEN regexp_matches(said, {E(fixed.AUTHENTICATION)}) OR st = '401' OR regexp_matches(act, {E(fixed.AUTHENTICATION_401)}) THEN 'authentication'
+   WHEN st = '403' OR regexp_matches(said, {E(fixed.AUTHORIZATION)}) THEN 'authorization' WHEN st IN ('429', '502', '503', '504') OR regexp_matches(said, {E(fixed.TRANSIENT)}) THEN 'transient'
+   WHEN st IN ('400', '422') OR regexp_matches(said, {E(fixed.INVALID_INPUT)}) THEN 'invalid_input' ELSE 'unknown' END AS kind,
+   CASE WHEN NOT quiet AND retry_header IS NOT NULL THEN retry_header::BIGINT WHEN NOT quiet AND regexp_extract(act, {E(fixed.RETRY_AFTER)}, 1) <> '' THEN CAST(regexp_extract(act, {E(fixed.RETRY_AFTER)}, 1) AS BIGINT) END AS retry_after FROM an1)"""
 
 
 def _failure(c: str):
@@ -62,7 +62,8 @@ def classify_failure(t):
     + ") SELECT DISTINCT event_id, advice FROM hits")
 def rule_advice(t):
     rows = fl.analysed(demo.failures(t))
-    return rows.select("event_id", F.explode_outer(fl.advice(F.col("evidence"), fixed.RULE_PATTERNS)).alias("advice")).where("advice IS NOT NULL")
+    table = t.spark.createDataFrame([(i, *r) for i, r in enumerate(fixed.RULE_PATTERNS)], "position int, name string, pattern string")
+    return rows.select("event_id", F.explode_outer(fl.advice(F.col("evidence"), fl.rule_table(table))).alias("advice")).where("advice IS NOT NULL")
 
 
 @query("error_identifiers", TEXT + rf""", b AS (SELECT event_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(line, {E(fixed.URL)}, ' ', 'g'), {E(fixed.DOTTED)}, ' ', 'g'),

@@ -117,7 +117,8 @@ AUD_SQL = f"""au0 AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, {
 @query("policy_audiences", f"WITH {AUD_SQL} SELECT doc_id, coalesce(string_agg(a, ',' ORDER BY a), '') AS audiences FROM documents LEFT JOIN au USING (doc_id) GROUP BY doc_id")
 def policy_audiences(t):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return t.documents.select("doc_id", F.array_join(po.audiences(path, DEFAULT, RULES), ",").alias("audiences"))
+    rules = po.rule_table(t.spark.createDataFrame(RULES, "source string, audiences array<string>, restrict boolean"))
+    return t.documents.select("doc_id", F.array_join(po.audiences(path, DEFAULT, rules), ",").alias("audiences"))
 
 
 CLAIM_AUD = "CASE doc_id % 3 WHEN 0 THEN 'host,model' WHEN 1 THEN 'host,local,model' ELSE 'model' END"

@@ -99,3 +99,24 @@ def test_globs():
 def test_fixed_lists_have_no_repeats():
     for words in (fixed.STOPWORDS, fixed.KEYWORD_STOPWORDS, fixed.GENERIC_ACTIONS):
         assert len(words) == len(set(words))
+
+
+def test_structured_fields_come_before_the_text(spark):
+    rows = [("all fine", None, None, None), ("HTTP 503", "insufficient_quota", None, None), ("HTTP 503", None, 403, None), ("retry-after: 9, timeout", None, None, "30"), ("retry-after: 9, timeout", None, None, None), ("x", None, 422, "soon")]
+    df = spark.createDataFrame(rows, "t string, code string, status int, retry string")
+    kind, retry = fl.classify(F.col("t"), F.lit("run"), F.lit(1), F.lit("x"), F.col("code"), F.col("status"), F.col("retry"))
+    assert [tuple(r) for r in df.select(kind, retry).collect()] == [("unknown", None), ("budget", None), ("authorization", None), ("transient", 30), ("transient", 9), ("invalid_input", None)]
+
+
+def test_rule_tables(spark):
+    import pytest
+
+    from memlake.operators import policy as po
+
+    table = spark.createDataFrame([(2, "b", "y"), (1, "a", "x"), (3, "c", None)], "position int, name string, pattern string")
+    assert fl.rule_table(table) == [("a", "x"), ("b", "y")]
+    rules = spark.createDataFrame([("a*", ["host"], False), ("ab*", None, None), (None, ["all"], False)], "source string, audiences array<string>, restrict boolean")
+    assert po.rule_table(rules) == [("a*", ["host"], False), ("ab*", [], True)]
+    for read, df in ((fl.rule_table, table), (po.rule_table, rules)):
+        with pytest.raises(ValueError, match="more than"):
+            read(df, most=1)
