@@ -14,7 +14,6 @@ from memlake.queries.demo import NOTES
 from memlake.queries.retrieval import CENTROID_SQL, COSINE_SQL, DIM, label_centroids
 from memlake.queries.text import INDEX, note_index_frame
 from memlake.registry import query
-from memlake.session import broadcast_if_small
 
 # Each vector is a case: its own label is the expected answer, centroids are the candidates, and
 # the labels above 7 play questions without an answer.
@@ -28,9 +27,9 @@ CASES_SQL = f"""{CENTROID_SQL}, cs AS (SELECT vec_id, e.label AS own, c.label AS
 
 def scored_cases(t):
     q = label_centroids(t).withColumnRenamed("label", "cand")
-    side = broadcast_if_small(q)  # one row per label
     e, c = "embedding", "centroid"
-    pairs = t.embeddings.join(side).select("vec_id", F.col("label").alias("own"), "cand",
+    # One query per label; all vectors are cases.
+    pairs = vx.against_all(t.embeddings, q).select("vec_id", F.col("label").alias("own"), "cand",
                                            F.round(vx.cosine(e, c, DIM), 6).alias("score"), F.round(vx.dot(e, c, DIM), 6).alias("dotp"))
     # A window per case holds one row per candidate label.
     by = lambda col: F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc(col), F.asc("cand"))).cast("bigint")

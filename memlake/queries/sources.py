@@ -52,24 +52,34 @@ def validate_events(t):
 # -- transcripts ----------------------------------------------------------------------------------
 
 def _transcript_lines(t):
-    """Transcript files of both dialects as lines; every file ends in a cut-off record."""
-    q = lambda c: tx.json_string(F.col(c))
-    a = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"s'), "conv_id", F.lit('","cwd":"/w/'), F.col("conv_id") % 3, F.lit('","message":{"content":[{"type":"text","text":'), q("text"), F.lit("}]}}"))
-    b = F.concat(F.lit('{"type":"response_item","payload":{"role":"'), "role", F.lit('","content":[{"type":"output_text","text":'), q("text"), F.lit("}]}}"))
+    """Transcript lines of both dialects, with thinking, tool calls and results; every transcript ends in a cut-off record."""
+    text = tx.json_string(F.col("text"))
+    said = F.concat(F.lit('{"type":"text","text":'), text, F.lit("}"))
+    asks = (F.col("role") == "assistant") & (F.col("turn") % 3 == 2)
+    gets = (F.col("role") == "user") & (F.col("turn") % 3 == 0)
+    blocks = F.when(asks, F.concat(F.lit('{"type":"thinking","thinking":"hm"},'), said, F.lit(',{"type":"tool_use","id":"c'), "turn", F.lit('","name":"Read","input":{"file_path":"/f"}}'))).when(
+        gets, F.concat(said, F.lit(',{"type":"tool_result","tool_use_id":"c'), "turn", F.lit('","content":"out","is_error":true}'))).otherwise(said)
+    a = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"s'), "conv_id", F.lit('","cwd":"/w/'), F.col("conv_id") % 3, F.lit('","message":{"content":['), blocks, F.lit("]}}"))
+    payload = F.when(F.col("turn") % 4 == 3, F.concat(F.lit('{"type":"function_call","name":"exec","arguments":"{}","call_id":"k'), "turn", F.lit('"}'))).when(
+        F.col("turn") % 4 == 2, F.concat(F.lit('{"type":"function_call_output","output":"done","call_id":"k'), "turn", F.lit('"}'))).otherwise(
+        F.concat(F.lit('{"type":"message","role":"'), "role", F.lit('","content":[{"type":"output_text","text":'), text, F.lit("}]}")))
+    b = F.concat(F.lit('{"type":"response_item","payload":'), payload, F.lit("}"))
     rows = t.conversations.select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, a).otherwise(b).alias("value"))
     ends = t.conversations.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("value", F.lit('{"type": "user", "mess'))
     return rows.unionByName(ends)
 
 
-@query("scan_native_transcripts", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line, conv_id % 2 = 1 AS dialect_b, role, text FROM conversations
- UNION ALL SELECT conv_id, count(*) + 1, conv_id % 2 = 1, NULL, NULL FROM conversations GROUP BY conv_id""")
+@query("scan_native_transcripts", """WITH c AS (SELECT *, conv_id % 2 = 1 AS b, conv_id % 2 = 0 AND role = 'assistant' AND turn % 3 = 2 AS asks, conv_id % 2 = 0 AND role = 'user' AND turn % 3 = 0 AS gets FROM conversations)
+ SELECT conv_id, turn + 1 AS line, b AS dialect_b, CASE WHEN NOT b OR turn % 4 < 2 THEN role END AS role, CASE WHEN NOT b OR turn % 4 < 2 THEN text END AS text, CASE WHEN asks THEN 'hm' WHEN NOT b THEN '' END AS thinking,
+ CASE WHEN asks THEN 'Read c' || turn WHEN b AND turn % 4 = 3 THEN 'exec k' || turn ELSE '' END AS calls, CASE WHEN gets THEN 'c' || turn || ' true' WHEN b AND turn % 4 = 2 THEN 'k' || turn || ' false' ELSE '' END AS results FROM c
+ UNION ALL SELECT conv_id, max(turn) + 2, conv_id % 2 = 1, NULL, NULL, NULL, '', '' FROM conversations GROUP BY conv_id""")
 def scan_native_transcripts(t):
     path = fi.scratch(t.spark, "transcripts")
-    # A transcript is one file, so its lines are written by one task in order.
-    (_transcript_lines(t).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value")
-     .write.partitionBy("conv_id").text(path))
-    r = fi.transcript_records(fi.read_lines(t.spark, path))
-    return r.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"), "line", "dialect_b", "role", "text")
+    (_transcript_lines(t).select(F.col("conv_id").cast("string").alias("file"), (F.col("turn") + 1).alias("line"), "value").write.json(path))
+    r = fi.transcript_records(fi.read_bundles(t.spark, path))
+    named = lambda c, *fields: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[f].cast("string") for f in fields])), ","), F.lit(""))
+    return r.select(F.col("file").cast("bigint").alias("conv_id"), "line", "dialect_b", "role", "text", "thinking",
+                    named("calls", "name", "id").alias("calls"), named("results", "id", "is_error").alias("results"))
 
 
 @query("session_metadata", "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 's' || conv_id END AS session_id, CASE WHEN conv_id % 2 = 0 THEN '/w/' || conv_id % 3 END AS cwd FROM conversations GROUP BY conv_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import text as tx
-from memlake.operators.ordered import number_rows
+from memlake.operators.ordered import null_safe, number_rows
 from memlake.session import shared_dir
 
 EVENT = "event_id string, ts string, event string, session_id string, cwd string, transcript_path string, data string"
@@ -53,18 +53,60 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return number_rows(raw, ["file"], ["block", "at"], F.col("block"), "line").select("file", "line", "value")
 
 
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of JSONL bundles, which hold the lines of many transcripts each.
+
+    Small transcripts shipped as one file each would be millions of files; a bundle keeps the name and the
+    line number with every line, so its files can be cut anywhere.
+    """
+    return spark.read.schema("file string, line bigint, value string").json(path)
+
+
+_PAYLOAD = "struct<type:string,role:string,content:string,name:string,call_id:string,arguments:string,input:string,output:string,summary:string>"
+_RECORD = f"type string, message struct<content:string>, payload {_PAYLOAD}, tool_use_id string, content string, is_error boolean, _bad string"
+_BLOCKS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
+_CALLS, _OUTPUTS = ("function_call", "custom_tool_call"), ("function_call_output", "custom_tool_call_output")
+
+
 def transcript_records(lines: DataFrame) -> DataFrame:
-    """Both dialects as (file, line, role, text, call ids). A file is dialect B when its first object has a payload object."""
-    is_obj = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
-    rows = lines.where("trim(value) <> ''").withColumn("ok", is_obj)
-    first = rows.where("ok").groupBy("file").agg(F.min_by(F.trim(F.get_json_object("value", "$.payload")).startswith("{"), "line").alias("b"))
-    rows = rows.join(first, "file", "left").withColumn("b", F.coalesce("b", F.lit(False)))
-    blocks = "array<struct<type:string,text:string>>"
-    content = F.when(F.col("b"), F.get_json_object("value", "$.payload.content")).otherwise(F.get_json_object("value", "$.message.content"))
-    listed = F.filter(F.from_json(content, blocks), lambda x: x["type"].isin("text", "input_text", "output_text"))
-    text = F.when(content.startswith("["), F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n")).otherwise(content)
-    role = F.when(F.col("b"), F.get_json_object("value", "$.payload.role")).otherwise(F.get_json_object("value", "$.type"))
-    return rows.select("file", "line", "ok", F.col("b").alias("dialect_b"), F.when(F.col("ok"), role).alias("role"), F.when(F.col("ok"), text).alias("text"))
+    """Both dialects as (file, line, ok, dialect_b, role, text, thinking, calls, results), one row per non-blank line.
+
+    Each line is parsed once. ``calls`` are (id, name, input) and ``results`` (id, output, is_error), whatever record
+    they come in. A malformed or cut-off line has ``ok`` false. A file is dialect B when its first object has a payload.
+    """
+    rows = tx.hold(lines.where("trim(value) <> ''"), F.from_json("value", _RECORD, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    rows = rows.withColumn("ok", F.col("r").isNotNull() & F.col("r._bad").isNull())
+    first = rows.where("ok").groupBy("file").agg(F.min_by(F.col("r.payload").isNotNull(), "line").alias("b"))
+    rows = null_safe(rows, first, ["file"], "left").withColumn("b", F.coalesce("b", F.lit(False)))
+    content = F.when(F.col("b"), F.col("r.payload.content")).otherwise(F.col("r.message.content"))
+    rows = tx.hold(rows.withColumn("said", content), F.when(F.col("said").startswith("["), F.from_json("said", _BLOCKS)).alias("blocks"))
+    of = lambda *kinds: F.coalesce(F.filter("blocks", lambda x: x["type"].isin(*kinds)), F.array().cast(_BLOCKS))
+    text = F.when(F.col("blocks").isNotNull(), F.array_join(F.transform(of("text", "input_text", "output_text"), lambda x: x["text"]), "\n\n")).otherwise(F.col("said"))
+    p = F.col("r.payload")
+    call = lambda i, name, given: F.struct(i.alias("id"), name.alias("name"), given.alias("input"))
+    result = lambda i, output, bad: F.struct(i.alias("id"), output.alias("output"), F.coalesce(bad, F.lit(False)).alias("is_error"))
+    calls = F.when(F.col("b"), F.when(p["type"].isin(*_CALLS), F.array(call(p["call_id"], p["name"], F.coalesce(p["arguments"], p["input"]))))).otherwise(
+        F.transform(of("tool_use"), lambda x: call(x["id"], x["name"], x["input"])))
+    own = F.when(F.col("r.type") == "tool_result", F.array(result(F.col("r.tool_use_id"), F.col("r.content"), F.col("r.is_error"))))
+    failed = F.get_json_object(p["output"], "$.is_error") == "true"
+    results = F.when(F.col("b"), F.when(p["type"].isin(*_OUTPUTS), F.array(result(p["call_id"], p["output"], failed)))).otherwise(
+        F.coalesce(own, F.transform(of("tool_result"), lambda x: result(x["tool_use_id"], x["content"], x["is_error"]))))
+    summary = F.from_json(p["summary"], "array<struct<text:string>>")
+    thinking = F.when(F.col("b"), F.transform(summary, lambda x: x["text"])).otherwise(F.transform(of("thinking"), lambda x: x["thinking"]))
+    role = F.when(F.col("b"), p["role"]).otherwise(F.col("r.type"))
+    listed = lambda c: F.when(F.col("ok"), c)
+    return rows.select("file", "line", "ok", F.col("b").alias("dialect_b"), listed(role).alias("role"), listed(text).alias("text"),
+                       listed(F.array_join(thinking, "\n")).alias("thinking"), listed(calls).alias("calls"), listed(results).alias("results"))
+
+
+def transcript_coverage(lines: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, records, malformed, trailing_bytes): how much of each file could be read.
+
+    Trailing bytes are those of a last line that is no whole record: the writer may still be at it.
+    """
+    counts = records.groupBy("file").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(~F.col("ok"), 1)).alias("malformed"), F.max_by("ok", "line").alias("whole"))
+    last = lines.where("trim(value) <> ''").groupBy("file").agg(F.max_by(F.octet_length("value"), "line").cast("bigint").alias("bytes"))
+    return null_safe(counts, last, ["file"]).select("file", "records", "malformed", F.when(F.col("whole"), 0).otherwise(F.col("bytes")).alias("trailing_bytes"))
 
 
 def session_meta(lines: DataFrame, first: int = 51) -> DataFrame:
@@ -97,25 +139,28 @@ def messages_a(export: DataFrame, column: str) -> DataFrame:
 def messages_b(export: DataFrame, column: str) -> DataFrame:
     """Messages of exports that hold a node map: the branch from ``current_node`` up to the root, reversed.
 
-    The walk stays inside the row, with as many steps as the map has nodes. Chains that end at a
-    missing node or run in a circle reject the conversation.
+    The walk is one pass along the branch in a batch function over (node, parent) pairs alone; it gives each
+    node its depth, and the messages join by exploding the map once. Chains that end at a missing
+    node or run in a circle reject the conversation.
     """
-    c = export.select(F.from_json(column, EXPORT_B).alias("c")).select("c.*")
-    nodes = F.map_keys("mapping")
-
-    def step(acc, _):
-        at = F.try_element_at(F.col("mapping"), acc["at"])
-        known = at.isNotNull()
-        return F.struct(F.when(acc["at"].isNotNull() & known, at["parent"]).otherwise(acc["at"]).alias("at"),
-                        F.when(acc["at"].isNotNull() & known, F.concat(acc["path"], F.array(acc["at"]))).otherwise(acc["path"]).alias("path"))
-
-    start = F.struct(F.col("current_node").alias("at"), F.array().cast("array<string>").alias("path"))
-    walked = c.withColumn("w", F.aggregate(nodes, start, step))
-    good = walked.where(F.col("w.at").isNull() & (F.size("w.path") > 0))
-    rows = tx.unnest(good, ["conversation_id", "mapping"], F.reverse("w.path"), "node", "depth")
-    m = F.element_at("mapping", F.col("node"))["message"]
-    text = F.trim(F.array_join(m["content"]["parts"], "\n"))
-    return (rows.select("conversation_id", "depth", "node", m["author"]["role"].alias("role"), m["content"]["content_type"].alias("kind"), text.alias("text"))
+    def walk(current: pd.Series, nodes: pd.Series, parents: pd.Series) -> pd.Series:
+        out = []
+        for at, names, above in zip(current, nodes, parents):
+            up, path = dict(zip(names, above)), {}
+            while at in up and at not in path:
+                path[at] = len(path)
+                at = up[at]
+            out.append({n: len(path) - d for n, d in path.items()} if path and at is None else {})
+        return pd.Series(out)
+
+    depths = F.pandas_udf(walk, "map<string,int>")
+    c = export.select(F.from_json(column, EXPORT_B).alias("c")).select("c.*").where("mapping IS NOT NULL")
+    walked = tx.hold(c, depths("current_node", F.map_keys("mapping"), F.transform(F.map_values("mapping"), lambda v: v["parent"])).alias("depths"))
+    entries = F.transform(F.filter(F.map_entries("mapping"), lambda e: F.map_contains_key(F.col("depths"), e["key"])),
+                          lambda e: F.struct(e["key"].alias("node"), F.try_element_at(F.col("depths"), e["key"]).cast("bigint").alias("depth"), e["value"]["message"].alias("m")))
+    rows = walked.select("conversation_id", F.inline(entries))
+    text = F.trim(F.array_join("m.content.parts", "\n"))
+    return (rows.select("conversation_id", "depth", "node", F.col("m.author.role").alias("role"), F.col("m.content.content_type").alias("kind"), text.alias("text"))
             .where("role IN ('user', 'assistant') AND kind IN ('text', 'multimodal_text') AND text <> ''").drop("kind"))
 
 
