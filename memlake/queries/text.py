@@ -293,8 +293,13 @@ def is_stub(t):
     return demo.vault(t).select("doc_id", tx.is_stub(note).alias("is_stub"))
 
 
+def once(ctes: str) -> str:
+    """Each of these CTEs computed once, however often it is named."""
+    return ctes.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
 @query("title_overlap", f"""WITH {PAIRS}, q AS (SELECT doc_id, question AS txt FROM pairs), d AS (SELECT doc_id, text AS txt FROM pairs),
- {terms_sql('q', 'doc_id', 30, 'qt')}, {terms_sql('d', 'doc_id', 30, 'dt')},
+ {once(terms_sql('q', 'doc_id', 30, 'qt'))}, {once(terms_sql('d', 'doc_id', 30, 'dt'))},
  n AS (SELECT doc_id, count(*) AS n FROM qt GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS m FROM qt JOIN dt USING (doc_id, lw) GROUP BY doc_id)
  SELECT p.doc_id, p.item_id, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(coalesce(m, 0) / n, 6) END AS overlap FROM pairs p LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def title_overlap(t):
