@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from memlake.functions import fixed, text as tx
 
@@ -16,7 +16,7 @@ FRONT = re.compile(r"---\n.*?(?:\n---[ \t]*(?:\n|\Z)|\Z)", re.S)
 PARAGRAPH = re.compile(r"(?:^(?!\s*<!--)[^\S\n]*\S[^\n]*(?:\n|\Z))+", re.M | re.A)
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("text", T.StringType())))
 def _paragraphs(texts: pd.Series) -> pd.Series:
     """(start, end, text) of the paragraphs of each text after its frontmatter: one pass, linear in the text."""
     def cut(text):
