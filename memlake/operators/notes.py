@@ -48,3 +48,9 @@ def proof(tracked: DataFrame, index: DataFrame, key: str) -> DataFrame:
             .when(F.col("hash") != F.col("revision"), "proof_revision_mismatch").when(F.col("body") != F.col("revision"), "proof_content_hash_mismatch")
             .when(~F.col("same"), "proof_fts_mismatch").otherwise("ok"))
     return j.withColumn("code", code)
+
+
+def verdicts(proved: DataFrame, scope: str) -> DataFrame:
+    """(scope, proved, first_failure, tracked): an index proves all of a scope's revisions or none of them."""
+    bad = F.col("code") != "ok"
+    return proved.groupBy(scope).agg((~F.bool_or(bad)).alias("proved"), F.min(F.when(bad, F.col("code"))).alias("first_failure"), F.count(F.lit(1)).alias("tracked"))

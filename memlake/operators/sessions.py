@@ -14,12 +14,19 @@ def day():
     return F.date_trunc("day", F.col("ts").cast("timestamp"))
 
 
-def fold(events: DataFrame, own: Column) -> DataFrame:
-    """One row per session: span, counts, self-generated events filtered, completion."""
-    kept = F.when(~own, F.lit(1))
+def fold(events: DataFrame) -> DataFrame:
+    """One row per session from events with a ``reason`` (see ``mark_stale``): span, counts, where it is, completion.
+
+    Stale and self-generated events count as processed and nowhere else; the newest accepted event
+    names the folder. Which events were processed is told by a digest of their ids that no order changes.
+    """
+    kept = F.when(F.col("reason").isNull(), F.lit(1))
+    newest = F.struct("ts", "event_id")
     return (events.withColumn("__k", kept).groupBy("session_id").agg(
         F.min(F.when(F.col("__k") == 1, F.col("ts"))).alias("first_ts"), F.max(F.when(F.col("__k") == 1, F.col("ts"))).alias("last_ts"),
-        count_rows().alias("processed"), F.count("__k").alias("accepted"), (count_rows() - F.count("__k")).alias("recursive"),
+        count_rows().alias("processed"), F.count("__k").alias("accepted"),
+        F.count(F.when(F.col("reason") == "recursion-policy", 1)).alias("recursive"), F.count(F.when(F.col("reason") == "stale-source-binding", 1)).alias("stale"),
+        F.bit_xor(F.xxhash64("event_id")).alias("processed_ids"), F.max_by("cwd", F.when((F.col("__k") == 1) & (F.col("cwd") != ""), newest)).alias("cwd"),
         F.count(F.when((F.col("__k") == 1) & (F.col("event") == "UserPromptSubmit"), 1)).alias("prompts"),
         (F.coalesce(F.bool_or((F.col("__k") == 1) & F.col("event").isin("Stop", "SessionEnd")), F.lit(False))).alias("stopped"))
         .withColumn("completed", F.col("stopped") & (F.col("prompts") > 0)).drop("stopped"))
@@ -33,6 +40,11 @@ def mark_stale(events: DataFrame, arrival: list[str], block: Column, own: Column
     return rows.withColumn("reason", F.when(stale, "stale-source-binding").when(F.col("__own"), "recursion-policy")).drop("__own", "high")
 
 
+def session_timeline(events: DataFrame, block: Column) -> DataFrame:
+    """The accepted events of each session with their place in it; ``events`` as for ``fold``."""
+    return number_rows(events.where("reason IS NULL"), ["session_id"], ["ts", "event_id"], block, "place")
+
+
 def ready(events: DataFrame, as_of: str, debounce: int) -> DataFrame:
     """Sessions to write: idle for the debounce and not written since, or stopped since the last write."""
     last = events.groupBy("session_id").agg(

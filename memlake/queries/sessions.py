@@ -21,11 +21,27 @@ def _own():
     return tx.self_generated(F.col("cwd"), F.col("data"), [".memlake"])
 
 
-@query("session_fold", f"""WITH {HOOKS}, h AS (SELECT *, NOT {OWN_SQL} AS ok FROM hooks) SELECT session_id, min(CASE WHEN ok THEN ts END) AS first_ts, max(CASE WHEN ok THEN ts END) AS last_ts, count(*) AS processed,
- count(CASE WHEN ok THEN 1 END) AS accepted, count(CASE WHEN NOT ok THEN 1 END) AS recursive, count(CASE WHEN ok AND event = 'UserPromptSubmit' THEN 1 END) AS prompts,
- bool_or(ok AND event = 'Stop') AND count(CASE WHEN ok AND event = 'UserPromptSubmit' THEN 1 END) > 0 AS completed FROM h GROUP BY session_id""")
+REASON_SQL = f"""{HOOKS}, h0 AS (SELECT *, max(CASE WHEN NOT {OWN_SQL} THEN ts END) OVER (PARTITION BY session_id ORDER BY k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM hooks),
+ h AS (SELECT *, coalesce(ts < high, false) AS late, CASE WHEN coalesce(ts < high, false) THEN 'stale-source-binding' WHEN {OWN_SQL} THEN 'recursion-policy' END AS reason FROM h0), hk AS (SELECT * FROM h WHERE reason IS NULL)"""
+
+
+def reasoned(t):
+    """Hook events with the reason that keeps them out of their session, by order of arrival."""
+    return ss.mark_stale(demo.hooks(t), ["k", "event_id"], F.col("k"), _own())
+
+
+@query("session_fold", f"""WITH {REASON_SQL}, c AS (SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS accepted, count(CASE WHEN event = 'UserPromptSubmit' THEN 1 END) AS prompts, bool_or(event = 'Stop') AS stopped,
+   last(CASE WHEN cwd <> '' THEN cwd END ORDER BY cwd <> '', ts, event_id) AS cwd FROM hk GROUP BY session_id)
+ SELECT h.session_id, first_ts, last_ts, count(*) AS processed, coalesce(accepted, 0) AS accepted, count(CASE WHEN reason = 'recursion-policy' THEN 1 END) AS recursive, count(CASE WHEN late THEN 1 END) AS stale, c.cwd,
+  coalesce(prompts, 0) AS prompts, coalesce(stopped AND prompts > 0, false) AS completed FROM h LEFT JOIN c USING (session_id) GROUP BY ALL""")
 def session_fold(t):
-    return ss.fold(demo.hooks(t), _own())
+    return ss.fold(reasoned(t)).drop("processed_ids")
+
+
+@query("session_timeline", f"WITH {REASON_SQL} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS place, event_id, event FROM hk")
+def session_timeline(t):
+    """The ordered events that a session is summarized from."""
+    return ss.session_timeline(reasoned(t), ss.day()).select("session_id", "place", "event_id", "event")
 
 
 @query("stale_events", f"""WITH {HOOKS}, h AS (SELECT *, max(CASE WHEN NOT {OWN_SQL} THEN ts END) OVER (PARTITION BY session_id ORDER BY k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM hooks)

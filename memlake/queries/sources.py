@@ -105,16 +105,19 @@ def _packed(t, item):
 def _export_a(t):
     text = tx.json_string(F.col("text"))
     blocks = F.when(F.col("turn") % 3 == 2, F.lit("[]")).otherwise(F.concat(
-        F.lit('[{"type":"thinking","thinking":"hm"},{"type":"text","text":'), text, F.lit('},{"type":"text","text":"more"},{"type":"tool_use","id":"1","name":"Read"}]')))
+        F.lit('[{"type":"thinking","thinking":"hm"},{"type":"text","text":'), text, F.lit('},{"type":"text","text":"more"},{"type":"tool_use","id":"u'), "turn", F.lit('","name":"Read","input":{"n":1}},{"type":"tool_result","tool_use_id":"u'), (F.col("turn") - 1), F.lit('","content":"ok"}]')))
     m = F.concat(F.lit('{"uuid":"'), "turn", F.lit('","sender":"'), F.when(F.col("role") == "user", "human").otherwise("assistant"), F.lit('","text":'), text,
-                 F.lit(',"parent_uuid":"'), (F.col("turn") - 1), F.lit('","content":'), blocks, F.lit("}"))
+                 F.lit(',"created_at":"2024-01-01T00:00:0'), F.col("turn") % 10, F.lit('Z","parent_uuid":"'), (F.col("turn") - 1), F.lit('","content":'), blocks, F.lit("}"))
     return _packed(t, m).select(F.concat(F.lit('{"uuid":"c'), "conv_id", F.lit('","chat_messages":['), "items", F.lit("]}")).alias("doc"))
 
 
 @query("scan_export_messages_a", r"""SELECT 'c' || conv_id AS uuid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role,
- CASE WHEN turn % 3 = 2 THEN text ELSE text || chr(10) || chr(10) || 'more' END AS text, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END::BIGINT AS tools, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END::BIGINT AS thinking, (turn - 1)::VARCHAR AS parent FROM conversations""")
+ CASE WHEN turn % 3 = 2 THEN text ELSE text || chr(10) || chr(10) || 'more' END AS text, CASE WHEN turn % 3 = 2 THEN '' ELSE 'hm' END AS thinking, CASE WHEN turn % 3 = 2 THEN '' ELSE 'u' || turn || ' Read {"n":1}' END AS calls,
+ CASE WHEN turn % 3 = 2 THEN '' ELSE 'u' || (turn - 1) || ' ok false' END AS results, '2024-01-01T00:00:0' || turn % 10 || 'Z' AS created_at, (turn - 1)::VARCHAR AS parent FROM conversations""")
 def scan_export_messages_a(t):
-    return fi.messages_a(_export_a(t), "doc")
+    listed = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[f].cast("string") for f in fields])), ",")
+    return (fi.messages_a(_export_a(t), "doc").withColumn("thinking", F.array_join("thinking", "\n"))
+            .withColumn("calls", listed("calls", "id", "name", "input")).withColumn("results", listed("results", "id", "output", "is_error")))
 
 
 def _export_b(t):
@@ -478,12 +481,23 @@ PROOF = """CASE WHEN doc_id % 13 = 1 THEN 'proof_revision_absent' WHEN doc_id %
  WHEN doc_id % 13 = 5 THEN 'proof_content_hash_mismatch' WHEN doc_id % 13 = 6 THEN 'proof_fts_mismatch' ELSE 'ok' END"""
 
 
-@query("index_proof", f"WITH p AS (SELECT doc_id, source, {PROOF} AS code FROM documents) SELECT source, code, count(*) AS n, min(doc_id) AS first_doc FROM p GROUP BY ALL")
-def index_proof(t):
+def _proved(t):
     from memlake.operators.notes import proof
     d = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("revision"), "text")
     m = F.col("doc_id") % 13
     idx = d.where(m != 1).select("doc_id", F.explode(F.when(m == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("row"), (m != 3).alias("active"),
                                  F.when(m == 4, "other").otherwise(F.col("revision")).alias("hash"), F.when(m == 5, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("doc"),
                                  F.when(m == 6, F.lit("stale")).otherwise(F.col("text")).alias("fts"))
-    return proof(d.select("doc_id", "source", "revision"), idx, "doc_id").groupBy("source", "code").agg(mt.count_rows().alias("n"), F.min("doc_id").alias("first_doc"))
+    return proof(d.select("doc_id", "source", "revision"), idx, "doc_id")
+
+
+@query("index_proof", f"WITH p AS (SELECT doc_id, source, {PROOF} AS code FROM documents) SELECT source, code, count(*) AS n, min(doc_id) AS first_doc FROM p GROUP BY ALL")
+def index_proof(t):
+    return _proved(t).groupBy("source", "code").agg(mt.count_rows().alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("index_verdicts", f"""WITH p AS (SELECT source || '/' || doc_id % 97 AS scope, {PROOF} AS code FROM documents) SELECT scope, bool_and(code = 'ok') AS proved, min(CASE WHEN code <> 'ok' THEN code END) AS first_failure, count(*) AS tracked FROM p GROUP BY scope""")
+def index_verdicts(t):
+    """One verdict per scope: a single revision that is not proved fails all of it."""
+    from memlake.operators.notes import verdicts
+    return verdicts(_proved(t).withColumn("scope", F.concat_ws("/", "source", (F.col("doc_id") % 97).cast("string"))), "scope")

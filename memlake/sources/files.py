@@ -118,22 +118,27 @@ def session_meta(lines: DataFrame, first: int = 51) -> DataFrame:
 
 # -- exports ----------------------------------------------------------------------------------------
 
-_BLOCK = "array<struct<type:string,text:string,thinking:string,id:string,name:string>>"
+_BLOCK = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
 EXPORT_A = f"uuid string, chat_messages array<struct<uuid:string,sender:string,text:string,parent_uuid:string,created_at:string,content:{_BLOCK}>>"
 EXPORT_B = ("conversation_id string, current_node string, mapping map<string,struct<parent:string,message:struct<id:string,"
             "author:struct<role:string>,content:struct<content_type:string,parts:array<string>>>>>")
 
 
 def messages_a(export: DataFrame, column: str) -> DataFrame:
-    """Messages of exports that list them: text blocks joined by a blank line, else the message text."""
+    """Messages of exports that list them: text blocks joined by a blank line, else the message text.
+
+    ``thinking`` are the thinking texts, ``calls`` (id, name, input) and ``results`` (id, output, is_error) the tool blocks.
+    """
     c = export.select(F.from_json(column, EXPORT_A).alias("c"))
     m = tx.unnest(c.select("c.uuid", "c.chat_messages"), ["uuid"], F.col("chat_messages"), "m", "pos")
     of = lambda kind: F.filter("m.content", lambda b: b["type"] == kind)
     texts = F.array_join(F.filter(F.transform(of("text"), lambda b: b["text"]), lambda t: t != ""), "\n\n")
     return m.select("uuid", "pos", F.when(F.col("m.sender") == "human", "user").otherwise("assistant").alias("role"),
                     F.coalesce(F.nullif(texts, F.lit("")), F.col("m.text"), F.lit("")).alias("text"),
-                    F.size(of("tool_use")).cast("bigint").alias("tools"), F.size(of("thinking")).cast("bigint").alias("thinking"),
-                    F.coalesce("m.parent_uuid", F.lit("")).alias("parent"))
+                    F.transform(of("thinking"), lambda b: b["thinking"]).alias("thinking"),
+                    F.transform(of("tool_use"), lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"), b["input"].alias("input"))).alias("calls"),
+                    F.transform(of("tool_result"), lambda b: F.struct(b["tool_use_id"].alias("id"), b["content"].alias("output"), F.coalesce(b["is_error"], F.lit(False)).alias("is_error"))).alias("results"),
+                    F.coalesce("m.created_at", F.lit("")).alias("created_at"), F.coalesce("m.parent_uuid", F.lit("")).alias("parent"))
 
 
 def messages_b(export: DataFrame, column: str) -> DataFrame:

@@ -63,3 +63,11 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_modules_import_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[1]), timeout=120).returncode == 0
