@@ -127,7 +127,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     named = (classes.select("cls", "low", "n").join(groups.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
              .select("cls", "low", F.coalesce("component", "cls").alias("component"),
                      (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links")))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    # Stored on both sides, so that a component with a third of all classes is a join that Spark can split.
+    named = stored(named, "named")
+    lows = stored(named.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
     labels = classes.select("cls", "vec").join(named.join(lows, "component"), "cls").select("vec", "n_links", "component_id")
     out = base.where(~usable(F.col("vec"))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return good.join(labels, "vec").select("id", "n_links", "component_id").unionByName(out)
