@@ -39,5 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         later = ends.select(F.col("node").alias("to"), F.col("to").alias("last"), F.col("round"))
         ends = durable(maps[depth].join(later, "to", "left").select(
             "node", F.coalesce("last", "to").alias("to"), F.coalesce("round", F.lit(depth + 1)).alias("round")))
-    first = ends.groupBy("to", "round").agg(F.min("node").alias("component"))
+    # Stored, so that a component with a third of all nodes is a skewed join that Spark can split.
+    first = durable(ends.groupBy("to", "round").agg(F.min("node").alias("component")))
     return ends.join(first, ["to", "round"]).select("node", "component")

@@ -100,7 +100,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = prints.groupBy("fp").agg(F.min("id").alias("low"))
     named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("class_fp"))
-    lows = named.groupBy("class_fp").agg(F.min("low").alias("component_id"))
+    # Stored on both sides, so that a group with a third of all fingerprints is a join that Spark can split.
+    named = stored(named, "simhash-named")
+    lows = stored(named.groupBy("class_fp").agg(F.min("low").alias("component_id")), "simhash-lows")
     labels = stored(named.join(lows, "class_fp").select("fp", "class_fp", "component_id"), "simhash-classes")
     return prints.join(labels, "fp").select("id", "text_hash", "fp", "class_fp", "component_id")
 
