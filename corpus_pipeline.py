@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def written_order(docs: DataFrame) -> Column | None:
     """Place of each row in the files that ``docs`` was read from; None where it was not read from files."""
     number = lambda pattern: F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("bigint"), F.lit(0))
-    place = F.shiftleft(number(r"part-(\d+)"), 44) + F.shiftleft(number(r"\.c(\d+)|-c(\d+)\."), 34) + F.col("_metadata.row_index")
+    place = F.shiftleft(number(r"part-(\d+)"), 44) + F.shiftleft(number(r"[.-]c(\d+)\."), 34) + F.col("_metadata.row_index")
     try:
         docs.select(place)
     except AnalysisException:

@@ -56,3 +56,12 @@ def test_odd_documents_pass_every_stage(spark):
         stage(spark, df, SF).collect()
         stage(spark, df.limit(0), SF).collect()
     assert cp.written_order(docs(spark, table)) is None
+
+
+def test_written_order_spans_the_files_of_a_task(spark):
+    from memlake.llm.tables import place
+
+    path = place(spark, "order")
+    spark.range(1000).repartitionByRange(3, "id").sortWithinPartitions("id").write.option("maxRecordsPerFile", 100).parquet(path)
+    df = spark.read.parquet(path)
+    assert [r.id for r in df.orderBy(cp.written_order(df)).collect()] == list(range(1000))
