@@ -1,14 +1,19 @@
 """Stupid-backoff language-model scores of documents against the corpus's own n-gram counts.
 
-Words are A-Z lower-cased runs of anything but ASCII white space. The vocabulary holds the words that make up at
-least ``1 / MAX_WORDS`` of all tokens, so it has at most ``MAX_WORDS`` entries whatever the corpus; all
-other words share one unknown word. Unigram counts are therefore small enough to broadcast. Bigrams
-(the first word of a document follows a start mark) are exploded from every document, dealt to
-partitions by a hash of the bigram, counted there, joined to the counts there and summed per document:
+Words are A-Z lower-cased runs of anything but ASCII white space, and every word counts as itself.
+Bigrams (the first word of a document follows a start mark) are exploded from every document, dealt to
+partitions, counted there and summed per document:
 
     S(w | v) = c(v w) / c(v)                 if c(v w) >= MIN_COUNT
              = BACKOFF * c(w) / tokens       else
 
+The head of the vocabulary, words that make up at least ``1 / HEAD_WORDS`` of all tokens, is numbered and
+broadcast with its counts; bigrams of two such words are dealt by a hash of the bigram. All other words
+are known by 63 bits of their hash; words that share these bits with another word go to the head, so a key
+is one word. A bigram with a rare word is dealt by that word (by both if both are rare): the
+partition of a rare word sees all bigrams that begin or end with it, and the latter add up to its count. A rare
+word has less than ``tokens / HEAD_WORDS`` occurrences, so no partition is large by it.
+
 A frequent bigram costs one entry per document that holds it, as its repeats in a document are added first.
 """
 
@@ -27,9 +32,13 @@ from pyspark.sql import functions as F
 from memlake.llm.tables import stored, width
 
 MAX_WORDS = 1 << 20
+HEAD_WORDS = 1 << 20  # bounds what is broadcast; scores do not depend on it
 MIN_COUNT, BACKOFF = 2, 0.4
 PART_TOKENS = 4_000_000  # exploded n-grams that one partition counts
 SHIFT = 21  # bits of a word number
+RARE = 1 << 62  # keys of rare words are not smaller
+KEY_BITS, SEED = 62, 42
+HEAD, LEFT, RIGHT = range(3)  # bigrams of the head; those dealt by a rare first or second word
 PIECE = 2000  # rows that a task counts or explodes at once
 
 
@@ -37,6 +46,34 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+class Keys(dict):
+    """Numbers of the head's words; any other word gets its hash, or zero where rare words are folded."""
+
+    def __init__(self, words: list[bytes], folded: bool, bits: int):
+        super().__init__(zip(words, range(1, len(words) + 1)))
+        self.folded, self.mask = folded, (1 << bits) - 1
+
+    def __missing__(self, word: bytes) -> int:
+        return 0 if self.folded else xxhash.xxh64_intdigest(word, SEED) & self.mask | RARE
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group of each place in that order) of equal rows; the last key counts most."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.cumsum(new)
+
+
+def _times(times: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Sum of ``times`` over the rows with equal keys, for each row."""
+    order, group = _groups(*keys)
+    out = np.zeros(len(times))
+    out[order] = np.bincount(group, weights=times[order])[group] if len(times) else 0
+    return out
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word: binary, n): counts over all texts, added up per task batch before they are shuffled."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,19 +88,27 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int | None = None, head_words: int | None = None) -> DataFrame:
     """(id, n_tokens, log_score): one row per row of ``docs``; ``log_score`` sums the natural logs.
 
     Null and blank texts have no tokens and score zero. Null ids and repeated rows are kept (copies count
-    as often as they occur). Other columns are not read.
+    as often as they occur). Other columns are not read. ``head_words`` bounds the broadcast and changes no
+    score. Only where ``max_words`` is given, words below ``1 / max_words`` of all tokens share one unknown word.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     keyed = base.withColumn("hash", F.xxhash64("id", "text"))
     counts = stored(word_counts(base, "text"), "words")
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(tokens / max_words))
-    vocabulary = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()  # max_words rows at most
+    folded, bits = max_words is not None, KEY_BITS
+    least = max(1, math.ceil(tokens / (max_words if folded else head_words or HEAD_WORDS)))
+    head = counts.where(F.col("n") >= least)
+    if not folded:
+        # Words with one key: N^2 / 2^63 of N words are expected, none below a billion. Spark's hash of bytes is XXH64 too.
+        rare = counts.where(F.col("n") < least).withColumn("key", F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)))
+        shared = rare.groupBy("key").agg(F.count(F.lit(1)).alias("words")).where("words > 1")
+        head = head.unionByName(rare.join(F.broadcast(shared), "key", "left_semi").drop("key"))
+    vocabulary = head.orderBy(F.desc("n"), "word").toArrow()  # head_words rows, and the few that share a key
     words, known = vocabulary.column("word").to_pylist(), vocabulary.column("n").to_numpy()
     starts = base.where(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")).count()
     # 0: unknown word, 1..: the vocabulary, last: start of a document.
@@ -73,60 +118,97 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, uni = sent.value
-        number = dict(zip(words, range(1, len(words) + 1))).get
+        key = Keys(words, folded, bits).__getitem__
         start = len(uni) - 1
         for b in batches:
             for at in range(0, b.num_rows, PIECE):
                 piece = b.slice(at, PIECE)
                 ids, hashes = piece.column("id").fill_null(0).to_numpy(), piece.column("hash").to_numpy()
-                lines = [[start, *[number(w, 0) for w in _words(t)]] for t in piece.column("text").to_pylist()]
+                lines = [[start, *map(key, _words(t))] for t in piece.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, lines), np.int64, len(lines))
                 flat = np.fromiter((w for line in lines for w in line), np.int64, int(sizes.sum()))
                 row = np.repeat(np.arange(len(lines)), sizes)
                 inside = row[1:] == row[:-1]
-                gram = (flat[:-1] << SHIFT | flat[1:])[inside]
-                # Repeats in a document become one entry: row and bigram fit one number.
-                entry, times = np.unique(row[1:][inside] << 2 * SHIFT | gram, return_counts=True)
-                row, gram = entry >> 2 * SHIFT, entry & (1 << 2 * SHIFT) - 1
-                with np.errstate(over="ignore"):
-                    mixed = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    part = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-                gram, row, times, part = gram[order], row[order], times[order].astype(np.int32), part[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 62)))
+                row, first, second = row[1:][inside], flat[:-1][inside], flat[1:][inside]
                 name = xxhash.xxh64_intdigest(ids.tobytes() + hashes.tobytes()) - (1 << 63)  # where the sums go back to
                 out = []
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(part))):
-                    rows, n = np.unique(row[lo:hi], return_counts=True)
-                    out.append((int(part[lo]), name, gram[lo:hi].tobytes(), times[lo:hi].tobytes(), ids[rows].tobytes(), hashes[rows].tobytes(), n.astype(np.int32).tobytes()))
+
+                def deal(kind: int, by: np.ndarray, row: np.ndarray, times: np.ndarray, *grams: np.ndarray) -> None:
+                    with np.errstate(over="ignore"):
+                        mixed = by.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        part = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(parts)
+                    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+                    row, times, part, grams = row[order], times[order].astype(np.int32), part[order], [g[order] for g in grams]
+                    cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 62)))
+                    for lo, hi in zip(cuts, np.append(cuts[1:], len(part))):
+                        rows, n = np.unique(row[lo:hi], return_counts=True)
+                        packed = [g[lo:hi].tobytes() for g in grams]
+                        out.append((int(part[lo]), name, kind, packed[0], packed[1] if len(packed) > 1 else b"", times[lo:hi].tobytes(), ids[rows].tobytes(), hashes[rows].tobytes(), n.astype(np.int32).tobytes()))
+
+                # Repeats in a document become one entry: row and bigram of the head fit one number.
+                odd = (first >= RARE) | (second >= RARE)
+                entry, times = np.unique(row[~odd] << 2 * SHIFT | first[~odd] << SHIFT | second[~odd], return_counts=True)
+                gram = entry & (1 << 2 * SHIFT) - 1
+                deal(HEAD, gram, entry >> 2 * SHIFT, times, gram)
+                if odd.any():
+                    row, first, second = row[odd], first[odd], second[odd]
+                    order, group = _groups(second, first, row)
+                    at_first = order[np.flatnonzero(np.diff(group, prepend=-1))]
+                    row, first, second, times = row[at_first], first[at_first], second[at_first], np.bincount(group)
+                    for kind, by in ((LEFT, first), (RIGHT, second)):
+                        mine = by >= RARE
+                        deal(kind, by[mine], row[mine], times[mine], first[mine], second[mine])
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 5])],
-                                                     names=["part", "piece", "grams", "times", "ids", "hashes", "entries"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int32(), pa.int64(), pa.int8(), *[pa.binary()] * 6])],
+                                                     names=["part", "piece", "kind", "firsts", "seconds", "times", "ids", "hashes", "entries"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = sent.value[1]
-        pieces: list[int] = []
-        held: dict[str, list[bytes]] = {c: [] for c in ("grams", "times", "ids", "hashes", "entries")}
+        number = lambda keys: np.where(keys < RARE, keys, 0)
+        backed = lambda n: math.log(BACKOFF) + np.log(np.maximum(n, 1)) - math.log(tokens)
+        columns = ("piece", "firsts", "seconds", "times", "ids", "hashes", "entries")
+        held: dict[int, dict[str, list]] = {k: {c: [] for c in columns} for k in (HEAD, LEFT, RIGHT)}
         for b in batches:
-            pieces += b.column("piece").to_pylist()
-            for c in held:
-                held[c] += b.column(c).to_pylist()
-        if not pieces:
-            return
-        lengths = [len(e) // 4 for e in held["entries"]]
-        whole = lambda c, kind: np.frombuffer(b"".join(held.pop(c)), kind)
-        grams, at = np.unique(whole("grams", np.int64), return_inverse=True)
-        times, ids, hashes, entries = whole("times", np.int32), whole("ids", np.int64), whole("hashes", np.int64), whole("entries", np.int32)
-        seen = np.bincount(at, weights=times)
-        first, second = grams >> SHIFT, grams & (1 << SHIFT) - 1
-        value = np.where(seen >= MIN_COUNT, np.log(seen) - np.log(np.maximum(uni[first], 1)), math.log(BACKOFF) + np.log(uni[second]) - math.log(uni[:-1].sum()))
-        starts = np.cumsum(entries) - entries
-        sums, n = np.add.reduceat(value[at] * times, starts), np.add.reduceat(times, starts).astype(np.int32)
-        end = 0
-        for piece, size in zip(pieces, lengths):
-            cut = slice(end, end := end + size)
-            yield pa.RecordBatch.from_arrays([pa.array([piece]), *(pa.array([x[cut].tobytes()], pa.binary()) for x in (ids, hashes, sums, n))],
-                                             names=["piece", "ids", "hashes", "sums", "counts"])
+            rows = [b.column(c).to_pylist() for c in columns]
+            for kind, *row in zip(b.column("kind").to_pylist(), *rows):
+                for c, v in zip(columns, row):
+                    held[kind][c].append(v)
+        whole = lambda kind, c, of: np.frombuffer(b"".join(held[kind].pop(c)), of)
+
+        def packed(kind: int, value: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Sums of the entries' values, in the pieces that they came from."""
+            pieces, lengths = held[kind]["piece"], [len(e) // 4 for e in held[kind]["entries"]]
+            ids, hashes, entries = whole(kind, "ids", np.int64), whole(kind, "hashes", np.int64), whole(kind, "entries", np.int32)
+            starts = np.cumsum(entries) - entries
+            sums, n = np.add.reduceat(value, starts), np.add.reduceat(n, starts).astype(np.int32)
+            end = 0
+            for piece, size in zip(pieces, lengths):
+                cut = slice(end, end := end + size)
+                yield pa.RecordBatch.from_arrays([pa.array([piece]), *(pa.array([x[cut].tobytes()], pa.binary()) for x in (ids, hashes, sums, n))],
+                                                 names=["piece", "ids", "hashes", "sums", "counts"])
+
+        if held[HEAD]["piece"]:
+            grams, at = np.unique(whole(HEAD, "firsts", np.int64), return_inverse=True)
+            times = whole(HEAD, "times", np.int32)
+            seen = np.bincount(at, weights=times)
+            first, second = grams >> SHIFT, grams & (1 << SHIFT) - 1
+            value = np.where(seen >= MIN_COUNT, np.log(seen) - np.log(np.maximum(uni[first], 1)), backed(uni[second]))
+            yield from packed(HEAD, value[at] * times, times)
+        if not held[RIGHT]["piece"]:
+            return  # each rare word that begins a bigram here ends one here too
+        first, second, times = whole(RIGHT, "firsts", np.int64), whole(RIGHT, "seconds", np.int64), whole(RIGHT, "times", np.int32)
+        rare, at = np.unique(second, return_inverse=True)
+        rare_n = np.bincount(at, weights=times)
+        seen = _times(times, first, second)
+        # A bigram of two rare words has its count from its first word's partition or the backed-off one from here.
+        known = np.where(first < RARE, np.log(seen) - np.log(np.maximum(uni[number(first)], 1)), 0.0)
+        yield from packed(RIGHT, np.where(seen >= MIN_COUNT, known, backed(rare_n[at])) * times, times)
+        if held[LEFT]["piece"]:
+            first, second, times = whole(LEFT, "firsts", np.int64), whole(LEFT, "seconds", np.int64), whole(LEFT, "times", np.int32)
+            seen = _times(times, first, second)
+            other = np.where(second < RARE, backed(uni[number(second)]), 0.0)
+            value = np.where(seen >= MIN_COUNT, np.log(seen) - np.log(rare_n[np.searchsorted(rare, first)]), other)
+            yield from packed(LEFT, value * times, np.where(second < RARE, times, 0))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], [], []]
@@ -144,7 +226,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
                                          names=["id", "hash", "log_score", "n", "copies"])
 
     # Sums return to the piece that they came from, packed, so a document is one row however many partitions count.
-    partial = (keyed.mapInArrow(explode, "part int, piece bigint, grams binary, times binary, ids binary, hashes binary, entries binary")
+    partial = (keyed.mapInArrow(explode, "part int, piece bigint, kind tinyint, firsts binary, seconds binary, times binary, ids binary, hashes binary, entries binary")
                .repartitionById(parts, F.col("part")).mapInArrow(count, "piece bigint, ids binary, hashes binary, sums binary, counts binary")
                .repartition(parts, "piece").mapInArrow(merge, "id bigint, hash bigint, log_score double, n bigint, copies bigint"))
     rows = keyed.select(F.coalesce("id", F.lit(0)).alias("id"), "hash", F.lit(0.0).alias("log_score"), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("copies"),

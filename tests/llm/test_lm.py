@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from memlake.llm import lm
@@ -31,3 +32,24 @@ def test_equals_brute_force(spark):
 def test_nothing(spark):
     assert got(docs(spark, [])) == []
     assert got(docs(spark, [(1, None), (2, "")])) == [(True, 1, 0, 0.0), (True, 2, 0, 0.0)]
+
+
+def test_rare_words_count_as_themselves(spark):
+    """No word is folded, in a corpus that passes MAX_WORDS tokens and with any size of the broadcast head."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(50)]
+    table = [(i, " ".join(rng.choices(common, k=4000))) for i in range(280)]
+    rare = [[f"r{i}-{k}" for k in range(6)] for i in range(40)]
+    table += [(1000 + i, " ".join(r)) for i, r in enumerate(rare)] + [(2000 + i, " ".join([*r[:3], "c1", *r[:2]])) for i, r in enumerate(rare[:20])]
+    assert sum(len(t.split()) for _, t in table) > lm.MAX_WORDS
+    want = brute(table, 1 << 60)
+    assert got(docs(spark, table)) == want
+    small = table[270:] + [(5, "c1 r0-0"), (5, "c1 r0-0"), (None, "r0-0 r0-1")]
+    for head in (1, 40, 400):
+        assert got(docs(spark, small), head_words=head) == brute(small, 1 << 60)
+
+
+def test_words_that_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KEY_BITS", 5)
+    table = [(i, f"a b w{i % 25} w{i % 7} x{i}") for i in range(60)]
+    assert got(docs(spark, table), head_words=5) == brute(table, 1 << 60)
