@@ -3,9 +3,10 @@
 Each source's rows, in a hashed order, are cut into blocks of equal mass (characters). Block i of a source
 with weight w may be placed from slot floor(i / w) on and must be placed before slot ceil((i + 1) / w). Earliest
 deadline first meets all these windows, so at every slot each source is less than one block away from
-its share. Weights are whole numbers of slots in a period; one period is scheduled once and the slot of
-any block follows by arithmetic, so that rows are placed in parallel. When a source runs out, a new
-phase begins with the weights of those left: every row is placed, none is repeated.
+its share. Windows follow the weights as given, in whole numbers without rounding. Where the weights are whole
+slots of a period, one period is scheduled once and the slot of any block follows by arithmetic; else
+the windows run over the whole phase and the plan holds a row per block (not per row of the input). When a source runs
+out, a new phase begins with the weights of those left: every row is placed, none is repeated.
 """
 
 from __future__ import annotations
@@ -13,57 +14,99 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from memlake.llm.tables import width
+from memlake.session import broadcast_if_small
 
-PERIOD = 1000  # slots in a period: weights are rounded to thousandths
+PERIOD = 1000  # slots in a period that is repeated if the weights are whole slots of it
 MAX_SOURCES = 256  # bounds the plan, which is broadcast
 BLOCK_CHARS = 20_000
 BUCKET_ROWS = 20_000
 
 
+def whole(weights: dict) -> dict:
+    """The weights as whole numbers in exactly their proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*parts.values())
+    return {s: q // common for s, q in parts.items()}
+
+
 def quotas(weights: dict, period: int) -> dict:
-    """Whole slots per period, at least one each, in proportion to ``weights`` (largest remainders)."""
-    total = sum(weights.values())
-    free = period - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    short = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))[:period - sum(out.values())]
+    """Whole slots per period in proportion to ``weights`` (largest remainders); one for a source that would get none."""
+    parts = whole(weights)
+    total = sum(parts.values())
+    none = {s for s, q in parts.items() if q * period < total}
+    while more := {s for s in parts if s not in none and parts[s] * (period - len(none)) < sum(q for t, q in parts.items() if t not in none)}:
+        none |= more  # the rest shares what is left
+    rest = {s: q for s, q in parts.items() if s not in none}
+    free, total = period - len(none), sum(rest.values())
+    out = dict.fromkeys(none, 1) | {s: q * free // total for s, q in rest.items()}
+    short = sorted(rest, key=lambda s: (-(rest[s] * free % total), str(s)))[:period - sum(out.values())]
     return out | {s: out[s] + 1 for s in short}
 
 
-def one_period(slots: dict, period: int) -> dict[object, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    release: list[list] = [[] for _ in range(period)]
-    for s, q in slots.items():
-        for i in range(q):
-            release[i * period // q].append((-(-(i + 1) * period // q), str(s), s))
-    out: dict[object, list[int]] = {s: [] for s in slots}
+def dealt_slots(parts: dict) -> Iterator:
+    """The source of each slot without end, for whole-number weights: earliest deadline first among released blocks."""
+    total = sum(parts.values())
+    waiting = [(0, str(s), 0, s) for s in parts]
+    heapq.heapify(waiting)
     ready: list = []
-    for t in range(period):
-        for block in release[t]:
-            heapq.heappush(ready, block)
-        deadline, _, s = heapq.heappop(ready)
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, name, i, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // parts[s]), name, i, s))
+        deadline, name, i, s = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
+        yield s
+        t += 1
+        heapq.heappush(waiting, ((i + 1) * total // parts[s], name, i + 1, s))
+
+
+def one_period(slots: dict, period: int) -> dict[object, list[int]]:
+    """The slots of each source's blocks in one period."""
+    out: dict[object, list[int]] = {s: [] for s in slots}
+    for t, s in zip(range(period), dealt_slots(slots)):
         out[s].append(t)
     return out
 
 
+def one_phase(parts: dict, left: dict) -> tuple[dict[object, list[int]], int]:
+    """The slots of each source's blocks until one source has placed its ``left`` blocks, and their number."""
+    out: dict[object, list[int]] = {s: [] for s in parts}
+    for t, s in enumerate(dealt_slots(parts)):
+        out[s].append(t)
+        if len(out[s]) == left[s]:
+            return out, t + 1
+    raise AssertionError("slots have no end")
+
+
 def plan(blocks: dict, weights: dict, period: int = PERIOD) -> tuple[list[tuple], list[tuple], int]:
     """(phases, slots, total): ``phases`` are (source, phase, first, last, quota, base), ``slots`` (phase, source, nth, slot)."""
     left, placed = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
     phases, slots, base, phase = [], [], 0, 0
     while left:
         active = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        quota = quotas(active, period)
-        table = one_period(quota, period)
-        length = min((left[s] - 1) // quota[s] * period + table[s][(left[s] - 1) % quota[s]] + 1 for s in active)
+        parts = whole(active)
+        if period % sum(parts.values()):
+            table, length = one_phase(parts, left)
+            use = quota = {s: len(t) for s, t in table.items()}
+        else:
+            quota = {s: q * period // sum(parts.values()) for s, q in parts.items()}
+            table = one_period(quota, period)
+            length = min((left[s] - 1) // quota[s] * period + table[s][(left[s] - 1) % quota[s]] + 1 for s in active)
+            use = {s: length // period * quota[s] + bisect_left(table[s], length % period) for s in active}
         for s in active:
-            used = length // period * quota[s] + bisect_left(table[s], length % period)
+            used = use[s]
             if used:
                 phases.append((s, phase, placed[s], placed[s] + used, quota[s], base))
                 slots += [(phase, s, n, t) for n, t in enumerate(table[s])]
@@ -116,11 +159,12 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_c
     # Rows without mass at the very end would begin a block more.
     dealt = dealt.withColumn("__block", F.least((F.col("__start") / block_chars).cast("bigint"), last[F.col("__source")].cast("bigint")))
     phase = spark.createDataFrame(phases, "__source string, __phase int, __first bigint, __last bigint, __quota bigint, __from bigint")
-    slot = spark.createDataFrame(slots, "__phase int, __source string, __nth bigint, __offset bigint")
-    # Both are bounded by MAX_SOURCES and the period, whatever the input.
+    kinds = [("__phase", pa.int32()), ("__source", pa.string()), ("__nth", pa.int64()), ("__offset", pa.int64())]
+    slot = spark.createDataFrame(pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds, zip(*slots) if slots else [()] * 4)}))
+    # Phases are bounded by MAX_SOURCES; the slots have up to a row per block, so they are broadcast only if they are few.
     joined = (dealt.join(F.broadcast(phase), ["__source"]).where("__block >= __first AND __block < __last")
               .withColumn("__nth", (F.col("__block") - F.col("__first")) % F.col("__quota"))
-              .join(F.broadcast(slot), ["__phase", "__source", "__nth"])
+              .join(broadcast_if_small(slot), ["__phase", "__source", "__nth"])
               .withColumn("__slot", F.col("__from") + F.floor((F.col("__block") - F.col("__first")) / F.col("__quota")) * period + F.col("__offset")))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__chars", "__start", "__block", "__slot", "__hash"), length
 

@@ -63,3 +63,37 @@ def test_weights_limits_and_nothing(spark):
     many = docs(spark, [(i, "x", f"s{i}") for i in range(mixing.MAX_SOURCES + 1)])
     with pytest.raises(ValueError, match="sources"):
         mixing.mixed(many)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.91} | {f"s{i}": 0.01 for i in range(9)}, {"a": 0.5} | {f"s{i}": 0.5 / 199 for i in range(199)}, {"a": math.sqrt(2), "b": 1, "c": math.pi / 3000}])
+def test_placed_blocks_follow_the_given_weights_over_many_periods(weights):
+    total = sum(weights.values())
+    phases, slots, length = mixing.plan({s: int(120_000 * w / total) + 1 for s, w in weights.items()}, weights)
+    at = {(s, p): (first, last, quota, base) for s, p, first, last, quota, base in phases}
+    places = {}
+    for p, s, n, t in slots:
+        first, last, quota, base = at[s, p]
+        for k, i in enumerate(range(first + n, last, quota)):
+            places[base + k * mixing.PERIOD + t] = (s, p)
+    assert sorted(places) == list(range(length)) and length > 100 * mixing.PERIOD
+    end = next(t for t in range(length + 1) if t == length or places[t][1])  # of the first phase
+    assert end > 100 * mixing.PERIOD
+    done = Counter()
+    for t in range(end):
+        done[places[t][0]] += 1
+        if t % 97 == 0 or t == end - 1:
+            assert all(abs(done[s] - w / total * (t + 1)) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_only_sources_without_a_slot_get_the_least():
+    assert mixing.quotas({"a": 91} | {f"s{i}": 1 for i in range(9)}, 1000) == {"a": 910} | {f"s{i}": 10 for i in range(9)}
+    small = mixing.quotas({"a": 1_000_000, "b": 500_000, "c": 1}, 100)
+    assert small["c"] == 1 and sum(small.values()) == 100 and small["a"] == 66
+
+
+def test_rows_of_a_plan_by_block(spark, monkeypatch):
+    table = [(i, "x" * 100, "abc"[i % 3]) for i in range(900)]
+    weights = {"a": math.sqrt(2), "b": 1.0, "c": 0.3}
+    want = rows(mixing.placed(docs(spark, table), weights, block_chars=100)[0])
+    monkeypatch.setattr(mixing, "broadcast_if_small", lambda df: df)
+    assert rows(mixing.placed(docs(spark, table), weights, block_chars=100)[0]) == want and len(want) == 900
