@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F, types as T
 
-from memlake.llm.tables import strings
+from memlake.llm.tables import stored, strings
 
 DIM = 1 << 18
 PER_CLASS = 3000
@@ -167,8 +167,9 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled rows of each label that are not held out.
 
-    Rows are taken in the order of a hash of their id. Null ids, null labels and labels other than 0
-    and 1 are no labels.
+    Rows are taken in the order of a hash of their id. Of the rows with one id and one text one counts, and
+    further texts of an id come after the first of every id, so at most ``per_class`` rows of each label reach
+    the driver however often an id occurs. Null ids, null labels and labels other than 0 and 1 are no labels.
     """
     known = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
              .where("id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("id"))))
@@ -176,15 +177,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("id")
     pick = [known.where(F.col("y") == y).orderBy(order, "id").limit(per_class) for y in (0, 1)]
     sample = pick[0].unionByName(pick[1])  # 2 * per_class rows at most
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    named = texts.select("id", "hash").join(F.broadcast(sample), "id").distinct()
+    nth = F.row_number().over(W.partitionBy("id", "y").orderBy("hash"))
+    ranked = stored(named.withColumn("nth", nth).where(F.col("nth") <= per_class), "labelled")
+    take = [ranked.where(F.col("y") == y).orderBy("nth", order, "id", "hash").limit(per_class) for y in (0, 1)]
+    chosen = take[0].unionByName(take[1]).drop("nth")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features, seen = Features(), set()  # copies go: of 2 * per_class rows at most each task gives one
         for b in batches:
+            b = b.set_column(b.schema.get_field_index("id"), "id", b.column("id").cast(pa.int64()))
+            new = []
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "y", "hash")))):
+                if row not in seen:
+                    seen.add(row)
+                    new.append(k)
+            b = b.take(pa.array(new, pa.int64()))
             found = [features(t).astype("<i4").tobytes() for t in strings(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), b.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("hash"), pa.array(found, pa.binary())], names=["id", "y", "hash", "found"])
 
-    got = texts.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(work, "id bigint, y int, found binary").toArrow()
+    got = (texts.join(F.broadcast(chosen), ["id", "hash"]).select("id", "y", "hash", "text")
+           .mapInArrow(work, "id bigint, y int, hash bigint, found binary").dropDuplicates(["id", "y", "hash"]).toArrow())
     rows = sorted(zip(got.column("id").to_pylist(), got.column("y").to_pylist(), got.column("found").to_pylist()), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r))
     good = np.array([r[1] == 1 for r in rows], bool)
     share = total.get(1, 0) / max(1, sum(total.values()))

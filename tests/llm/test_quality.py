@@ -78,3 +78,19 @@ def test_memory_of_words_is_bounded(monkeypatch):
 @pytest.mark.parametrize("word,want", [("Hello,", "Aa,"), ("BUY!!", "A!!"), ("a1b22", "a0a0"), ("éÉ", "a"), ("***", "***")])
 def test_shape(word, want):
     assert quality.shape(word) == want
+
+
+def test_an_id_with_many_rows_stays_within_the_sample(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "fit", lambda rows, good, share: given.append((rows, good)))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    table = [(i, f"text number{i} of id{i}") for i in ids] + [(ids[0], f"hot text{k}") for k in range(400)] + [(ids[0], "copy")] * 400
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in ids], "doc_id bigint, quality int, toxic int")
+    for per_class in (10, 100):
+        quality.train(docs(spark, table, clash=True), labels, per_class=per_class)
+        found, good = given.pop()
+        side = good if ids[0] % 2 else ~good
+        assert side.sum() == per_class and (~side).sum() == min(per_class, sum(i % 2 != ids[0] % 2 for i in ids))
+        words = {quality.Features()(t).tobytes() for i, t in table if i != ids[0]}
+        others = sum(r.tobytes() in words for r, s in zip(found, side) if s)
+        assert others >= min(per_class, sum(i % 2 == ids[0] % 2 for i in ids)) - 1  # one text of each id comes first
