@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,3 +162,32 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = read(spark, sf_dir, "pages")
     return html.extract(pages, html.fit(html.sample(pages, "html"))).withColumnRenamed("id", "page_id")
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, made periodic from some place on in about a tenth of the documents, as the query's contract says."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    unit = words[a:a + p]
+    return words[:a] + (unit * -(-(n - a) // p))[:n - a]
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.runs import find
+
+    found = find(read(spark, sf_dir, "documents"), "doc_id", "text", rewrite=planted_period)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # The longest run, the first of those: structs compare field by field.
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), best.alias("b"), F.array_join(lines, "").alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", F.col("b.start").alias("start"), (-F.col("b.less")).alias("length"), F.col("b.period").alias("period"),
+        F.floor(F.lit(-1000) * F.col("b.less") / F.col("b.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

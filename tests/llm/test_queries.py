@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_warc_transactions": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op9_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op10_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "pipeline": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
