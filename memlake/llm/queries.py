@@ -191,3 +191,45 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", F.col("b.start").alias("start"), (-F.col("b.less")).alias("length"), F.col("b.period").alias("period"),
         F.floor(F.lit(-1000) * F.col("b.less") / F.col("b.period")).alias("exponent_milli"),
         F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.whiten import whitened
+
+    return whitened(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", count=16).withColumnRenamed("id", "vec_id")
+
+
+# A user and an assistant who both say what the template itself says.
+ODD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def _added(c: str) -> str:
+    """SQL: the backslashes that escaping adds; one for each backslash, each # after a # and each mark of an end."""
+    return (rf"(len(regexp_extract_all({c}, '\\')) + length(regexp_replace({c}, '[^#]+', '', 'g')) - len(regexp_extract_all({c}, '#+'))"
+            f" + len(regexp_extract_all({c}, '</turn>')))")
+
+
+@query("op13_chat_formatting", f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{ODD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{ODD_TEXT}'),
+sized AS (
+  SELECT *, 4 + length(role) + 2 + length(text) + 8 + {_added("role")} + {_added("text")} + length(role) - length(replace(role, ': ', ':')) AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from memlake.llm import chat
+    from memlake.llm.tables import place
+
+    tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), place(spark, "chat")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    chat.save(chat.formatted(rows.unionByName(odd), tokenizer), path)
+    return chat.digests(chat.load(spark, path), tokenizer).withColumnRenamed("id", "conv_id")

@@ -17,6 +17,8 @@ COLUMNS = {
     "op9_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op10_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_chat_formatting": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "pipeline": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
@@ -30,5 +32,5 @@ def test_columns(spark, name):
     df = entry.queries()[name](spark, SF)
     assert df.columns == COLUMNS[name]
     table = {"op1": "pages", "op6": "embeddings", "op8": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
-    if name != "op4_decontamination":
+    if name not in ("op4_decontamination", "op12_embedding_whitening", "op13_chat_formatting"):
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
