@@ -139,21 +139,21 @@ def active_revisions(entries: DataFrame, scope: str, key: str, sequence: str, su
     return latest.join(dropped, [scope, key], "left").where(F.col("__s").isNull() | (F.col("__s") <= F.col(f"e.{sequence}"))).select("e.*")
 
 
-def visible_before(entries: DataFrame, sequence: str, queries: DataFrame, query: str, cutoff: str, width: int) -> DataFrame:
+def visible_before(entries: DataFrame, sequence: str, queries: DataFrame, query: str, cutoff: str) -> DataFrame:
     """How many entries, and which last one, each query may see: strictly before its cutoff.
 
     One ordered pass over entries and cutoffs together, not a join of every query with every entry.
     """
     e = entries.select(F.col(sequence).alias("s"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("q"))
     q = queries.select(F.col(cutoff).alias("s"), F.lit(0).alias("kind"), F.col(query).alias("q"))
-    r = running(e.unionByName(q), [], ["s", "kind", "q"], F.floor(F.col("s") / width),
+    r = running(e.unionByName(q), [], ["s", "kind", "q"], None,
                 {"visible": ("count", F.when(F.col("kind") == 1, 1), False), "last_sequence": ("max", F.when(F.col("kind") == 1, F.col("s")), False)})
     return r.where("kind = 0").select(F.col("q").alias(query), F.col("s").alias(cutoff), "visible", "last_sequence")
 
 
-def ceiling(ledger: DataFrame, block: Column) -> DataFrame:
+def ceiling(ledger: DataFrame) -> DataFrame:
     """Spent plus in-flight money after every ledger event (integer cents)."""
-    return running(ledger, [], ["ts", "kind", "call"], block, {"exposure": ("sum", F.col("delta"), True)})
+    return running(ledger, [], ["ts", "kind", "call"], None, {"exposure": ("sum", F.col("delta"), True)})
 
 
 def compare_runs(runs: DataFrame, fingerprint: str, order: str, back: int) -> DataFrame:

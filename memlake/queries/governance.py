@@ -76,9 +76,24 @@ def claim_cycles(t):
                              .unionByName(supersedes.select(F.col("node").alias("src"), F.col("target").alias("dst"))))
 
 
-@query("claim_governance")
+CYCLIC_SQL = f"""dep AS ({DEPENDS}), sup AS ({SUPERSEDES}), allinf AS (SELECT need AS src, node AS dst FROM dep UNION SELECT node, target FROM sup),
+ clos AS (SELECT src AS a, dst AS b FROM allinf UNION SELECT clos.a, allinf.dst FROM clos JOIN allinf ON allinf.src = clos.b), cyc AS (SELECT DISTINCT a AS node FROM clos WHERE a = b)"""
+
+
+def _governance_sql(out: str, part: str) -> str:
+    """CTEs ending in ``out``(node, state): claims are decided once all that influences them is; key -1 starts the recursion."""
+    return f"""{out}_p AS ({part}), {out}_i AS (SELECT src, dst FROM allinf WHERE src IN (SELECT node FROM {out}_p) AND dst IN (SELECT node FROM {out}_p)),
+ {out}(node, state) USING KEY (node) AS (SELECT -1::BIGINT, 'start' UNION
+  SELECT p.node, CASE WHEN bad.node IS NOT NULL THEN 'invalidated' WHEN rep.node IS NOT NULL THEN 'superseded' ELSE 'governing' END FROM {out}_p p
+  LEFT JOIN (SELECT DISTINCT d.node FROM dep d LEFT JOIN (SELECT node FROM recurring.{out} WHERE state = 'governing') g ON g.node = d.need WHERE g.node IS NULL) bad ON bad.node = p.node
+  LEFT JOIN (SELECT DISTINCT s.target AS node FROM sup s JOIN (SELECT node FROM recurring.{out} WHERE state IN ('governing', 'superseded')) g ON g.node = s.node) rep ON rep.node = p.node
+  WHERE p.node NOT IN (SELECT node FROM recurring.{out}) AND p.node NOT IN (SELECT i.dst FROM {out}_i i LEFT JOIN (SELECT node FROM recurring.{out}) g ON g.node = i.src WHERE g.node IS NULL))"""
+
+
+@query("claim_governance", f"""WITH RECURSIVE {CYCLIC_SQL}, {_governance_sql('gov', 'SELECT doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT node FROM cyc)')},
+ rep AS (SELECT DISTINCT target AS node FROM sup JOIN gov ON gov.node = sup.node AND state IN ('governing', 'superseded'))
+ SELECT node, state, node IN (SELECT node FROM rep) AS superseded FROM gov WHERE node >= 0 UNION ALL SELECT node, 'cyclic', false FROM cyc WHERE node IN (SELECT doc_id FROM documents)""")
 def claim_governance(t):
-    """Checked against a small brute force in the tests; level-by-level effects have no plain SQL form."""
     nodes, depends, supersedes, _ = claim_tables(t)
     edges = (depends.select(F.col("need").alias("src"), F.col("node").alias("dst"))
              .unionByName(supersedes.select(F.col("node").alias("src"), F.col("target").alias("dst"))))
@@ -87,7 +102,25 @@ def claim_governance(t):
     return gov.unionByName(cyclic.join(nodes, "node", "left_semi").select("node", F.lit("cyclic").alias("state"), F.lit(False).alias("superseded")))
 
 
-@query("claim_conflicts")
+def _conflicts_sql(stages: int) -> str:
+    """CTEs ending in ``out<stages>``(node) and ``gov<stages>``: each stage leaves out the parties that the one before found in conflict.
+
+    The demo needs two stages; a stage without open conflicts changes nothing.
+    """
+    parts = [f"""con AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ({CONTRADICTS}) WHERE a <> b), pre AS (SELECT node, need FROM dep UNION SELECT pre.node, dep.need FROM pre JOIN dep ON dep.node = pre.need),
+ out0 AS (SELECT 0::BIGINT AS node WHERE false)"""]
+    for i in range(1, stages + 1):
+        parts.append(f"""{_governance_sql(f'gov{i}', f'SELECT doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT node FROM cyc) AND doc_id NOT IN (SELECT node FROM out{i - 1})')},
+ iss{i} AS (SELECT node FROM gov{i} WHERE state IN ('governing', 'superseded')), both{i} AS (SELECT a, b FROM con WHERE a IN (SELECT node FROM iss{i}) AND b IN (SELECT node FROM iss{i})),
+ help{i} AS (SELECT a, b, sup.node AS issuer FROM both{i} JOIN sup ON sup.target IN (a, b) WHERE sup.node IN (SELECT node FROM iss{i})),
+ bad{i} AS (SELECT DISTINCT h.a, h.b, h.issuer FROM help{i} h JOIN pre ON pre.node = h.issuer AND pre.need IN (h.a, h.b)),
+ solved{i} AS (SELECT DISTINCT h.a, h.b FROM help{i} h LEFT JOIN bad{i} x ON x.a = h.a AND x.b = h.b AND x.issuer = h.issuer WHERE x.issuer IS NULL),
+ open{i} AS (SELECT a, b FROM both{i} EXCEPT SELECT a, b FROM solved{i}), out{i} AS (SELECT node FROM out{i - 1} UNION SELECT a FROM open{i} UNION SELECT b FROM open{i})""")
+    return ", ".join(parts)
+
+
+@query("claim_conflicts", f"""WITH RECURSIVE {CYCLIC_SQL}, {_conflicts_sql(4)} SELECT node, state FROM gov4 WHERE node >= 0
+ UNION ALL SELECT node, 'contradicted' FROM out3 UNION ALL SELECT node, 'cyclic' FROM cyc WHERE node IN (SELECT doc_id FROM documents)""")
 def claim_conflicts(t):
     nodes, depends, supersedes, contradicts = claim_tables(t)
     gov, conflicted, cyclic = gr.conflicts(nodes, depends, supersedes, contradicts)
@@ -133,17 +166,34 @@ def artifact_audiences(t):
     return demo.vault(t).select("doc_id", F.coalesce(F.array_join(aud, ","), F.lit("*")).alias("audiences"))
 
 
-@query("restriction_scan", f"""WITH r AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ['host', 'model'] ELSE CASE WHEN source = 'src3' THEN ['host'] ELSE ['host', 'model', 'staging'] END END AS au, 'n' || {HALF} AS origin, doc_id % 401 = 3 AS bad FROM documents),
- n AS (SELECT source, count(*) AS n FROM r WHERE au IS NOT NULL GROUP BY source), a AS (SELECT source, unnest(au) AS a FROM r WHERE au IS NOT NULL), c AS (SELECT source, a, count(*) AS c FROM a GROUP BY ALL)
- SELECT source, 'audience' AS kind, a AS value FROM c JOIN n USING (source) WHERE c = n UNION ALL SELECT DISTINCT source, 'origin', origin FROM r UNION ALL SELECT DISTINCT source, 'unresolved', 'true' FROM r WHERE bad""")
+# Records with controls at several depths: flags, lists of origins, notes and claims inside strings, and two kinds of damage.
+_BS = "chr(92)"
+RECORD = f"""CASE doc_id % 12 WHEN 0 THEN '{{"a": {{"b": [{{"Private": ' || CASE doc_id % 5 WHEN 0 THEN 'false' WHEN 1 THEN '"false"' WHEN 2 THEN '"no"' ELSE 'true' END || '}}]}}}}'
+ WHEN 1 THEN '{{"m": [[{{"Derivation_Sources": ["n' || {HALF} || '", "log/' || source || '"]}}], 7, null]}}'
+ WHEN 2 THEN '{{"message": {{"content": [{{"text": "---' || {_BS} || 'nprivate: ' || CASE WHEN doc_id % 7 = 0 THEN 'false' ELSE 'true' END || {_BS} || 'n---' || {_BS} || 'nbody"}}]}}}}'
+ WHEN 3 THEN '{{"deep": {{"er": [{{"note": "text' || {_BS} || 'n<!-- memlake:claim {{' || {_BS} || '"audiences' || {_BS} || '": [' || {_BS} || '"host' || {_BS} || '", ' || {_BS} || '"model' || {_BS} || '"]}} -->"}}]}}}}'
+ WHEN 4 THEN '{{"x": [{{"y": {{"derivation_sources": ' || CASE WHEN doc_id % 49 = 4 THEN '"n1"' WHEN doc_id % 49 = 8 THEN '["n1", 5]' ELSE '[]' END || '}}}}]}}'
+ WHEN 5 THEN CASE WHEN doc_id % 31 = 5 THEN '{{"cut": [1, 2' WHEN doc_id % 31 = 6 THEN '[{{"private": true}}]' ELSE '{{"cut": [1, 2]}}' END
+ WHEN 6 THEN '{{"a": {{"b": {{"c": {{"d": [{{"s": "<!-- memlake:provenance {{' || {_BS} || '"derivation_sources' || {_BS} || '": [' || {_BS} || '"p' || doc_id % 9 || {_BS} || '"' || CASE WHEN doc_id % 43 = 6 THEN '' ELSE ']' END || '}} -->"}}]}}}}}}}}}}'
+ ELSE '{{"text": "nothing to see", "n": ' || doc_id || ', "private_note": true}}' END"""
+RECORD_FILE = "'f' || doc_id % 97"
+
+
+@query("restriction_scan", rf"""WITH r AS (SELECT doc_id, {RECORD_FILE} AS file, {RECORD} AS raw FROM documents), ok AS (SELECT doc_id, file, raw FROM r WHERE json_valid(raw) AND substr(raw, 1, 1) = '{{'),
+ tree AS (SELECT doc_id, file, lower(key) AS k, e.type AS ty, e.value AS v, CASE WHEN e.type = 'VARCHAR' THEN e.atom->>'$' END AS s FROM ok, json_tree(raw) e),
+ aud AS (SELECT doc_id, file, ['host', 'local'] AS au FROM tree WHERE k = 'private' AND NOT coalesce(v = 'false' OR s = 'false', false)
+   UNION ALL SELECT doc_id, file, ['host', 'local'] FROM tree WHERE regexp_matches(s, '\A---\n(.*\n)*private: true\n')
+   UNION ALL SELECT doc_id, file, CAST((unnest(regexp_extract_all(s, '(?m)^<!-- memlake:claim (\{{[^\n]*\}}) -->\s*$', 1))::JSON)->'$.audiences' AS VARCHAR[]) FROM tree WHERE s IS NOT NULL),
+ n AS (SELECT file, count(*) AS n FROM aud GROUP BY file), c AS (SELECT file, a, count(*) AS c FROM (SELECT file, unnest(au) AS a FROM aud) GROUP BY ALL),
+ prov AS (SELECT file, unnest(regexp_extract_all(s, '(?m)^<!-- memlake:provenance (\{{[^\n]*\}}) -->\s*$', 1)) AS p FROM tree WHERE s IS NOT NULL),
+ lists AS (SELECT file, v AS l, ty FROM tree WHERE k = 'derivation_sources' UNION ALL SELECT file, (p::JSON)->'$.derivation_sources', 'ARRAY' FROM prov WHERE json_valid(p)),
+ items AS (SELECT file, e.type AS ty, e.atom->>'$' AS o FROM lists, json_each(l) e WHERE lists.ty = 'ARRAY'),
+ unresolved AS (SELECT file FROM r WHERE doc_id NOT IN (SELECT doc_id FROM ok) UNION SELECT file FROM lists WHERE ty <> 'ARRAY' UNION SELECT file FROM items WHERE ty <> 'VARCHAR' UNION SELECT file FROM prov WHERE NOT json_valid(p))
+ SELECT file, 'audience' AS kind, a AS value FROM c JOIN n USING (file) WHERE c = n UNION ALL SELECT DISTINCT file, 'origin', o FROM items WHERE ty = 'VARCHAR' UNION ALL SELECT file, 'unresolved', 'true' FROM unresolved""")
 def restriction_scan(t):
-    au = F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("host"), F.lit("model"))).when(
-        F.col("doc_id") % 3 == 2, F.when(F.col("source") == "src3", F.array(F.lit("host"))).otherwise(F.array(F.lit("host"), F.lit("model"), F.lit("staging"))))
-    r = t.documents.select("doc_id", "source", au.alias("au"), F.expr(f"'n' || {HALF}").alias("origin"))
-    shared = po.shared_values(r, "source", "au").select("source", F.lit("audience").alias("kind"), "value")
-    origins = r.select("source", F.lit("origin").alias("kind"), F.col("origin").alias("value")).distinct()
-    bad = r.where("doc_id % 401 = 3").select("source", F.lit("unresolved").alias("kind"), F.lit("true").alias("value")).distinct()
-    return shared.unionByName(origins).unionByName(bad)
+    """What the records of each file restrict, wherever in a record it stands."""
+    records = t.documents.select(F.expr(RECORD_FILE).alias("file"), F.expr(RECORD).alias("raw"))
+    return po.restrictions(records, "file", "raw", "memlake")
 
 
 @query("audience_intersection", f"""WITH {AUD_SQL}, p AS (SELECT doc_id, doc_id AS of_doc FROM documents UNION SELECT doc_id, {HALF} FROM documents UNION SELECT doc_id, CAST(floor(doc_id / 4) AS BIGINT) FROM documents),

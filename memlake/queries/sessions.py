@@ -132,7 +132,7 @@ def active_revision(t):
 @query("frozen_cutoff", """WITH q AS (SELECT item_id, item_id * 23 AS cutoff FROM benchmark) SELECT item_id, cutoff, count(doc_id) AS visible, max(doc_id) AS last_sequence FROM q LEFT JOIN documents ON doc_id < cutoff GROUP BY ALL""")
 def frozen_cutoff(t):
     q = t.benchmark.select("item_id", (F.col("item_id") * 23).alias("cutoff"))
-    return ss.visible_before(t.documents, "doc_id", q, "item_id", "cutoff", 1000)
+    return ss.visible_before(t.documents, "doc_id", q, "item_id", "cutoff")
 
 
 @query("ack_prefix", f"""WITH {HOOKS}, f AS (SELECT strftime(ts, '%Y-%m-%d') AS file, value >= 0.2 AS captured, strlen(data) + 1 AS size, sum(strlen(data) + 1) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS e FROM hooks)
@@ -237,7 +237,7 @@ def running_ceiling(t):
     r = t.orders.select(F.col("o_orderkey").alias("call"), F.lit(0).alias("kind"), F.col("o_orderdate").alias("ts"), cents("o_totalprice").alias("delta"))
     s = t.lineitem.groupBy(F.col("l_orderkey").alias("call")).agg(F.max("l_shipdate").alias("ts"), F.sum(cents("l_extendedprice")).alias("settled"))
     settle = s.join(r.select("call", "delta"), "call").select("call", F.lit(1).alias("kind"), "ts", (F.col("settled") - F.col("delta")).alias("delta"))
-    return ss.ceiling(r.unionByName(settle), F.date_format("ts", "yyyy-MM-dd")).select("call", "kind", "exposure")
+    return ss.ceiling(r.unionByName(settle)).select("call", "kind", "exposure")
 
 
 # -- joins on sessions ------------------------------------------------------------------------------

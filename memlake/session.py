@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder.
+
+    Unlike a checkpoint it leaves nothing of the old plan behind: a checkpoint hands its constraints on, and in a long
+    loop the optimizer's work on them grows with every round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` was measured (never past ``rows`` + 1) and is small enough to broadcast."""
     each = F.octet_length(F.to_json(F.struct("*")))

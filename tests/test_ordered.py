@@ -65,3 +65,36 @@ def test_greedy_budget_is_exact_under_skew(spark):
                     used, n = used + s, n + 1
                     want.add((k, d))
         assert got == want
+
+
+def _specs():
+    return {"sum_in": ("sum", F.col("v"), True), "sum_ex": ("sum", F.col("v"), False), "max_ex": ("max", F.col("v"), False), "min_in": ("min", F.col("v"), True),
+            "cnt": ("count", F.col("v"), True), "last": ("last", F.col("v"), True), "lag": ("lag", F.col("v"), False)}
+
+
+def _plain(df, order, reverse):
+    w = W.orderBy(*[F.col(c).desc() if reverse else F.col(c) for c in order])
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return df.select("*", zero(F.sum("v").over(upto)).alias("sum_in"), zero(F.sum("v").over(before)).alias("sum_ex"), F.max("v").over(before).alias("max_ex"), F.min("v").over(upto).alias("min_in"),
+                     F.count("v").over(upto).alias("cnt"), F.last("v", True).over(upto).alias("last"), F.lag("v").over(w).alias("lag"))
+
+
+def test_rows_without_a_key_are_cut_at_quantiles(spark, monkeypatch):
+    from memlake.operators import ordered
+
+    rnd = random.Random(2)
+    # One day holds most rows, some have no day at all.
+    rows = [(rnd.choice(["2024-01-02"] * 7 + ["2024-01-01", "2024-01-09", None]), i, rnd.choice([None, 1, 2, 7])) for i in range(900)]
+    df = spark.createDataFrame(rows, "day string, s int, v int")
+    for fan in (64, 2):  # one level of carries, and three
+        monkeypatch.setattr(ordered, "FAN", fan)
+        for reverse in (False, True):
+            got = running(df, [], ["day", "s"], None, _specs(), reverse)
+            assert sorted(map(str, got.collect())) == sorted(map(str, _plain(df, ["day", "s"], reverse).collect()))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            windows = [line for line in plan.splitlines() if " Window [" in line]
+            assert windows and all("[__block" in line.split("windowspecdefinition(", 1)[1] or "__group" in line for line in windows)
+    blocks, n = ordered._ranged(df, ["day", "s"])
+    assert blocks.where("day = '2024-01-02'").select("__block").distinct().count() >= n // 2
+    assert running(df.limit(0), [], ["day", "s"], None, _specs()).collect() == []
