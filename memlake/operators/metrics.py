@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from memlake.operators.ordered import value_at_index
+from memlake.operators.ordered import running, value_at_index
 
 def count_rows():
     return F.count(F.lit(1))
@@ -88,27 +91,73 @@ def dense_grid(tasks: DataFrame, key: str, baselines: list[str], traces: DataFra
                        F.when(F.col("__n").isNull(), "missing attempt").when(F.col("__n") > 1, "duplicate trace").otherwise("").alias("error"))
 
 
+def _named_reads(hits: DataFrame, rows: DataFrame, session: str, before: int, horizon: int) -> DataFrame:
+    """(session, __name, __rt): each tool input with each of the file names shown around its time that it contains.
+
+    Names and inputs meet by (session, time bucket of the horizon's length); the names of a bucket become one automaton,
+    through which its inputs pass one by one.
+    """
+    bucket = lambda t: F.floor(t / horizon)
+    names = (hits.select(session, "__name", F.explode(F.sequence(bucket(F.col("__t") - before), bucket(F.col("__t") + horizon))).alias("__b"))
+             .where("__name IS NOT NULL").distinct().select(session, "__b", F.lit(0).alias("__kind"), "__name", F.lit(None).cast("double").alias("__rt"), F.lit(None).cast("string").alias("__text")))
+    inputs = (rows.where("NOT is_prompt AND tool_text IS NOT NULL").select(session, bucket(F.col("__rt")).alias("__b"), F.lit(1).alias("__kind"),
+                                                                          F.lit(None).cast("string").alias("__name"), "__rt", F.col("tool_text").alias("__text")))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        key, names, machine = None, set(), None
+        for b in batches:
+            out = []
+            for who, at, kind, name, rt, text in zip(*(b.column(c).to_pylist() for c in (session, "__b", "__kind", "__name", "__rt", "__text"))):
+                if (who, at) != key:
+                    key, names, machine = (who, at), set(), None
+                if kind == 0:
+                    names.add(name)
+                    continue
+                if machine is None and names:
+                    machine = ahocorasick.Automaton()
+                    for n in names - {""}:
+                        machine.add_word(n, n)
+                    machine.make_automaton()
+                found = {""} & names  # a path that ends with a slash: any input will do
+                if machine is not None and len(machine):
+                    found |= {n for _, n in machine.iter(text)}
+                out += [(who, n, rt) for n in found]
+            if out:
+                who, n, rt = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(who, b.schema.field(session).type), pa.array(n, pa.string()), pa.array(rt, pa.float64())], names=[session, "__name", "__rt"])
+
+    schema = f"`{session}` {hits.schema[session].dataType.simpleString()}, __name string, __rt double"
+    return (names.unionByName(inputs).repartition(session, "__b").sortWithinPartitions(session, "__b", "__kind").mapInArrow(meet, schema))
+
+
 def opened_after(hits: DataFrame, rows: DataFrame, session: str, before: int, horizon: int, grace: int) -> DataFrame:
     """For each shown path: was it read by a tool before the next prompt?
 
-    ``hits`` (id, session, ts, path); ``rows`` (session, ts, is_prompt, tool_text). Both sides are cut
-    into time buckets of the horizon's length, so the interval join is an equi-join on (session,
-    bucket) and a busy session is spread over its buckets. Opened means that the first matching tool
-    input comes before the first later prompt, so two minima per hit suffice.
+    ``hits`` (id, session, ts, path); ``rows`` (session, ts, is_prompt, tool_text). A read is a tool input that contains the
+    path's file name, from ``before`` seconds ahead of the hit up to ``horizon`` after it; the next prompt comes more than
+    ``grace`` seconds after it. Hits and reads of one file name are swept together from the end, and so are hits and
+    prompts of one session: each hit picks up the nearest later one, and no row stands for a pair of a hit and an event.
     """
-    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-    h = (hits.withColumn("__t", sec("ts"))
-         .withColumn("__b", F.explode(F.sequence(F.floor((F.col("__t") - before) / horizon), F.floor((F.col("__t") + horizon) / horizon))))
-         .select("id", session, "__t", "__b", "path", F.element_at(F.split("path", "/"), -1).alias("__name")))
-    r = rows.select(session, sec("ts").alias("__rt"), "is_prompt", "tool_text").withColumn("__b", F.floor(F.col("__rt") / horizon))
-    near = (F.col("__rt") >= F.col("__t") - before) & (F.col("__rt") <= F.col("__t") + horizon)
-    joined = h.join(r, [session, "__b"]).where(near)
-    reads = ~F.col("is_prompt") & (F.col("tool_text").contains(F.col("path")) | F.col("tool_text").contains(F.col("__name")))
-    first = joined.groupBy("id").agg(
-        F.min(F.when(reads, F.col("__rt"))).alias("__read"),
-        F.min(F.when(F.col("is_prompt") & (F.col("__rt") > F.col("__t") + grace), F.col("__rt"))).alias("__next"))
-    opened = F.col("__read").isNotNull() & (F.col("__next").isNull() | (F.col("__read") < F.col("__next")))
-    return hits.join(first, "id", "left").select(*hits.columns, F.coalesce(opened, F.lit(False)).alias("opened"))
+    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    h = hits.select("id", session, sec("ts").alias("__t"), F.element_at(F.split("path", "/"), -1).alias("__name"))
+    r = rows.select(session, sec("ts").alias("__rt"), "is_prompt", "tool_text")
+    block = F.floor(F.col("__at") / horizon)
+    none = F.lit(None)
+
+    def nearest(events: DataFrame, asked: DataFrame, keys: list[str], first: int, name: str) -> DataFrame:
+        """(id, name): the time of the nearest event at or after each asked time; ``first`` orders equal times."""
+        e = events.select(*keys, F.col("__rt").alias("__at"), F.lit(1 - first).alias("__kind"), none.cast(hits.schema["id"].dataType).alias("id"), "__rt")
+        q = asked.select(*keys, "__at", F.lit(first).alias("__kind"), "id", none.cast("double").alias("__rt"))
+        swept = running(e.unionByName(q), keys, ["__at", "__kind"], block, {name: ("last", F.col("__rt"), True)}, reverse=True)
+        return swept.where("id IS NOT NULL").select("id", name)
+
+    reads = nearest(_named_reads(h, r, session, before, horizon), h.withColumn("__at", F.col("__t") - before), [session, "__name"], 0, "__read")
+    prompts = nearest(r.where("is_prompt"), h.withColumn("__at", F.col("__t") + grace), [session], 1, "__next")
+    opened = (F.col("__read") <= sec("ts") + horizon) & (F.col("__next").isNull() | (F.col("__read") < F.col("__next")))
+    return (hits.join(reads, "id", "left").join(prompts, "id", "left")
+            .select(*hits.columns, F.coalesce(opened, F.lit(False)).alias("opened")))
 
 
 def _few(df: DataFrame, columns: list[str], most: int, what: str) -> list:

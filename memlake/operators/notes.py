@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,63 @@ def related(notes: DataFrame, keywords: list[str], tags: list[str]) -> DataFrame
     return notes.withColumn("score", score.cast("bigint"))
 
 
+PATTERNS = 20_000  # keywords of one automaton; more are looked for in several passes
+
+
+def keyword_points(notes: DataFrame, key: str, words: DataFrame, patterns: int = PATTERNS) -> DataFrame:
+    """(key, keyword, points): what each keyword of ``words`` (keyword, lower case) earns in each note that holds it.
+
+    File name 100 for the whole, 50 for a part; each alias 80 or 40; title 20 and preview 5. All keywords of a pass are
+    looked for at once by one automaton, so a note is read once however many keyword sets there are.
+    """
+    texts = notes.select(key, F.lower("stem").alias("stem"), F.transform("aliases", lambda a: F.lower(a)).alias("aliases"), F.lower("title").alias("title"), F.lower("preview").alias("preview"))
+    words = words.select("keyword").where("keyword <> ''").distinct()
+    passes = -(-words.count() // patterns)
+    out = None
+    for i in range(max(passes, 1)):
+        some = words.where(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == i) if passes > 1 else words
+        sent = [r.keyword for r in some.toLocalIterator()]  # about ``patterns`` words
+
+        def score(batches: Iterator[pa.RecordBatch], sent: list[str] = sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for w in sent:
+                machine.add_word(w, w)
+            machine.make_automaton()
+            for b in batches:
+                rows: list[int] = []
+                keywords: list[str] = []
+                points: list[int] = []
+                fields = [b.column(c).to_pylist() for c in ("stem", "title", "preview", "aliases")]
+                for k, (stem, title, preview, aliases) in enumerate(zip(*fields)):
+                    earned: dict[str, int] = {}
+                    for text, whole, part in ((stem, 100, 50), (title, 20, 20), (preview, 5, 5), *((a, 80, 40) for a in aliases or ())):
+                        for w in {w for _, w in machine.iter(text)} if text and sent else ():
+                            earned[w] = earned.get(w, 0) + (whole if w == text else part)
+                    rows += [k] * len(earned)
+                    keywords += earned
+                    points += earned.values()
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(keywords, pa.string()), pa.array(points, pa.int64())], names=[key, "keyword", "points"])
+
+        found = texts.mapInArrow(score, f"`{key}` {notes.schema[key].dataType.simpleString()}, keyword string, points bigint")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def related_sets(notes: DataFrame, key: str, owner: str, keywords: DataFrame, tags: DataFrame) -> DataFrame:
+    """(owner, key, score): notes related to each of many keyword sets, scored as ``related`` does for one.
+
+    ``keywords`` (owner, keyword) and ``tags`` (owner, tag) are tables; a keyword counts as often as its set names it, a tag
+    30 points once. Blank keywords say nothing. Notes without points give no row.
+    """
+    asked = keywords.select(owner, F.lower("keyword").alias("keyword"))
+    earned = keyword_points(notes, key, asked).join(asked, "keyword").select(owner, key, "points")
+    tagged = (notes.select(key, F.explode(F.array_distinct("tags")).alias("tag")).join(tags.select(owner, "tag").distinct(), "tag")
+              .select(owner, key, F.lit(30).cast("bigint").alias("points")))
+    return earned.unionByName(tagged).groupBy(owner, key).agg(F.sum("points").alias("score"))
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     j = old.withColumnRenamed(digest, "__o").join(new.withColumnRenamed(digest, "__n"), key, "full_outer")
     change = F.when(F.col("__o").isNull(), "added").when(F.col("__n").isNull(), "deleted").when(F.col("__o") != F.col("__n"), "changed")

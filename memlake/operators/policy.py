@@ -114,8 +114,10 @@ def restrictions(records: DataFrame, key: str, raw: str, product: str) -> DataFr
     and provenance that cannot be read mark the key ``unresolved``: what was found still restricts.
     A null record counts as one that cannot be read.
     """
-    # The object itself first: its parts carry their names from here on.
-    level = durable(records.select(key, F.lit(None).cast("string").alias("name"), F.try_parse_json(F.col(raw)).alias("v")))
+    # Parsed inside a list: by itself the parser would stop at the record's end and pass over what follows it.
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]")))
+    alone = F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    level = durable(records.select(key, alone.alias("v")))
     whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     unread = level.where(~whole).select(key, F.array().cast("array<array<string>>").alias("allowed"), F.array().cast("array<string>").alias("origins"), F.lit(True).alias("unresolved"))
     facts, level = [durable(unread)], level.where(whole)

@@ -54,3 +54,8 @@ def similar(vectors: DataFrame, queries: DataFrame, column: str, query: str, dim
     score = F.round(dot(column, query, dim) / (F.col("__nv") * F.col("__nq")), 6)
     scored = hold(pairs, score.alias("score")).drop(column, query, "__nv", "__nq")
     return scored if floor is None else scored.where(F.col("score") >= floor)
+
+
+def with_score(pairs: DataFrame, column: str, query: str, dim: int) -> DataFrame:
+    """``pairs`` of two vectors with their cosine, rounded as everywhere."""
+    return hold(pairs, F.round(cosine(column, query, dim), 6).alias("score"))

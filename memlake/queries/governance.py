@@ -173,8 +173,8 @@ RECORD = f"""CASE doc_id % 12 WHEN 0 THEN '{{"a": {{"b": [{{"Private": ' || CASE
  WHEN 2 THEN '{{"message": {{"content": [{{"text": "---' || {_BS} || 'nprivate: ' || CASE WHEN doc_id % 7 = 0 THEN 'false' ELSE 'true' END || {_BS} || 'n---' || {_BS} || 'nbody"}}]}}}}'
  WHEN 3 THEN '{{"deep": {{"er": [{{"note": "text' || {_BS} || 'n<!-- memlake:claim {{' || {_BS} || '"audiences' || {_BS} || '": [' || {_BS} || '"host' || {_BS} || '", ' || {_BS} || '"model' || {_BS} || '"]}} -->"}}]}}}}'
  WHEN 4 THEN '{{"x": [{{"y": {{"derivation_sources": ' || CASE WHEN doc_id % 49 = 4 THEN '"n1"' WHEN doc_id % 49 = 8 THEN '["n1", 5]' ELSE '[]' END || '}}}}]}}'
- WHEN 5 THEN CASE WHEN doc_id % 31 = 5 THEN '{{"cut": [1, 2' WHEN doc_id % 31 = 6 THEN '[{{"private": true}}]' ELSE '{{"cut": [1, 2]}}' END
- WHEN 6 THEN '{{"a": {{"b": {{"c": {{"d": [{{"s": "<!-- memlake:provenance {{' || {_BS} || '"derivation_sources' || {_BS} || '": [' || {_BS} || '"p' || doc_id % 9 || {_BS} || '"' || CASE WHEN doc_id % 43 = 6 THEN '' ELSE ']' END || '}} -->"}}]}}}}}}}}}}'
+ WHEN 5 THEN CASE WHEN doc_id % 31 = 5 THEN '{{"cut": [1, 2' WHEN doc_id % 31 = 6 THEN '[{{"private": true}}]' WHEN doc_id % 31 = 7 THEN '{{"cut": [1, 2]}}}}' ELSE '{{"cut": [1, 2]}}' END
+ WHEN 6 THEN '{{"a": {{"b": {{"c": {{"d": [{{"s": "<!-- memlake:provenance {{' || {_BS} || '"derivation_sources' || {_BS} || '": [' || {_BS} || '"p' || doc_id % 9 || {_BS} || '"' || CASE WHEN doc_id % 43 = 6 THEN '' ELSE ']' END || '}} -->"}}]}}}}}}}}'
  ELSE '{{"text": "nothing to see", "n": ' || doc_id || ', "private_note": true}}' END"""
 RECORD_FILE = "'f' || doc_id % 97"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import fixed, text as tx
-from memlake.operators import index as ix, passages as ps, vectors as vx
+from memlake.operators import cells as cx, index as ix, passages as ps, vectors as vx
 from memlake.plans.settings import Settings
 from memlake.queries import demo
 from memlake.queries.demo import NOTES, lit, sql_list, terms_sql
@@ -40,19 +40,31 @@ def match_sql(qt: str, qid: str, out: str, limit: int | None) -> str:
 _STORED: dict[tuple, str] = {}
 
 
-def stored_index(t) -> ix.Index:
-    """The stored index of the documents: built by the first query that asks, read by all others.
+def _kept(t, table: str, name: str, build) -> str:
+    """Folder of an index over ``table``: built by the first query that asks, read by all others.
 
     It belongs to the application and to the very files of the table (their paths, sizes and times).
     """
-    files = t.spark.read.format("binaryFile").load(f"{t.dir}/documents.parquet").select("path", "length", "modificationTime")
+    files = t.spark.read.format("binaryFile").load(f"{t.dir}/{table}.parquet").select("path", "length", "modificationTime")
     state = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.count(F.lit(1))).first()
-    key = (t.spark.sparkContext.applicationId, t.dir, *state)
+    key = (t.spark.sparkContext.applicationId, t.dir, name, *state)
     if key not in _STORED:
-        path = scratch(t.spark, "index")
-        ix.store(ix.tokenized(t.documents, ["doc_id", "source"], {f: F.expr(e) for f, e in FIELDS.items()}), ["doc_id", "source"], "doc_id", path)
+        path = scratch(t.spark, name)
+        build(path)
         _STORED[key] = path
-    return ix.load(t.spark, _STORED[key])
+    return _STORED[key]
+
+
+def stored_index(t) -> ix.Index:
+    """The stored keyword index of the documents."""
+    fields = {f: F.expr(e) for f, e in FIELDS.items()}
+    return ix.load(t.spark, _kept(t, "documents", "index", lambda path: ix.store(ix.tokenized(t.documents, ["doc_id", "source"], fields), ["doc_id", "source"], "doc_id", path)))
+
+
+def stored_cells(t) -> cx.Cells:
+    """The stored vector index of the embeddings."""
+    path = _kept(t, "embeddings", "cells", lambda path: cx.build(t.embeddings, "vec_id", "embedding", DIM, path))
+    return cx.load(t.spark, path, "embedding", DIM)
 
 
 @query("build_postings", f"""WITH {POST}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term)
@@ -158,8 +170,7 @@ def label_centroids(t):
 def dense_lists(t, k: int):
     """Best ``k`` vectors of the whole table for each label centroid."""
     q = label_centroids(t).withColumnRenamed("label", "query_label")
-    scored = vx.similar(t.embeddings, q, "embedding", "centroid", DIM)
-    return ix.top(scored, ["query_label"], [F.desc("score"), F.asc("vec_id")], k)
+    return cx.nearest(stored_cells(t), q, ["query_label"], "centroid", "vec_id", k)
 
 
 DENSE_SQL = f"{CENTROID_SQL}, dn AS (SELECT c.label AS query_label, e.label, vec_id, {COSINE_SQL} AS score FROM embeddings e, cen c), dense AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS pos FROM dn)"

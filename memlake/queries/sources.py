@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from memlake.functions import packs as pk, text as tx
-from memlake.operators import index as ix, metrics as mt, vectors as vx
+from memlake.operators import cells as cx, index as ix, metrics as mt, vectors as vx
 from memlake.operators.ordered import number_rows, running
 from memlake.operators.recall import in_collections
 from memlake.queries import demo
 from memlake.queries.demo import HALF, HOOKS, NL, NOTES, lit
 from memlake.queries.evals import LOG
 from memlake.queries.packs import CHUNKS, PASSAGE
-from memlake.queries.retrieval import CENTROID_SQL, COSINE_SQL, DIM, label_centroids
+from memlake.queries.retrieval import CENTROID_SQL, COSINE_SQL, DIM, ITEM_Q, label_centroids, stored_cells
 from memlake.queries.sessions import ENTRY_COLS, entries
 from memlake.queries.text import INDEX, note_index_frame
 from memlake.registry import query
@@ -303,7 +303,7 @@ def scope_union(t):
     n = demo.notes(t)
     part = lambda lang, k: n.where(F.col("lang") == lang).select("collection", F.struct(F.lit(k).alias("k"), "doc_id").alias("at"))
     first = part("de", 0).unionByName(part("es", 1)).groupBy("collection").agg(F.min("at").alias("at")).select("collection", "at.k", "at.doc_id")
-    return number_rows(first, [], ["k", "doc_id"], F.col("k"), "pos").select("collection", "pos")
+    return number_rows(first, [], ["k", "doc_id"], None, "pos").select("collection", "pos")
 
 
 @query("key_set_equality", """WITH a AS (SELECT source, doc_id FROM documents), b AS (SELECT source, doc_id FROM documents WHERE NOT (source = 'src3' AND doc_id % 50 = 3) UNION ALL SELECT source, doc_id FROM documents WHERE source = 'src4' AND doc_id % 50 = 4 UNION ALL SELECT 'src5', -1),
@@ -401,24 +401,31 @@ def folder_lookup(t):
     return t.customer.join(folders, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("default")).alias("folder"))
 
 
-KW, TG = ["n1", "the", "src1-5", "alt de"], ["en", "decision"]
-_HAS = lambda c, part, whole: " + ".join(f"CASE WHEN {c} = '{k}' THEN {whole} WHEN contains({c}, '{k}') THEN {part} ELSE 0 END" for k in KW)
+# One set per benchmark item, from the first words of its text, and one more that names notes.
+OWN_SET, TG = [(-1, k) for k in ("n1", "the", "src1-5", "alt de")], [(-1, "en"), (-1, "decision"), (3, "fr"), (4, "decision")]
+SETS_SQL = f"""{ITEM_Q}, ks AS (SELECT item_id, qterm AS k FROM qt UNION ALL SELECT * FROM (VALUES {', '.join(map(str, OWN_SET))})), tg AS (SELECT * FROM (VALUES {', '.join(map(str, TG))}) t(item_id, tag))"""
 
 
-@query("related_notes", INDEX + f""", s AS (SELECT doc_id, {_HAS('lower(stem)', 50, 100)} + coalesce(list_sum(list_transform(CASE WHEN aliases = '' THEN []::VARCHAR[] ELSE string_split(lower(aliases), '|') END, lambda a: {_HAS('a', 40, 80)})), 0)
- + 30 * len(list_filter(string_split(tags, '|'), lambda t: t IN ('en', 'decision'))) + {" + ".join(f"CASE WHEN contains(lower(title), '{k}') THEN 20 ELSE 0 END + CASE WHEN contains(lower(preview), '{k}') THEN 5 ELSE 0 END" for k in KW)} AS score FROM note_index)
- SELECT doc_id, score::BIGINT AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+@query("related_notes", INDEX + f""", {SETS_SQL}, al AS (SELECT doc_id, unnest(string_split(lower(aliases), '|')) AS a FROM note_index WHERE aliases <> ''),
+ pt AS (SELECT item_id, doc_id, CASE WHEN lower(stem) = k THEN 100 WHEN contains(lower(stem), k) THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), k) THEN 20 ELSE 0 END + CASE WHEN contains(lower(preview), k) THEN 5 ELSE 0 END AS p FROM note_index, ks
+  UNION ALL SELECT item_id, doc_id, CASE WHEN a = k THEN 80 ELSE 40 END FROM al JOIN ks ON contains(a, k)
+  UNION ALL SELECT item_id, doc_id, 30 FROM (SELECT DISTINCT doc_id, unnest(string_split(tags, '|')) AS tag FROM note_index) JOIN tg USING (tag)),
+ s AS (SELECT item_id, doc_id, sum(p)::BIGINT AS score FROM pt GROUP BY ALL HAVING sum(p) > 0)
+ SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM s) WHERE pos <= 50""")
 def related_notes(t):
-    from memlake.operators.notes import related
-    # The cut comes first: a filter on the score would be pushed down and work the score out twice.
-    return related(note_index_frame(t), KW, TG).orderBy(F.desc("score"), "doc_id").limit(50).where("score > 0").select("doc_id", "score")
+    from memlake.operators.notes import related_sets
+    make = t.spark.createDataFrame
+    asked = ix.query_terms(t.benchmark, ["item_id"], tx.keyword_query(F.col("text"))).select("item_id", F.col("qterm").alias("keyword"))
+    keywords = asked.unionByName(make(OWN_SET, "item_id bigint, keyword string"))
+    scored = related_sets(note_index_frame(t), "doc_id", "item_id", keywords, make(TG, "item_id bigint, tag string"))
+    return ix.top(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 50).select("item_id", "doc_id", "score", "pos")
 
 
 @query("link_suggestions", f"""WITH {CENTROID_SQL}, s AS (SELECT c.label AS concept, vec_id, e.label AS own, {COSINE_SQL} AS score FROM embeddings e, cen c), k AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY score DESC, vec_id) AS rn FROM s WHERE score >= 0.1)
  SELECT concept, vec_id, score FROM k WHERE rn <= 5 AND vec_id <> concept AND own <> 9 AND vec_id % 10 <> concept""")
 def link_suggestions(t):
     q = label_centroids(t).withColumnRenamed("label", "concept")
-    best = ix.top(vx.similar(t.embeddings, q, "embedding", "centroid", DIM, floor=0.1), ["concept"], [F.desc("score"), F.asc("vec_id")], 5)
+    best = cx.nearest(stored_cells(t), q, ["concept"], "centroid", "vec_id", 5, floor=0.1)
     linked = t.embeddings.select("vec_id", (F.col("vec_id") % 10).cast("int").alias("concept"))
     return best.where("vec_id <> concept AND label <> 9").join(linked, ["vec_id", "concept"], "left_anti").select("concept", "vec_id", "score")
 

@@ -46,11 +46,11 @@ def _arrivals(t, slices):
         yield sj.tail(t.spark, path, rows.schema)
 
 
-def _drain(t, slices, job):
+def _drain(t, slices, job, timers: bool = False):
     """Rows that ``job`` has written once all slices are through."""
     out, checkpoint = scratch(t.spark, "out"), scratch(t.spark, "checkpoint")
     for stream in _arrivals(t, slices):
-        rows = sj.drain(job(stream), out, checkpoint)
+        rows = sj.drain(job(stream), out, checkpoint, timers=timers)
     return rows
 
 
@@ -87,37 +87,50 @@ def stream_session_windows(t):
     return out.where("user_id >= 0").select("user_id", sj.from_utc("first_ts").alias("first_ts"), sj.from_utc("last_ts").alias("last_ts"), "events")
 
 
+GAP_H = 6
+# Places as the fold counts them: a stop ends its place, an accepted event after an idle gap begins one.
 FOLD = f"""{HOOKS}, a AS (SELECT *, floor(event_id * 3 / (SELECT count(*) FROM events)) AS sl FROM hooks),
- b AS (SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY session_id ORDER BY sl, k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM a)"""
+ b0 AS (SELECT *, max(ts) OVER (PARTITION BY session_id ORDER BY sl, k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM a),
+ b1 AS (SELECT *, coalesce(ts < high, false) AS late, ts >= high + INTERVAL {GAP_H} HOUR AS gap FROM b0),
+ b AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER w + sum(CASE WHEN event = 'Stop' AND NOT late THEN 1 ELSE 0 END) OVER w - CASE WHEN event = 'Stop' AND NOT late THEN 1 ELSE 0 END AS place
+   FROM b1 WINDOW w AS (PARTITION BY session_id ORDER BY sl, k, event_id ROWS UNBOUNDED PRECEDING))"""
 
 
-def _final_state(t):
-    slices = _slices(t, demo.hooks(t).select("event_id", "session_id", "event", "ts", "k"))
-    rows = _updates(t, slices, lambda s: sj.session_state(s, ["k", "event_id"]))
-    return rows.groupBy("session_id").agg(F.max_by(F.struct("processed", "stale", "prompts", "stops"), "at").alias("s")).select("session_id", "s.*")
+def _closed(t):
+    """Every closed session: all are, once the watermark has passed the last event."""
+    rows = demo.hooks(t).select("event_id", "session_id", "event", "ts", "k")
+    slices = _slices(t, rows, flush={"session_id": -1, "event_id": -1, "event": "SessionStart", "k": 0})
+    out = _drain(t, slices, lambda s: sj.session_state(s, ["k", "event_id"], "1 hour", f"{GAP_H} hours"), timers=True)
+    return out.where("session_id >= 0")
 
 
-@query("stream_session_state", f"""WITH {FOLD} SELECT session_id, count(*) AS processed, count(CASE WHEN NOT late AND event = 'UserPromptSubmit' THEN 1 END) AS prompts, count(CASE WHEN NOT late AND event = 'Stop' THEN 1 END) AS stops FROM b GROUP BY session_id""")
+@query("stream_session_state", f"""WITH {FOLD} SELECT session_id, min(CASE WHEN NOT late THEN ts END) AS first_ts, max(CASE WHEN NOT late THEN ts END) AS last_ts, count(*) AS processed,
+ count(CASE WHEN NOT late AND event = 'UserPromptSubmit' THEN 1 END) AS prompts, CASE WHEN bool_or(event = 'Stop' AND NOT late) THEN 'stop' ELSE 'idle' END AS reason FROM b GROUP BY session_id, place""")
 def stream_session_state(t):
-    return _final_state(t).select("session_id", "processed", "prompts", "stops")
+    return _closed(t).select("session_id", sj.from_utc("first_ts").alias("first_ts"), sj.from_utc("last_ts").alias("last_ts"), "processed", "prompts", "reason")
 
 
 @query("stream_late_drop", f"WITH {FOLD} SELECT session_id, count(*) AS processed, count(CASE WHEN late THEN 1 END) AS stale FROM b GROUP BY session_id")
 def stream_late_drop(t):
-    return _final_state(t).select("session_id", "processed", "stale")
+    return _closed(t).groupBy("session_id").agg(F.sum("processed").alias("processed"), F.sum("stale").alias("stale"))
 
 
+# The provider asks for a pause up to this time: failures before it use up no attempt.
+RESUME = "2024-01-10T06:00:00Z"
 RETRY = f"""{HOOKS}, q AS (SELECT session_id, event, ts, event_id, count(CASE WHEN event = 'Stop' THEN 1 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS run
   FROM hooks WHERE event IN ('Stop', 'PostToolUseFailure')),
  l AS (SELECT session_id, max(run) AS run FROM q GROUP BY session_id),
- a AS (SELECT session_id, count(CASE WHEN event = 'PostToolUseFailure' THEN 1 END) AS attempts FROM q JOIN l USING (session_id, run) GROUP BY session_id)"""
+ a0 AS (SELECT session_id, event = 'PostToolUseFailure' AND ts >= TIMESTAMP '2024-01-10 06:00:00' AS counts, ts FROM q JOIN l USING (session_id, run)),
+ a1 AS (SELECT session_id, count(CASE WHEN counts THEN 1 END) AS attempts, max(CASE WHEN counts THEN ts END) AS last FROM a0 GROUP BY session_id),
+ a AS (SELECT *, CASE WHEN attempts = 0 THEN 0 ELSE least(3600, 60 * pow(2, least(attempts - 1, 6))) END::BIGINT AS delay FROM a1)"""
 
 
-@query("stream_retry_timers", f"WITH {RETRY} SELECT session_id, attempts, attempts >= 8 AS parked, CASE WHEN attempts = 0 THEN 0 ELSE least(3600, 60 * pow(2, least(attempts - 1, 6))) END::BIGINT AS delay FROM a")
+@query("stream_retry_timers", f"WITH {RETRY} SELECT session_id, attempts, attempts >= 8 AS parked, delay, CASE WHEN attempts BETWEEN 1 AND 7 THEN greatest(last + to_seconds(delay), TIMESTAMP '2024-01-10 06:00:00') END AS due FROM a")
 def stream_retry_timers(t):
     slices = _slices(t, demo.hooks(t).where("event IN ('Stop', 'PostToolUseFailure')").select("event_id", "session_id", "event", "ts"))
-    rows = _updates(t, slices, lambda s: sj.retry_timers(s, "1 hour"))
-    return rows.groupBy("session_id").agg(F.max_by(F.struct("attempts", "parked", "delay"), "at").alias("s")).select("session_id", "s.*")
+    rows = _updates(t, slices, lambda s: sj.retry_timers(s, "1 hour", resume_after=RESUME))
+    last = rows.groupBy("session_id").agg(F.max_by(F.struct("attempts", "parked", "delay", "due"), "at").alias("s")).select("session_id", "s.*")
+    return last.withColumn("due", sj.from_utc("due"))
 
 
 def _failures(t):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions.text import json_string
-from memlake.operators.ordered import running
+from memlake.operators.ordered import null_safe, running
 
 def count_rows():
     return F.count(F.lit(1))
@@ -68,17 +68,22 @@ def append_run(rows: DataFrame, root: str, detail: list[str]) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/last")
 
 
+UPSERT_BUCKETS = 256
+
+
 def upsert(batch: DataFrame, root: str, key: str) -> None:
-    """Apply a delivered batch once: operations already in the table change nothing."""
+    """Apply a delivered batch once: operations already in the table change nothing.
+
+    The table is kept in buckets of the operation's hash (column ``__bucket``); only the buckets that the batch touches
+    are read. Rows without an operation id are one operation.
+    """
     spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(root).select(key)
-        fresh = batch.dropDuplicates([key]).join(known, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = batch.dropDuplicates([key])
-    fresh.write.mode("append").parquet(root)
+    rows = batch.dropDuplicates([key]).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(UPSERT_BUCKETS)).cast("int"))
+    rows.limit(0).write.mode("append").partitionBy("__bucket").parquet(root)  # adds no rows; the folder is there from now on
+    touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most the number of buckets
+    known = spark.read.schema(rows.schema).parquet(root).where(F.col("__bucket").isin(touched)).select(key, "__bucket")
+    fresh = null_safe(rows, known, [key, "__bucket"], "left_anti")
+    fresh.write.mode("append").partitionBy("__bucket").parquet(root)
 
 
 def equivalent(first: DataFrame, second: DataFrame, key: str, line: str, text: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -32,11 +33,27 @@ def tail(spark: SparkSession, path: str, schema, files: int | None = None) -> Da
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a job until its input is used up; returns everything the sink holds so far."""
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Run a job until its input is used up; returns everything the sink holds so far.
+
+    ``timers`` is for jobs with a state processor: these need the store that keeps state on disk.
+    """
     spark = stream.sparkSession
-    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-     .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
+    writer = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+              .outputMode(mode).trigger(availableNow=True))
+    before = spark.conf.get(PROVIDER, None)
+    if timers:
+        spark.conf.set(PROVIDER, ROCKS)
+    try:
+        running = writer.start()  # takes its own copy of the settings
+    finally:
+        if timers:
+            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -70,8 +87,10 @@ def _names(events: DataFrame, keys: list[str], aggs: list[Column]) -> list[str]:
 
 # -- stateful jobs --------------------------------------------------------------------------------------
 
-SESSION_OUT = "session_id long, processed long, stale long, prompts long, stops long, high timestamp"
-SESSION_STATE = "processed long, stale long, prompts long, stops long, high double"
+SESSION_OUT = "session_id long, first_ts timestamp, last_ts timestamp, processed long, stale long, prompts long, reason string"
+SESSION_STATE = "processed long, stale long, prompts long, first long, last long, high long, armed boolean"
+CLOSING = ("Stop", "SessionEnd")
+_NEVER = np.iinfo(np.int64).min
 
 
 def _sorted(frames: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> pd.DataFrame:
@@ -79,55 +98,137 @@ def _sorted(frames: Iterator[pd.DataFrame], columns: list[str], order: list[str]
     return pd.concat([f[columns] for f in frames]).sort_values(order)
 
 
-def session_state(events: DataFrame, arrival: list[str]) -> DataFrame:
-    """Running fold per session: counts, events behind the high-water mark, the mark itself.
+class Sessions(StatefulProcessor):
+    """Folds events into open sessions; a session is emitted once, when it closes, and then forgotten.
 
-    Only five numbers are kept per session. A micro-batch is taken in arrival order, as arrays.
+    It closes on an accepted ``Stop`` or ``SessionEnd`` (reason ``stop``), or when nothing was accepted for ``gap``
+    microseconds (``idle``): seen by the next accepted event, or by a timer once the watermark has passed that time. An event
+    behind the high-water mark is counted as stale and changes nothing else. The mark outlives a stop, so that
+    stragglers are still told from new work; the timer removes it too. From then on the watermark itself keeps out whatever
+    lies behind it, so state never outlives a session's last event by more than gap and watermark delay.
     """
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, stale, prompts, stops, high = state.get if state.exists else (0, 0, 0, 0, float("-inf"))
-        pdf = _sorted(frames, ["ts", "event", *arrival], arrival)
-        at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
+
+    def __init__(self, arrival: list[str], gap: int):
+        self.arrival, self.gap = arrival, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", SESSION_STATE)
+
+    def _due(self, high: int) -> int:
+        return -(-(high + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        processed, stale, prompts, first, last, high, armed = self.open.get() if self.open.exists() else (0, 0, 0, _NEVER, _NEVER, _NEVER, False)
+        pdf = _sorted(rows, ["ts", "event", *self.arrival], self.arrival)
+        at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
         marks = np.maximum.accumulate(np.concatenate([[high], at]))
-        late = at < marks[:-1]
-        event = pdf["event"].to_numpy()[~late]
-        n, stale, high = n + len(at), stale + int(late.sum()), float(marks[-1])
-        prompts, stops = prompts + int((event == "UserPromptSubmit").sum()), stops + int((event == "Stop").sum())
-        state.update((n, stale, prompts, stops, high))
-        yield pd.DataFrame({"session_id": [key[0]], "processed": [n], "stale": [stale], "prompts": [prompts], "stops": [stops],
-                            "high": [pd.Timestamp(round(high * 1_000_000), unit="us") if n > stale else pd.NaT]})
+        taken = at >= marks[:-1]
+        event = pdf["event"].to_numpy()
+        closes = taken & np.isin(event, CLOSING)
+        breaks = taken & (marks[:-1] > _NEVER) & (at - self.gap >= marks[:-1])
+        # Place 0 is the session that was open before; a stop ends its own place, a break begins one.
+        place = np.cumsum(breaks) + np.cumsum(closes) - closes
+        size = int(place[-1]) + 2
+        count = lambda on: np.bincount(place[on], minlength=size)
+        all_, late, asked, stopped = count(slice(None)), count(~taken), count(taken & (event == "UserPromptSubmit")), count(closes) > 0
+        begin, end = np.full(size, np.iinfo(np.int64).max), np.full(size, _NEVER)
+        np.minimum.at(begin, place[taken], at[taken])
+        np.maximum.at(end, place[taken], at[taken])
+        all_[0], late[0], asked[0] = all_[0] + processed, late[0] + stale, asked[0] + prompts
+        if first != _NEVER:
+            begin[0], end[0] = min(begin[0], first), max(end[0], last)
+        now = int(place[-1]) + int(closes[-1])  # the place that is open from here on
+        high = int(marks[-1])
+        if not armed:
+            self.handle.registerTimer(self._due(high))
+        mine = end[now] != _NEVER
+        self.open.update((int(all_[now]), int(late[now]), int(asked[now]), int(begin[now]) if mine else _NEVER, int(end[now]), high, True))
+        done = np.flatnonzero(all_[:now])
+        if len(done):
+            yield self._rows(key[0], begin[done], end[done], all_[done], late[done], asked[done], np.where(stopped[done], "stop", "idle"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        processed, stale, prompts, first, last, high, _ = self.open.get()
+        if self._due(high) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._due(high))
+            return
+        self.open.clear()
+        if processed:
+            yield self._rows(key[0], *(np.array([v]) for v in (first, last, processed, stale, prompts)), ["idle"])
+
+    @staticmethod
+    def _rows(session, first, last, processed, stale, prompts, reason) -> pd.DataFrame:
+        some = last != _NEVER  # nothing but stale events has no times
+        when = lambda us: pd.Series(np.where(some, us, 0).astype("datetime64[us]")).where(some)
+        return pd.DataFrame({"session_id": session, "first_ts": when(first), "last_ts": when(last), "processed": processed, "stale": stale,
+                             "prompts": prompts, "reason": reason})
+
+    def close(self) -> None:
+        pass
+
+
+def session_state(events: DataFrame, arrival: list[str], delay: str, gap: str) -> DataFrame:
+    """Closed sessions of a stream of (session_id, ts, event, arrival columns), see ``Sessions``; run with ``drain(..., timers=True)``.
 
-    return events.groupBy("session_id").applyInPandasWithState(fold, SESSION_OUT, SESSION_STATE, "update", GroupStateTimeout.NoTimeout)
+    A micro-batch is taken in the order of ``arrival``. Events without a time or session are left out.
+    """
+    live = events.where("ts IS NOT NULL AND session_id IS NOT NULL").withWatermark("ts", delay)
+    processor = Sessions(arrival, int(pd.Timedelta(gap).value // 1000))
+    return live.groupBy("session_id").transformWithStateInPandas(processor, SESSION_OUT, "Append", "EventTime")
+
+
+RETRY_OUT = "session_id long, attempts long, parked boolean, delay long, due timestamp"
 
 
-RETRY_OUT = "session_id long, attempts long, parked boolean, delay long"
+def resume_time(value: str | None) -> pd.Timestamp | None:
+    """The end of a pause as UTC; None without one. A time that is no ISO time with a zone never comes: the pause does not end."""
+    if not value:
+        return None
+    try:
+        at = pd.Timestamp(value)
+    except ValueError:
+        return pd.Timestamp.max.tz_localize("UTC")
+    return pd.Timestamp.max.tz_localize("UTC") if at is pd.NaT or at.tzinfo is None else at.tz_convert("UTC")
 
 
-def retry_timers(events: DataFrame, delay: str, park_after: int = 8, quiet: str = "1 day") -> DataFrame:
+def retry_timers(events: DataFrame, delay: str, park_after: int = 8, quiet: str = "1 day", resume_after: str | None = None) -> DataFrame:
     """Back-off per session: failures raise the attempt count, a Stop clears it, ``park_after`` park the session.
 
+    Before ``resume_after`` (a provider's cooldown) a failure uses up no attempt, and nothing is due. ``due`` is when the
+    next attempt may run: now plus the delay, but not within the pause; null for a session without failures or parked.
+
     Pending and parked sessions keep their state until a Stop clears it. A cleared session that stays
     ``quiet`` is forgotten by an event-time timer, which changes nothing: it would start from zero again.
     """
     rest = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    resume = resume_time(resume_after)
+    begin = np.datetime64("1678-01-01", "us") if resume is None else resume.tz_localize(None).to_datetime64().astype("datetime64[us]")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        attempts = state.get[0] if state.exists else 0
+        attempts, last = state.get if state.exists else (0, 0)
         pdf = _sorted(frames, ["ts", "event_id", "event"], ["ts", "event_id"])
-        event = pdf["event"].to_numpy()
+        event, at = pdf["event"].to_numpy(), pdf["ts"].to_numpy().astype("datetime64[us]")
         stops = np.flatnonzero(event == "Stop")
-        attempts = int((event[stops[-1]:] == "PostToolUseFailure").sum() if len(stops) else attempts + (event == "PostToolUseFailure").sum())
-        state.update((attempts,))
+        if len(stops):
+            attempts, event, at = 0, event[stops[-1]:], at[stops[-1]:]
+        counted = np.flatnonzero((event == "PostToolUseFailure") & (at >= begin))
+        if len(counted):
+            last = int(at[counted[-1]].astype(np.int64))
+        attempts += len(counted)
+        state.update((attempts, last))
         if not attempts:
             state.setTimeoutTimestamp(max(int(pdf["ts"].iloc[-1].timestamp() * 1000) + rest, state.getCurrentWatermarkMs() + 1))
         wait = min(3600, 60 * 2 ** min(attempts - 1, 6)) if attempts else 0
-        yield pd.DataFrame({"session_id": [key[0]], "attempts": [attempts], "parked": [attempts >= park_after], "delay": [wait]})
+        due = np.maximum(np.datetime64(last, "us") + np.timedelta64(wait, "s"), begin) if 0 < attempts < park_after else None
+        yield pd.DataFrame({"session_id": [key[0]], "attempts": [attempts], "parked": [attempts >= park_after], "delay": [wait],
+                            "due": [pd.NaT if due is None else pd.Timestamp(due)]})
 
     return (events.withWatermark("ts", delay).groupBy("session_id")
-            .applyInPandasWithState(step, RETRY_OUT, "attempts long", "update", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(step, RETRY_OUT, "attempts long, last long", "update", GroupStateTimeout.EventTimeTimeout))
 
 
 def suppress_repeats(failures: DataFrame, delay: str, ttl: float) -> DataFrame:

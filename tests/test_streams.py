@@ -1,7 +1,10 @@
 """Timers against plain loops; readers on real files."""
 
+import datetime
+import random
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -10,18 +13,98 @@ from memlake.queries import demo
 from memlake.queries.streams import _failures
 from memlake.registry import Tables
 from memlake.sources import files as fi, store as st
+from memlake.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_retry_attempts(spark):
     t = Tables(spark, SF)
-    want = defaultdict(int)
+    want, last, resume = defaultdict(int), {}, datetime.datetime(2024, 1, 10, 6)
     for r in demo.hooks(t).where("event IN ('Stop', 'PostToolUseFailure')").orderBy("ts", "event_id").collect():
-        want[r.session_id] = 0 if r.event == "Stop" else want[r.session_id] + 1
-    got = {r.session_id: (r.attempts, r.parked) for r in entry.queries()["stream_retry_timers"](spark, SF).collect()}
-    assert set(got) == set(want)
-    assert got == {s: (a, a >= 8) for s, a in want.items()}
+        want[r.session_id] += r.event != "Stop" and r.ts >= resume
+        if r.event == "Stop":
+            want[r.session_id] = 0
+        elif r.ts >= resume:
+            last[r.session_id] = r.ts
+    wait = lambda a: datetime.timedelta(seconds=min(3600, 60 * 2 ** min(a - 1, 6)))
+    got = {r.session_id: (r.attempts, r.parked, r.due) for r in entry.queries()["stream_retry_timers"](spark, SF).collect()}
+    assert got == {s: (a, a >= 8, max(last[s] + wait(a), resume) if 0 < a < 8 else None) for s, a in want.items()}
+
+
+def test_resume_times():
+    assert jobs.resume_time(None) is None and jobs.resume_time("") is None
+    assert jobs.resume_time("2024-01-10T06:00:00+02:00") == pd.Timestamp("2024-01-10T04:00:00Z")
+    for bad in ("soon", "2024-01-10T06:00:00"):  # fails closed
+        assert jobs.resume_time(bad).year > 2200
+
+
+def _place(row):
+    return tuple(-1 if v is None else v for v in row)
+
+
+def _sessions(spark, tmp_path, batches, delay="0 seconds", gap="1 minute"):
+    """Closed sessions after each batch of (session_id, second, event, n), and how many keys hold state at the end."""
+    folder, out, checkpoint, seen = (str(tmp_path / n) for n in ("in", "out", "cp", "s"))
+    after = []
+    for rows in batches:
+        spark.createDataFrame([(s, None if at is None else datetime.datetime.fromtimestamp(at, datetime.UTC), e, n) for s, at, e, n in rows],
+                              "session_id long, ts timestamp, event string, n long").write.mode("append").parquet(folder)
+        stream = jobs.tail(spark, folder, "session_id long, ts timestamp, event string, n long")
+        done = jobs.drain(jobs.session_state(stream, ["n"], delay, gap), out, checkpoint, timers=True).collect()
+        second = lambda v: None if v is None else int(v.timestamp())
+        after.append(sorted(((r.session_id, second(r.first_ts), second(r.last_ts), r.processed, r.stale, r.prompts, r.reason) for r in done), key=_place))
+    return after, spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load().count()
+
+
+def test_sessions_close_once_and_are_forgotten(spark, tmp_path):
+    after, held = _sessions(spark, tmp_path, [
+        [(1, 1000, "UserPromptSubmit", 1), (1, 1010, "Stop", 2), (1, 1005, "PostToolUse", 3), (2, 1000, "SessionStart", 4), (3, None, "Stop", 5)],
+        [(1, 1020, "UserPromptSubmit", 6), (2, 1030, "UserPromptSubmit", 7), (4, 1030, "SessionEnd", 8)],
+        [(2, 1200, "SessionStart", 9)],
+        [(9, 10_000, "SessionStart", 10)],
+        [(9, 20_000, "Stop", 11)],
+        [(8, 90_000, "Stop", 12)],
+        [(8, 99_000, "Stop", 13)]])
+    assert after[0] == [(1, 1000, 1010, 2, 0, 1, "stop")]
+    assert after[1] == [*after[0], (4, 1030, 1030, 1, 0, 0, "stop")]
+    # The straggler of session 1 was counted behind the mark that outlived its stop.
+    assert (1, 1020, 1020, 2, 1, 1, "idle") in after[3] and (2, 1000, 1030, 2, 0, 1, "idle") in after[3]
+    assert (2, 1200, 1200, 1, 0, 0, "idle") in after[3]
+    assert after[-1] == sorted([*after[3], (9, 10_000, 10_000, 1, 0, 0, "idle"), (9, 20_000, 20_000, 1, 0, 0, "stop"),
+                                (8, 90_000, 90_000, 1, 0, 0, "stop"), (8, 99_000, 99_000, 1, 0, 0, "stop")], key=_place)
+    assert held == 1  # the mark of the last session, until time passes it
+
+
+def test_sessions_do_not_depend_on_batches(spark, tmp_path):
+    rnd, at, rows = random.Random(9), 0, []
+    for n in range(600):
+        at += rnd.choice([0, 1, 1, 5, 40])
+        rows.append((rnd.randrange(6), at - rnd.choice([0, 0, 0, 7]), rnd.choice(["Stop", "UserPromptSubmit", "PostToolUse", "PostToolUse"]), n))
+    end = [(-1, at + 10**6, "Stop", 9999)]
+    one, none = _sessions(spark, tmp_path / "one", [rows + end], "1 hour", "1 minute")
+    some, _ = _sessions(spark, tmp_path / "some", [rows[i:i + 60] for i in range(0, 600, 60)] + [end], "20 seconds", "1 minute")
+    want = []
+    for s in range(6):
+        high, place = None, None
+        for _, ts, event, _ in [r for r in rows if r[0] == s]:
+            taken = high is None or ts >= high
+            if place and taken and high is not None and ts >= high + 60:
+                want.append((*place, "idle"))
+                place = None
+            place = place or [s, None, None, 0, 0, 0]
+            place[3] += 1
+            place[4] += not taken
+            if taken:
+                high, place[1], place[2] = ts, ts if place[1] is None else place[1], ts
+                place[5] += event == "UserPromptSubmit"
+                if event == "Stop":
+                    want.append((*place, "stop"))
+                    place = None
+        want += [(*place, "idle")] if place else []
+    closed = lambda found: [r for r in found[-1] if r[0] >= 0]
+    assert closed(one) == closed(some) == sorted(want, key=_place)
+    assert none == 1  # only the row that moved the time on
 
 
 def test_once_per_signature_and_ttl(spark):
