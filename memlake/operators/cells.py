@@ -90,6 +90,7 @@ def build(vectors: DataFrame, key: str, column: str, dim: int, path: str, cells:
     # Part of a large cell's members go to each of several tasks.
     (dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", F.pmod(F.xxhash64(key), F.lit(4)))
      .sortWithinPartitions("folder", "cell").write.partitionBy("folder").parquet(f"{path}/members"))
+    spark.createDataFrame([], dealt.schema).write.parquet(f"{path}/schema")  # an empty table has no other file to tell it
     facts = spark.read.schema(dealt.schema).parquet(f"{path}/members").groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
     places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(sent.value)], "cell int, centroid array<double>")
     facts.join(places, "cell").select("cell", "centroid", "radius", "n").coalesce(1).write.parquet(f"{path}/cells")
@@ -97,7 +98,8 @@ def build(vectors: DataFrame, key: str, column: str, dim: int, path: str, cells:
 
 
 def load(spark: SparkSession, path: str, column: str, dim: int) -> Cells:
-    return Cells(spark.read.parquet(f"{path}/members"), spark.read.parquet(f"{path}/cells"), column, dim)
+    members = spark.read.schema(spark.read.parquet(f"{path}/schema").schema).parquet(f"{path}/members")
+    return Cells(members, spark.read.parquet(f"{path}/cells"), column, dim)
 
 
 def bounds(index: Cells, queries: DataFrame, query: str, k: int) -> DataFrame:
