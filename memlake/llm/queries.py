@@ -115,10 +115,8 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 tok AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words),
 n AS (SELECT count(*) AS tokens FROM tok),
-voc AS (SELECT w, count(*) AS c FROM tok, n GROUP BY w, tokens HAVING count(*) >= greatest(1, ceil(tokens / 1048576.0))),
-named AS (SELECT doc_id, i, coalesce(voc.w, ' unknown') AS w FROM tok LEFT JOIN voc USING (w)),
-uni AS (SELECT w, count(*) AS c FROM named GROUP BY w UNION ALL SELECT ' start', count(*) FROM words WHERE len(w) > 0),
-gram AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS v, w FROM named),
+uni AS (SELECT w, count(*) AS c FROM tok GROUP BY w UNION ALL SELECT ' start', count(*) FROM words WHERE len(w) > 0),
+gram AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS v, w FROM tok),
 bi AS (SELECT v, w, count(*) AS c FROM gram GROUP BY v, w),
 val AS (SELECT bi.v, bi.w, CASE WHEN bi.c >= 2 THEN ln(bi.c) - ln(a.c) ELSE ln(0.4) + ln(b.c) - ln((SELECT tokens FROM n)) END AS s
         FROM bi JOIN uni a ON a.w = bi.v JOIN uni b ON b.w = bi.w)
