@@ -120,3 +120,15 @@ def test_rule_tables(spark):
     for read, df in ((fl.rule_table, table), (po.rule_table, rules)):
         with pytest.raises(ValueError, match="more than"):
             read(df, most=1)
+
+
+def test_null_and_damaged_rows_fail_alone(spark):
+    from memlake.functions import packs as pk
+
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "a\n\nb"), (4, "a\n\nb")], "id long, text string")
+    assert [(r.id, r.body) for r in pk.sections(texts, "id", "text").orderBy("id").collect()] == [(4, "a\n\nb")] * 2
+    assert sorted((r.id, r.bytes) for r in pk.chunks(texts, "id", "text").collect()) == [(3, 3), (4, 4), (4, 4)]
+    assert pk.sections(texts.limit(0), "id", "text").collect() == [] and pk.chunks(texts.limit(0), "id", "text").collect() == []
+    records = [None, "", "{", '{"a": 1} x', "[" * 100_000, "[]", '{"type": "base64", "media_type": "image/png", "data": "QUJD"}']
+    got = [r.p for r in spark.createDataFrame(list(enumerate(records)), "i int, r string").orderBy("i").select(pk.media_projection("r").alias("p")).collect()]
+    assert got[:5] == [None] * 5 and got[5] == "[]" and "QUJD" not in got[6]
