@@ -26,12 +26,12 @@ from memlake.session import durable
 FIT = 20_000      # vectors, first by a hash of their key, that the centroids are fitted to; every vector is indexed
 MOST_CELLS = 4096
 ROUNDS = 8
-FOLDERS = 64      # folders that the cells are dealt to, so that a search opens only some
+FOLDERS = 64      # at most so many folders, of 16 cells or more, so that a search opens only some
 SLACK = 1e-6      # scores are rounded to six decimals, angles to less
 
 
 class Cells(NamedTuple):
-    """``members`` (columns given, cell) and ``cells`` (cell, centroid, radius, n)."""
+    """``members`` (columns given, cell, folder) and ``cells`` (folder, cell, centroid, radius, n)."""
 
     members: DataFrame
     cells: DataFrame
@@ -86,14 +86,14 @@ def build(vectors: DataFrame, key: str, column: str, dim: int, path: str, cells:
                                                  names=[*b.schema.names, "cell", "angle"])
 
     schema = StructType([*rows.schema.fields]).add("cell", IntegerType()).add("angle", DoubleType())
-    dealt = rows.mapInArrow(assign, schema).withColumn("folder", F.pmod("cell", F.lit(FOLDERS)))
+    dealt = rows.mapInArrow(assign, schema).withColumn("folder", F.pmod("cell", F.lit(min(FOLDERS, -(-cells // 16)))))
     # Part of a large cell's members go to each of several tasks.
     (dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder", F.pmod(F.xxhash64(key), F.lit(4)))
      .sortWithinPartitions("folder", "cell").write.partitionBy("folder").parquet(f"{path}/members"))
     spark.createDataFrame([], dealt.schema).write.parquet(f"{path}/schema")  # an empty table has no other file to tell it
-    facts = spark.read.schema(dealt.schema).parquet(f"{path}/members").groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
+    facts = spark.read.schema(dealt.schema).parquet(f"{path}/members").groupBy("folder", "cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
     places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(sent.value)], "cell int, centroid array<double>")
-    facts.join(places, "cell").select("cell", "centroid", "radius", "n").coalesce(1).write.parquet(f"{path}/cells")
+    facts.join(places, "cell").select("folder", "cell", "centroid", "radius", "n").coalesce(1).write.parquet(f"{path}/cells")
     return load(spark, path, column, dim)
 
 
@@ -103,18 +103,18 @@ def load(spark: SparkSession, path: str, column: str, dim: int) -> Cells:
 
 
 def bounds(index: Cells, queries: DataFrame, query: str, k: int) -> DataFrame:
-    """``queries`` by cell with ``upper``, the largest cosine the cell can hold, and ``first``, the best cells up to k members.
+    """``queries`` by folder and cell with ``upper``, the largest cosine the cell can hold, and ``first``, the best cells up to k members.
 
     Queries that are null, zero, not finite or of another length meet no cell.
     """
     table = index.cells.orderBy("cell").toArrow()  # at most MOST_CELLS rows
     dim = index.dim
-    number, radius, size = (table.column(c).to_numpy() for c in ("cell", "radius", "n"))
+    number, folder, radius, size = (table.column(c).to_numpy() for c in ("cell", "folder", "radius", "n"))
     centroids = _units(table.column("centroid").combine_chunks(), dim) if len(number) else np.zeros((0, dim))
-    sent = queries.sparkSession.sparkContext.broadcast((number, radius, size, centroids))
+    sent = queries.sparkSession.sparkContext.broadcast((number, folder, radius, size, centroids))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, radius, size, centroids = sent.value
+        number, folder, radius, size, centroids = sent.value
         if not len(number):
             return
         step = max(1, (1 << 18) // len(number))
@@ -127,10 +127,10 @@ def bounds(index: Cells, queries: DataFrame, query: str, k: int) -> DataFrame:
                 first = np.zeros(upper.shape, bool)
                 np.put_along_axis(first, order, before < k, axis=1)
                 row = pa.array(np.repeat(np.arange(b.num_rows), len(number)))
-                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns], pa.array(np.tile(number, b.num_rows)), pa.array(upper.ravel()), pa.array(first.ravel())],
-                                                 names=[*b.schema.names, "cell", "upper", "first"])
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns], pa.array(np.tile(folder, b.num_rows)), pa.array(np.tile(number, b.num_rows)), pa.array(upper.ravel()), pa.array(first.ravel())],
+                                                 names=[*b.schema.names, "folder", "cell", "upper", "first"])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields], "cell int, upper double, first boolean"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields], "folder int, cell int, upper double, first boolean"])
     return queries.where(usable(query, dim)).mapInArrow(meet, schema)
 
 
@@ -145,7 +145,7 @@ def nearest(index: Cells, queries: DataFrame, keys: list[str], query: str, order
     members = index.members.drop("angle")
 
     def scored(cells: DataFrame) -> DataFrame:
-        found = cells.withColumn("folder", F.pmod("cell", F.lit(FOLDERS))).join(members, ["folder", "cell"])
+        found = cells.join(members, ["folder", "cell"])
         rows = vx.with_score(found, index.column, query, index.dim).drop("folder", "cell", index.column, query)
         return rows if floor is None else rows.where(F.col("score") >= floor)
 

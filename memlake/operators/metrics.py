@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from memlake.operators.ordered import running, value_at_index
+from memlake.operators.ordered import value_at_index
 
 def count_rows():
     return F.count(F.lit(1))
@@ -139,22 +139,26 @@ def opened_after(hits: DataFrame, rows: DataFrame, session: str, before: int, ho
     path's file name, from ``before`` seconds ahead of the hit up to ``horizon`` after it; the next prompt comes more than
     ``grace`` seconds after it. Hits and reads of one file name are swept together from the end, and so are hits and
     prompts of one session: each hit picks up the nearest later one, and no row stands for a pair of a hit and an event.
+    Sweeps run by time bucket, so a busy session is spread over its buckets; an event stands in its own bucket and the one before.
     """
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
     h = hits.select("id", session, sec("ts").alias("__t"), F.element_at(F.split("path", "/"), -1).alias("__name"))
     r = rows.select(session, sec("ts").alias("__rt"), "is_prompt", "tool_text")
-    block = F.floor(F.col("__at") / horizon)
+    width = horizon + before + grace  # no hit looks further ahead
     none = F.lit(None)
 
     def nearest(events: DataFrame, asked: DataFrame, keys: list[str], first: int, name: str) -> DataFrame:
         """(id, name): the time of the nearest event at or after each asked time; ``first`` orders equal times."""
-        e = events.select(*keys, F.col("__rt").alias("__at"), F.lit(1 - first).alias("__kind"), none.cast(hits.schema["id"].dataType).alias("id"), "__rt")
-        q = asked.select(*keys, "__at", F.lit(first).alias("__kind"), "id", none.cast("double").alias("__rt"))
-        swept = running(e.unionByName(q), keys, ["__at", "__kind"], block, {name: ("last", F.col("__rt"), True)}, reverse=True)
-        return swept.where("id IS NOT NULL").select("id", name)
+        bucket = F.floor(F.col("__at") / width)
+        e = events.where(F.col(session).isNotNull()).select(*keys, F.col("__rt").alias("__at"), F.lit(1 - first).alias("__kind"), none.cast(hits.schema["id"].dataType).alias("id"), "__rt")
+        q = asked.select(*keys, "__at", F.lit(first).alias("__kind"), "id", none.cast("double").alias("__rt"), bucket.alias("__b"))
+        rows = e.withColumn("__b", F.explode(F.array(bucket, bucket - 1))).unionByName(q)
+        later = W.partitionBy(*keys, "__b").orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumn(name, F.last("__rt", ignorenulls=True).over(later)).where("id IS NOT NULL").select("id", name)
 
     reads = nearest(_named_reads(h, r, session, before, horizon), h.withColumn("__at", F.col("__t") - before), [session, "__name"], 0, "__read")
     prompts = nearest(r.where("is_prompt"), h.withColumn("__at", F.col("__t") + grace), [session], 1, "__next")
+    # A later prompt beyond the horizon ends nothing that lies within it.
     opened = (F.col("__read") <= sec("ts") + horizon) & (F.col("__next").isNull() | (F.col("__read") < F.col("__next")))
     return (hits.join(reads, "id", "left").join(prompts, "id", "left")
             .select(*hits.columns, F.coalesce(opened, F.lit(False)).alias("opened")))

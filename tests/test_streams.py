@@ -150,3 +150,21 @@ def test_opened_needs_a_read_before_the_next_prompt(spark):
                                  "u long, t string, is_prompt boolean, tool_text string").select("u", F.col("t").cast("timestamp_ntz").alias("ts"), "is_prompt", "tool_text")
     got = {r.id: r.opened for r in opened_after(hits, rows, "u", 2, 1800, 5).collect()}
     assert got == {1: False, 2: True, 3: True}
+
+
+def test_opened_equals_all_pairs(spark):
+    rnd = random.Random(11)
+    stamp = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    paths = ["a/n.md", "b/n.md", "c/long name.py", "d/", None, "x.md"]
+    hits = [(i, rnd.choice([1, 1, 1, 2, None]), stamp(rnd.randrange(4000)), rnd.choice(paths)) for i in range(120)]
+    rows = [(rnd.choice([1, 1, 2, None]), stamp(rnd.randrange(4000)), rnd.random() < .2, rnd.choice(["cat n.md", "xn.mdx", "open c/long name.py now", "", None, "n.m", "cp x.md n.md"])) for _ in range(300)]
+    want = {}
+    for i, s, t, path in hits:
+        name = None if path is None else path.split("/")[-1]
+        near = [(u, p, x) for w, u, p, x in rows if w is not None and w == s and -2 <= (u - t).total_seconds() <= 600]
+        reads = [u for u, p, x in near if not p and x is not None and name is not None and name in x]
+        prompts = [u for u, p, x in near if p and (u - t).total_seconds() > 5]
+        want[i] = bool(reads) and (not prompts or min(reads) < min(prompts))
+    h = spark.createDataFrame(hits, "id long, u long, ts timestamp, path string")
+    r = spark.createDataFrame(rows, "u long, ts timestamp, is_prompt boolean, tool_text string")
+    assert {x.id: x.opened for x in opened_after(h, r, "u", 2, 600, 5).collect()} == want
