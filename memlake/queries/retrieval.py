@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import fixed, text as tx
-from memlake.operators import cells as cx, index as ix, passages as ps, vectors as vx
+from memlake.operators import cells as cx, index as ix, overlap as ov, passages as ps, vectors as vx
 from memlake.plans.settings import Settings
 from memlake.queries import demo
 from memlake.queries.demo import NOTES, lit, sql_list, terms_sql
@@ -381,9 +381,10 @@ def lesson_overlap(t):
 @query("lexical_recency_topk", f"""WITH {RECENCY} SELECT * FROM (SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, sequence DESC, key) AS pos
  FROM ov JOIN les USING (doc_id)) WHERE pos <= 20""")
 def lexical_recency_topk(t):
-    les, ov = lesson_overlap(t)
-    return ix.top(ov.join(les.select("doc_id", "key", "sequence"), "doc_id"), ["item_id"],
-                  [F.desc("overlap"), F.desc("sequence"), F.asc("key")], 20).select("item_id", "doc_id", "overlap", "pos")
+    les = demo.project(t.documents, LESSON_COLS).select("doc_id", "key", "sequence", ps.tokens(F.concat_ws(" ", "key", "text")).alias("words"))
+    path = _kept(t, "documents", "lessons", lambda path: ov.build(les, "doc_id", "sequence", path))
+    best = ov.most_shared(ov.load(t.spark, path), t.benchmark.select("item_id", ps.tokens(F.col("text")).alias("words")), "item_id", "doc_id", "sequence", True, 20)
+    return best.select("item_id", "doc_id", "overlap", "pos")
 
 
 @query("lexical_recency_budget", f"""WITH RECURSIVE {RECENCY}, lb AS (SELECT item_id, doc_id, overlap, sequence, key, (length('[' || key || '; proposed] ' || text) + 2)::BIGINT AS size FROM ov JOIN les USING (doc_id)),
@@ -391,9 +392,9 @@ def lexical_recency_topk(t):
 def lexical_recency_budget(t):
     """The ranked entries that fit a character budget, skipping those that do not."""
     from memlake.operators.recall import greedy_budget
-    les, ov = lesson_overlap(t)
+    les, shared = lesson_overlap(t)
     size = F.length(F.concat(F.lit("["), "key", F.lit("; proposed] "), "text")) + 2
-    rows = ov.join(les.select("doc_id", "key", "sequence", size.cast("bigint").alias("size")), "doc_id")
+    rows = shared.join(les.select("doc_id", "key", "sequence", size.cast("bigint").alias("size")), "doc_id")
     return greedy_budget(rows, "item_id", "doc_id", [F.desc("overlap"), F.desc("sequence"), F.asc("key")], "size",
                          budget=6000, limit=None)
 
@@ -415,10 +416,10 @@ def raw_window_topk(t):
  SELECT * FROM (SELECT item_id, path, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, path) AS pos FROM ov JOIN v USING (doc_id)) WHERE pos <= 100""")
 def catalog_priority(t):
     v = demo.project(t.documents.where("lang <> 'de'"), "doc_id, source || '/' || doc_id || '.md' AS path, substr(text, 1, 60) AS title, lang")
-    seen = v.select("path", F.explode(ps.tokens(F.concat_ws(" ", "path", "title", "lang"))).alias("w"))
-    asked = broadcast_if_small(t.benchmark.select("item_id", F.explode(ps.tokens(F.col("text"))).alias("w")))
-    ov = seen.join(asked, "w").groupBy("item_id", "path").agg(F.count(F.lit(1)).alias("overlap"))
-    return ix.top(ov, ["item_id"], [F.desc("overlap"), F.asc("path")], 100)
+    v = v.select("path", ps.tokens(F.concat_ws(" ", "path", "title", "lang")).alias("words"))
+    path = _kept(t, "documents", "catalog", lambda path: ov.build(v, "path", "path", path))
+    best = ov.most_shared(ov.load(t.spark, path), t.benchmark.select("item_id", ps.tokens(F.col("text")).alias("words")), "item_id", "path", "path", False, 100)
+    return best.select("item_id", "path", "overlap", "pos")
 
 
 @query("newest_capped_sweep", """WITH m AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id), seen AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 200)

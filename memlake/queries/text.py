@@ -298,10 +298,10 @@ def once(ctes: str) -> str:
     return ctes.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
 
 
-@query("title_overlap", f"""WITH {PAIRS}, q AS (SELECT doc_id, question AS txt FROM pairs), d AS (SELECT doc_id, text AS txt FROM pairs),
- {once(terms_sql('q', 'doc_id', 30, 'qt'))}, {once(terms_sql('d', 'doc_id', 30, 'dt'))},
- n AS (SELECT doc_id, count(*) AS n FROM qt GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS m FROM qt JOIN dt USING (doc_id, lw) GROUP BY doc_id)
- SELECT p.doc_id, p.item_id, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(coalesce(m, 0) / n, 6) END AS overlap FROM pairs p LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""")
+@query("title_overlap", f"""WITH k AS MATERIALIZED (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents), q AS MATERIALIZED (SELECT item_id, text AS txt FROM benchmark),
+ d AS MATERIALIZED (SELECT doc_id, text AS txt FROM documents), {once(terms_sql('q', 'item_id', 30, 'qt'))}, {once(terms_sql('d', 'doc_id', 30, 'dt'))},
+ n AS MATERIALIZED (SELECT item_id, count(*) AS n FROM qt GROUP BY item_id), m AS MATERIALIZED (SELECT doc_id, count(*) AS m FROM dt JOIN k USING (doc_id) JOIN qt USING (item_id, lw) GROUP BY doc_id)
+ SELECT k.doc_id, q.item_id, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE round(coalesce(m, 0) / n, 6) END AS overlap FROM k JOIN q USING (item_id) LEFT JOIN n USING (item_id) LEFT JOIN m USING (doc_id)""")
 def title_overlap(t):
     p = (demo.pairs(t).withColumn("q", tx.term_set(F.col("question"), 30))
          .withColumn("d", tx.term_set(F.col("text"), 30)))
