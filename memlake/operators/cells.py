@@ -139,7 +139,7 @@ def nearest(index: Cells, queries: DataFrame, keys: list[str], query: str, order
 
     ``floor`` leaves out what scores less. Only cells that may hold one of the k are read.
     """
-    met = bounds(index, queries.select(*keys, query), query, k)
+    met = bounds(index, durable(queries.select(*keys, query)), query, k)  # asked twice, so worked out once
     if floor is not None:
         met = met.where(F.col("upper") >= floor)
     members = index.members.drop("angle")
