@@ -172,23 +172,31 @@ def stream_daily_metrics(t):
     return outs[0].unionByName(outs[1])
 
 
-@query("stream_index_refresh", rf"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 25 = 0 THEN '' WHEN doc_id % 5 = 0 THEN text || ' third' WHEN doc_id % 3 = 0 THEN text || ' second' ELSE text END AS x FROM documents)
- SELECT doc_id, generation, len(list_distinct(regexp_extract_all(lower(x), {TOK}))) AS terms, len(regexp_extract_all(lower(x), {TOK})) AS tokens FROM v WHERE regexp_matches(x, {TOK})""")
+VECTOR = 4  # places of a note's vector: its words by length
+
+
+@query("stream_index_refresh", rf"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 25 = 0 THEN '' WHEN doc_id % 5 = 0 THEN text || ' third' WHEN doc_id % 3 = 0 THEN text || ' second' ELSE text END AS x FROM documents),
+ w AS (SELECT doc_id, generation, regexp_extract_all(lower(x), {TOK}) AS ws FROM v WHERE regexp_matches(x, {TOK}))
+ SELECT doc_id, generation, len(list_distinct(ws)) AS terms, len(ws) AS tokens, {", ".join(f"len(list_filter(ws, lambda t: length(t) % {VECTOR} = {i})) AS v{i}" for i in range(VECTOR))} FROM w""")
 def stream_index_refresh(t):
-    """Three generations of changes; the last one also empties some notes and deletes others."""
-    d = t.documents.select("doc_id", F.lit(1).alias("generation"), "text")
+    """Three generations of changes; the last one also empties some notes and deletes others. Two batches are merged on the way."""
+    d = t.documents.select("doc_id", F.lit(1).cast("bigint").alias("generation"), "text")
     third = F.expr("CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 25 = 0 THEN '' ELSE text || ' third' END")
-    slices = [d.where(cond).select("doc_id", F.lit(g).alias("generation"), text.alias("text"))
+    slices = [d.where(cond).select("doc_id", F.lit(g).cast("bigint").alias("generation"), text.alias("text"))
               for g, cond, text in ((1, "true", F.col("text")), (2, "doc_id % 3 = 0", F.expr("text || ' second'")), (3, "doc_id % 5 = 0", third))]
+    tokens = lambda notes: ix.tokenized(notes, ["doc_id", "generation"], {"body": F.coalesce("text", F.lit(""))})
 
-    def build(notes):
-        post = ix.postings(ix.tokenized(notes, ["doc_id", "generation"], {"body": F.coalesce("text", F.lit(""))}), ["doc_id", "generation"])
-        return post.drop("field")
+    def vectors(notes):
+        place = lambda i: F.size(F.filter("tok_body", lambda w: F.length(w) % VECTOR == i)).cast("bigint")
+        return tokens(notes).where("len > 0").select("doc_id", "generation", F.array(*map(place, range(VECTOR))).alias("vector"))
 
+    builds = {"postings": lambda notes: ix.postings(tokens(notes), ["doc_id", "generation"]).drop("field"), "vectors": vectors}
     root, checkpoint = scratch(t.spark, "index"), scratch(t.spark, "checkpoint")
     for stream in _arrivals(t, slices):
-        rows = sj.refresh_index(t.spark, stream, root, build, checkpoint)
-    return rows.groupBy("doc_id", "generation").agg(mt.count_rows().alias("terms"), F.sum("tf").alias("tokens"))
+        sj.refresh_index(t.spark, stream, root, builds, checkpoint, batches=1)
+    counts = sj.indexed(t.spark, root, "postings").groupBy("doc_id", "generation").agg(mt.count_rows().alias("terms"), F.sum("tf").alias("tokens"))
+    return counts.join(sj.indexed(t.spark, root, "vectors"), ["doc_id", "generation"]).select(
+        "doc_id", F.col("generation").cast("int").alias("generation"), "terms", "tokens", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(VECTOR)])
 
 
 CHANGES = "user_id AS scope, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS doc_id, event_id AS generation, CASE event_type WHEN 'purchase' THEN 'lexical' WHEN 'signup' THEN 'vector' ELSE 'change' END AS kind, value > 5 AS saved"

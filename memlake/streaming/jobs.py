@@ -260,22 +260,82 @@ def suppress_repeats(failures: DataFrame, delay: str, ttl: float) -> DataFrame:
 
 # -- index refresh -----------------------------------------------------------------------------------------
 
-def refresh_index(spark: SparkSession, changes: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataFrame:
-    """Rebuild index rows of changed notes per micro-batch; later generations replace earlier ones.
+MARKS = "version long, upto long"
+NOTES = "doc_id long, generation long, batch long"
 
-    Each batch also writes the generation of every note that it saw, whether or not rows came of it:
-    an emptied or deleted note (null text) so hides its older rows. A batch is written under its
-    own id, so a replayed batch overwrites itself.
+
+def _mark(spark: SparkSession, root: str) -> tuple[int, int]:
+    """(version, upto): the newest finished merge and the last batch in it; (0, -1) before the first."""
+    marks = spark.read.schema(MARKS).parquet(f"{root}/marks").orderBy(F.desc("version")).limit(1).collect()
+    return (marks[0].version, marks[0].upto) if marks else (0, -1)
+
+
+def _held(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """Rows of the newest merge and of the batches after it. A merge that did not end has no mark and is not seen."""
+    version, upto = _mark(spark, root)
+    found = spark.read.schema(schema).parquet(f"{root}/{name}").where(F.col("batch") > upto)
+    if not version:
+        return found
+    return found.unionByName(spark.read.schema(schema).parquet(f"{root}/merged-{version}/{name}"))
+
+
+def indexed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """What index ``name`` holds now: rows of the newest generation of each note that it has acknowledged."""
+    schema = spark.read.parquet(f"{root}/schema-{name}").schema
+    latest = _held(spark, root, f"{name}-notes", NOTES).groupBy("doc_id").agg(F.max("generation").alias("generation"))
+    return _held(spark, root, name, schema).join(latest, ["doc_id", "generation"], "left_semi").drop("batch")
+
+
+def dirty(spark: SparkSession, root: str, changes: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, generation): notes whose newest change some index has not acknowledged, such as arrivals during a refresh."""
+    last = changes.groupBy("doc_id").agg(F.max("generation").alias("generation"))
+    for name in names:
+        done = _held(spark, root, f"{name}-notes", NOTES).groupBy("doc_id").agg(F.max("generation").alias(f"__{name}"))
+        last = last.join(done, "doc_id", "left")
+    return last.where(" OR ".join(f"`__{n}` IS NULL OR `__{n}` < generation" for n in names)).select("doc_id", "generation")
+
+
+def merge(spark: SparkSession, root: str, names: list[str], batches: int = 8) -> bool:
+    """Merge the batches since the last merge if there are more than ``batches``: only newest generations stay.
+
+    Of an emptied or deleted note its generation stays, as a tombstone: a late older change cannot bring it back. Readers
+    see the merge when its mark is written, after all tables; what it replaces is not touched.
+    """
+    version, upto = _mark(spark, root)
+    last = spark.read.schema(NOTES).parquet(f"{root}/{names[0]}-notes").where(F.col("batch") > upto).agg(F.max("batch").alias("b"), F.countDistinct("batch").alias("n")).first()
+    if last.n <= batches:
+        return False
+    for name in names:
+        target = f"{root}/merged-{version + 1}/{name}"
+        indexed(spark, root, name).withColumn("batch", F.lit(last.b).cast("long")).write.mode("overwrite").parquet(target)
+        notes = _held(spark, root, f"{name}-notes", NOTES).groupBy("doc_id").agg(F.max("generation").alias("generation"), F.max("batch").alias("batch"))
+        notes.write.mode("overwrite").parquet(f"{target}-notes")
+    spark.createDataFrame([(version + 1, last.b)], MARKS).coalesce(1).write.mode("append").parquet(f"{root}/marks")
+    return True
+
+
+def refresh_index(spark: SparkSession, changes: DataFrame, root: str, builds: dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str, batches: int = 8) -> None:
+    """Bring each index of ``builds`` up to the changes (doc_id, generation, ...) that are there when the run starts.
+
+    A micro-batch builds the rows (doc_id, generation, ...) of its changed notes for every index, say postings and vectors, and
+    then acknowledges the generation of every note that it saw, whether or not rows came of it: an emptied or deleted
+    note (null text) so hides its older rows. Batches are written under their own id, so a replayed batch overwrites
+    itself. What arrives during a run stays ``dirty`` until a second run acknowledges it. Many batches are merged.
     """
+    spark.createDataFrame([], MARKS).write.mode("append").parquet(f"{root}/marks")  # the folder is there from now on
+    typed = spark.createDataFrame([], changes.schema)
+    for name, build in builds.items():
+        build(typed).withColumn("batch", F.lit(0).cast("long")).limit(0).write.mode("overwrite").parquet(f"{root}/schema-{name}")
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "generation").alias("n")).select("n.*").persist()
-        build(newest).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
-        newest.select("doc_id", "generation").write.mode("overwrite").parquet(f"{root}/notes/batch={batch_id}")
+        for name, build in builds.items():
+            build(newest).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+            newest.select("doc_id", "generation").write.mode("overwrite").parquet(f"{root}/{name}-notes/batch={batch_id}")
         newest.unpersist()
 
     drain_batches(changes, apply, checkpoint)
-    latest = spark.read.parquet(f"{root}/notes").groupBy("doc_id").agg(F.max("generation").alias("generation"))
-    return spark.read.parquet(f"{root}/rows").drop("batch").join(latest, ["doc_id", "generation"], "left_semi")
+    merge(spark, root, list(builds), batches)
 
 
 # -- generations and retention (batch views over the change log) ----------------------------------------------

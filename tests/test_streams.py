@@ -168,3 +168,30 @@ def test_opened_equals_all_pairs(spark):
     h = spark.createDataFrame(hits, "id long, u long, ts timestamp, path string")
     r = spark.createDataFrame(rows, "u long, ts timestamp, is_prompt boolean, tool_text string")
     assert {x.id: x.opened for x in opened_after(h, r, "u", 2, 600, 5).collect()} == want
+
+
+def test_refresh_merges_and_keeps_tombstones(spark, tmp_path):
+    folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "root", "cp"))
+    schema = "doc_id long, generation long, text string"
+    builds = {"rows": lambda n: n.where("text <> ''").select("doc_id", "generation", "text"), "sizes": lambda n: n.where("text IS NOT NULL").selectExpr("doc_id", "generation", "length(text) AS size")}
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+
+    def run():
+        jobs.refresh_index(spark, jobs.tail(spark, folder, schema), root, builds, checkpoint, batches=2)
+        return {(r.doc_id, r.text) for r in jobs.indexed(spark, root, "rows").collect()}, {(r.doc_id, r.size) for r in jobs.indexed(spark, root, "sizes").collect()}
+
+    left = lambda: {tuple(r) for r in jobs.dirty(spark, root, spark.read.schema(schema).parquet(folder), ["rows", "sizes"]).collect()}
+    arrive([(1, 1, "a"), (2, 1, "b"), (2, 2, "bb")])
+    assert run() == ({(1, "a"), (2, "bb")}, {(1, 1), (2, 2)}) and left() == set()
+    arrive([(1, 3, None), (3, 1, "c")])
+    assert left() == {(1, 3), (3, 1)}  # dirty until a second run acknowledges them
+    assert run() == ({(2, "bb"), (3, "c")}, {(2, 2), (3, 1)}) and left() == set()
+    assert jobs._mark(spark, root) == (0, -1)
+    arrive([(4, 1, "d")])
+    assert run()[0] == {(2, "bb"), (3, "c"), (4, "d")} and jobs._mark(spark, root) == (1, 2)
+    arrive([(1, 2, "late and old"), (3, 4, "")])  # the tombstone of 1 outlives the merge
+    assert run() == ({(2, "bb"), (4, "d")}, {(2, 2), (3, 0), (4, 1)}) and left() == set()
+    jobs.merge(spark, root, list(builds), 0)
+    assert jobs._mark(spark, root)[0] == 2 and {(r.doc_id, r.text) for r in jobs.indexed(spark, root, "rows").collect()} == {(2, "bb"), (4, "d")}
