@@ -76,6 +76,13 @@ def test_section_concat_is_lossless(spark):
         assert "".join(text[a:b] for a, b in zip([0, *ends], ends)) == text and ends[-1] == len(text)
 
 
+def test_sections_end_at_the_last_of_several_blank_lines():
+    from memlake.functions.packs import section_ends
+    text = "a" * 60 + "\n\n\n" + "b" * 60
+    assert section_ends(text, 100) == [61, 123]
+    assert section_ends("a" * 60 + "\n\n\n# h" + "b" * 60, 100) == [61, 126]  # the blank line counts, not the heading behind it
+
+
 def test_table_functions_and_settings(spark):
     register(spark)
     rows = spark.sql("SELECT s.start, s.end FROM (SELECT repeat('ab', 300) AS t), LATERAL sections(t, 256) s ORDER BY 1").collect()
