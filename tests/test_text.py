@@ -83,6 +83,11 @@ def test_sections_end_at_the_last_of_several_blank_lines():
     assert section_ends("a" * 60 + "\n\n\n# h" + "b" * 60, 100) == [61, 126]  # the blank line counts, not the heading behind it
 
 
+def test_word_edges_are_ascii(spark):
+    text = "x" * 2000 + "! ÉONLEEAU API_KEYÉ"
+    assert "identifiers: ONLEEAU API_KEY]" in _one(spark, text, lambda c: tx.semantic_intent(c)[0])
+
+
 def test_table_functions_and_settings(spark):
     register(spark)
     rows = spark.sql("SELECT s.start, s.end FROM (SELECT repeat('ab', 300) AS t), LATERAL sections(t, 256) s ORDER BY 1").collect()
