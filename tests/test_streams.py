@@ -117,6 +117,21 @@ def test_once_per_signature_and_ttl(spark):
     assert {tuple(r) for r in entry.queries()["stream_ttl_suppress"](spark, SF).collect()} == want
 
 
+def test_suppression_calls_python_per_bucket(spark, tmp_path, monkeypatch):
+    """Many pairs share a call: each call writes one state row, and pairs without a session are pairs too."""
+    monkeypatch.setattr(jobs, "SUPPRESS_BUCKETS", 4)
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema, want = "session_id long, signature string, ts timestamp, event_id long", set()
+    for batch in range(2):
+        at = [datetime.datetime.fromtimestamp(100_000 + 3600 * batch + s, datetime.UTC) for s in (0, 10, 70)]
+        rows = [(s or None, f"f{s % 7}", at[i], 1000 * batch + 3 * s + i) for s in range(100) for i in range(3)]
+        want |= {(s, g, e) for s, g, t, e in rows if t != at[1]}
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        got = jobs.drain(jobs.suppress_repeats(jobs.tail(spark, folder, schema), "1 minute", 60.0), out, checkpoint)
+    assert {tuple(r) for r in got.collect()} == want
+    assert 0 < spark.read.format("statestore").option("path", checkpoint).load().count() <= 4
+
+
 def test_line_numbers_survive_file_blocks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(1, 5001)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
