@@ -83,6 +83,12 @@ def test_sections_end_at_the_last_of_several_blank_lines():
     assert section_ends("a" * 60 + "\n\n\n# h" + "b" * 60, 100) == [61, 126]  # the blank line counts, not the heading behind it
 
 
+def test_pieces_of_a_batch_are_handed_on_as_they_come():
+    from memlake.functions import packs as pk
+    frames = list(pk._frames(((i, "x" * (pk.PIECE // 4)) for i in range(10)), ["key", "body"]))
+    assert [len(f) for f in frames] == [4, 4, 2] and [k for f in frames for k in f["key"]] == list(range(10))
+
+
 def test_word_edges_are_ascii(spark):
     text = "x" * 2000 + "! ÉONLEEAU API_KEYÉ"
     assert "identifiers: ONLEEAU API_KEY]" in _one(spark, text, lambda c: tx.semantic_intent(c)[0])
