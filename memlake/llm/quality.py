@@ -100,17 +100,20 @@ def ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
 def descend(rows: list[np.ndarray], good: np.ndarray, ratio: np.ndarray, weight: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss with a bias; ``weight`` scales each row's cost."""
     y = np.where(good, 1.0, -1.0)
-    values = [ratio[r] / (np.sqrt((ratio[r] ** 2).sum()) or 1.0) for r in rows]
-    squares = np.array([v @ v for v in values]) + 1
+    # A row's values are worked out when it is looked at: stored, they would take as much of the driver as all rows do.
+    length = [np.sqrt((ratio[r] ** 2).sum()) or 1.0 for r in rows]
+    value = lambda i: ratio[rows[i]] / length[i]
+    squares = np.array([value(i) @ value(i) for i in range(len(rows))]) + 1
     alpha, w, bias = np.zeros(len(rows)), np.zeros(DIM), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            mine = value(i)
+            gradient = y[i] * (w[rows[i]] @ mine + bias) - 1
             new = min(max(alpha[i] - gradient / squares[i], 0.0), COST * weight[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * mine
                 bias += step
                 alpha[i] = new
     return w * ratio, bias
@@ -200,9 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = (texts.join(F.broadcast(chosen), ["id", "hash"]).select("id", "y", "hash", "text")
            .mapInArrow(work, "id bigint, y int, hash bigint, found binary").dropDuplicates(["id", "y", "hash"]).toArrow())
     rows = sorted(zip(got.column("id").to_pylist(), got.column("y").to_pylist(), got.column("found").to_pylist()), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r))
+    del got
     good = np.array([r[1] == 1 for r in rows], bool)
     share = total.get(1, 0) / max(1, sum(total.values()))
-    return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows], good, share)
+    rows.reverse()
+    return fit([np.frombuffer(rows.pop()[2], "<i4").astype(np.int64) for _ in range(len(rows))], good, share)  # each row is let go as it is read
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

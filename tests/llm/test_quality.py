@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -94,3 +95,15 @@ def test_an_id_with_many_rows_stays_within_the_sample(spark, monkeypatch):
         words = {quality.Features()(t).tobytes() for i, t in table if i != ids[0]}
         others = sum(r.tobytes() in words for r, s in zip(found, side) if s)
         assert others >= min(per_class, sum(i % 2 == ids[0] % 2 for i in ids)) - 1  # one text of each id comes first
+
+
+def test_descent_holds_no_second_copy_of_the_rows():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, quality.DIM, 20_000)) for _ in range(60)]
+    good = np.arange(60) % 2 == 0
+    ratio = quality.ratios(rows, good)
+    tracemalloc.start()
+    quality.descend(rows, good, ratio, np.ones(60))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(r.nbytes for r in rows)
