@@ -107,6 +107,15 @@ def test_sessions_do_not_depend_on_batches(spark, tmp_path):
     assert none == 1  # only the row that moved the time on
 
 
+def test_sessions_of_a_bucket_share_a_state_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "SESSION_BUCKETS", 1)
+    after, held = _sessions(spark, tmp_path, [
+        [(1, 1000, "UserPromptSubmit", 1), (3, 1100, "SessionStart", 2), (2, 5000, "UserPromptSubmit", 3)],
+        [(2, 5010, "Stop", 4), (4, 90_000, "SessionStart", 5), (5, 90_001, "SessionStart", 6)]])
+    assert after[-1] == [(1, 1000, 1000, 1, 0, 1, "idle"), (2, 5000, 5010, 2, 0, 1, "stop"), (3, 1100, 1100, 1, 0, 0, "idle")]
+    assert held == 1  # of the two that are open
+
+
 def test_once_per_signature_and_ttl(spark):
     last, want = {}, set()
     for r in _failures(Tables(spark, SF)).orderBy("ts", "event_id").collect():
