@@ -219,3 +219,19 @@ def test_refresh_merges_and_keeps_tombstones(spark, tmp_path):
     assert run() == ({(2, "bb"), (4, "d")}, {(2, 2), (3, 0), (4, 1)}) and left() == set()
     jobs.merge(spark, root, list(builds), 0)
     assert jobs._mark(spark, root)[0] == 2 and {(r.doc_id, r.text) for r in jobs.indexed(spark, root, "rows").collect()} == {(2, "bb"), (4, "d")}
+
+
+def test_refresh_prepares_notes_once_for_all_indexes(spark, tmp_path):
+    folder, root, seen = str(tmp_path / "in"), str(tmp_path / "root"), spark.sparkContext.accumulator(0)
+    schema = "doc_id long, generation long, text string"
+    spark.createDataFrame([(1, 1, "a b"), (2, 1, "c")], schema).write.parquet(folder)
+
+    def cut(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    builds = {"rows": lambda notes: notes.select("doc_id", "generation", "text"), "sizes": lambda notes: notes.select("doc_id", "generation", F.length("text").alias("size"))}
+    jobs.refresh_index(spark, jobs.tail(spark, folder, schema), root, builds, str(tmp_path / "cp"), prepare=lambda notes: notes.mapInArrow(cut, schema))
+    assert {(r.doc_id, r.size) for r in jobs.indexed(spark, root, "sizes").collect()} == {(1, 3), (2, 1)}
+    assert seen.value == 2
