@@ -53,3 +53,31 @@ def test_words_that_share_a_key(spark, monkeypatch):
     monkeypatch.setattr(lm, "KEY_BITS", 5)
     table = [(i, f"a b w{i % 25} w{i % 7} x{i}") for i in range(60)]
     assert got(docs(spark, table), head_words=5) == brute(table, 1 << 60)
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    quantiles = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_shuffle_does_not_grow_with_partitions(spark, monkeypatch):
+    """A document's bigrams go to many partitions; what is written for them stays below the texts."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(3000)]
+    table = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(3000)], k=400))) for i in range(300)]
+    monkeypatch.setattr(lm, "PART_TOKENS", 1000)
+    before = shuffled(spark)
+    assert got(docs(spark, table).coalesce(1)) == brute(table, 1 << 60)
+    moved = shuffled(spark) - before
+    assert 0 < moved < 1.5 * sum(len(t) for _, t in table)
+
+
+def test_pieces_of_any_size(spark, monkeypatch):
+    """Long texts, texts without words and null ids at the borders of pieces; rare and frequent words on both sides."""
+    table = [(1, None), (2, "a b a b"), (None, "a x1 x2 b"), (3, "b " * 500 + "x1 x2"), (4, ""), (None, None), (5, "x3 a x1 x2"), (5, "x3 a x1 x2")]
+    for size in (1, 12, 1 << 20):
+        monkeypatch.setattr(lm, "PIECE_BYTES", size)
+        for head in (1, 4, 1 << 20):
+            assert got(docs(spark, table).coalesce(1), head_words=head) == brute(table, 1 << 60)
