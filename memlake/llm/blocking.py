@@ -22,10 +22,14 @@ SMALL = 48  # groups up to this size are compared together, larger ones by row b
 
 
 def cells(keys: DataFrame, bucket: list[str], member: str, width: int) -> DataFrame:
-    """(bucket..., member, __i, __j, __half): members of buckets with two or more members, by cell."""
+    """(bucket..., member, __i, __j, __half): members of buckets with two or more members, by cell.
+
+    ``keys`` often comes from an explode, which Spark takes to be as small as what is exploded. Both sides of the join
+    may hold many times the input's rows, so neither is broadcast, whatever their estimate.
+    """
     sizes = keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     blocks = F.ceil(F.col("__n") / width).cast("int")
-    dealt = (keys.join(sizes, bucket).withColumn("__blocks", blocks)
+    dealt = (keys.hint("merge").join(sizes, bucket).withColumn("__blocks", blocks)
              .withColumn("__half", F.pmod(F.xxhash64(F.lit("cell"), F.col(member)), F.col("__blocks")).cast("int")))
     spread = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return (spread.withColumn("__i", F.least("__half", "__other")).withColumn("__j", F.greatest("__half", "__other"))

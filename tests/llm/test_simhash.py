@@ -2,6 +2,7 @@ import itertools
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from memlake.llm import simhash
 from memlake.llm.components import components
@@ -86,3 +87,11 @@ def test_components_of_chains_stars_and_hubs(spark):
     edges = spark.createDataFrame(chain[::-1] + star + star + [(5000, 5000), (None, 3), (-7, -9)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(500)} | {-7: -9, -9: -9}
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    # Spark takes the 31 keys of a fingerprint to be no larger than the fingerprint: a driver broke on them at 0.6 GB.
+    links = simhash.close_pairs(spark.range(1000).select(F.xxhash64("id").alias("fp")), 4)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+    links.collect()
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
