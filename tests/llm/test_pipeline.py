@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from memlake.llm import decontaminate, quality
+from memlake.llm import decontaminate, quality, simhash
 from memlake.llm.tables import read, stored
 from tests.llm.helpers import docs
 from tests.llm.test_simhash import slow_components, slow_print
@@ -65,3 +65,11 @@ def test_written_order_spans_the_files_of_a_task(spark):
     spark.range(1000).repartitionByRange(3, "id").sortWithinPartitions("id").write.option("maxRecordsPerFile", 100).parquet(path)
     df = spark.read.parquet(path)
     assert [r.id for r in df.orderBy(cp.written_order(df)).collect()] == list(range(1000))
+
+
+def test_near_duplicates_broadcast_no_exploded_keys(spark, monkeypatch):
+    # Sized from the file of fingerprints, their keys were broadcast; a driver broke on them at 0.6 GB.
+    plans, groups = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or groups(edges))
+    assert cp.keep_one(spark, docs(spark, [(i, f"text number {i % 7} of a few words") for i in range(30)]), "").count() == 7
+    assert len(plans) == 1 and "Generate explode" in plans[0] and "BroadcastHashJoin" not in plans[0]
