@@ -201,18 +201,7 @@ def media_projection(t):
     return t.pages.select("page_id", pk.media_projection(F.expr(MEDIA)).alias("record"))
 
 
-PASSAGE = rf"""WITH {PAIRS}, q AS (SELECT doc_id, question AS txt FROM pairs), {terms_sql('q', 'doc_id', 64, 'qt')},
- pl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM pairs),
- pp AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg,
-   NOT regexp_matches(l, '\S') OR starts_with(ltrim(l), '<!--') AS gap FROM pl),
- pg AS (SELECT *, sum(gap::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM pp),
- para AS (SELECT doc_id, grp, min(beg)::BIGINT AS b, max(beg + length(l) + CASE WHEN i < n THEN 1 ELSE 0 END)::BIGINT AS e, string_agg(l || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) AS p FROM pg WHERE NOT gap GROUP BY doc_id, grp),
- win AS (SELECT doc_id, b, e, p, unnest(generate_series(0, greatest(length(p), 1) - 1, 195)) AS o FROM para),
- raw AS (SELECT doc_id, b + o AS st, least(e, b + o + 260) AS en, substr(p, o + 1, 260) AS txt FROM win),
- cl AS (SELECT *, {clean_sql('txt', 260)} AS c FROM raw), ok AS (SELECT * FROM cl WHERE length(c) >= 40 AND NOT regexp_matches(c, {lit(fixed.FIELD_ONLY)})),
- {terms_sql('ok', 'doc_id, st', 128, 'wt')},
- sc AS (SELECT doc_id, st, sum(1 + least(length(lw), 20) / 20) AS s FROM wt JOIN qt USING (doc_id, lw) GROUP BY doc_id, st),
- passage AS (SELECT doc_id, st, en, c, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(s, 0), 6) DESC, st DESC) AS rn FROM ok LEFT JOIN sc USING (doc_id, st)),
+PASSAGE = rf"""WITH {PAIRS}, {demo.passage_sql('pairs', 'doc_id')},
  best AS (SELECT p.doc_id, c AS passage, st AS start_char, en AS end_char, len(string_split(substr(d.text, 1, st), chr(10))) AS start_line,
    len(string_split(substr(d.text, 1, en), chr(10))) AS end_line, round(s, 6) AS score, sha256(d.text) AS revision, 'qmd://' || d.source || '/' || doc_id || '.md' AS uri FROM passage p JOIN documents d USING (doc_id) WHERE rn = 1)"""
 

@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from memlake.operators.recall import inject
 from memlake.plans.recall import hybrid
 from memlake.plans.settings import Settings, learn, search_with
+from memlake.queries.retrieval import CONTEXT_BYTES, inject_sql, injected
+from memlake.registry import Tables
+from tests.oracle import compare, connect
 
 TEXT = "This passage about the harbour crane number {} is long enough to be shown to the reader."
 NOTES = [(i, f"qmd://{c}/{i}.md", c, k, ident, TEXT.format(i)) for i, c, k, ident in [
@@ -60,3 +64,23 @@ def test_lessons_need_spans_of_their_source(spark):
     out = learn(seen, lambda pdf: pdf.assign(spans=[["a"], ["x"]][:len(pdf)] if len(pdf) == 2 else [["a"] if i == 1 else ["x"] for i in pdf["observation_id"]], lesson="l")[["observation_id", "spans", "lesson"]],
                 "observation_id long, spans array<string>, lesson string")
     assert [r.observation_id for r in out.collect()] == [1]
+
+
+def test_inject_takes_memory_first_and_passes_over_what_does_not_fit(spark):
+    rows = [(q, d, d, d in (3, 5, 6), size) for q in (1, 2) for d, size in enumerate([30, 90, 40, 50, 20, 10, 5], 1)]
+    df = spark.createDataFrame(rows, "q int, doc_id long, pos long, memory boolean, size long")
+    take = lambda **o: [(r.q, r.doc_id, r.place, r.memory) for r in inject(df, "q", "doc_id", size="size", **o).orderBy("q", "place").collect()]
+    # 3 and 5 have the slots, 1 follows; 2 and 4 do not fit any more, 6 and 7 do.
+    want = [(3, 1, True), (5, 2, True), (1, 3, False), (6, 4, True), (7, 5, False)]
+    assert take(slots=2, limit=10, budget=105) == [(q, *w) for q in (1, 2) for w in want]
+    assert take(slots=2, limit=4, budget=105) == [(q, *w) for q in (1, 2) for w in want[:4]]
+    assert take(slots=2, limit=4, budget=4) == []
+
+
+def test_inject_cut_keeps_the_context_in_its_budget(spark):
+    sf, context = "/root/testdata/sf0.001", 1500
+    con = connect(sf)
+    same, note = compare(injected(Tables(spark, sf), context), con, inject_sql(context))
+    assert same, note
+    count = lambda c: len(con.execute(inject_sql(c)).fetchall())
+    assert 0 < count(context) < count(CONTEXT_BYTES)
